@@ -1,0 +1,78 @@
+"""Replay staged steps in order, one or more per micro-batch."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+Send = Callable[[DataFrame, int], None]
+
+
+class Replay:
+    """A running replay; ``finished`` turns true once the last step has been sent."""
+
+    def __init__(self, query: StreamingQuery, last_tick: int, progress: dict[str, int]):
+        self.query = query
+        self.last_tick = last_tick
+        self._progress = progress
+
+    @property
+    def finished(self) -> bool:
+        return self._progress["sent_through"] >= self.last_tick
+
+    def run_to_end(self, poll_s: float = 0.2) -> None:
+        """Wait for the last step, then stop."""
+        while not self.finished:
+            if self.query.awaitTermination(poll_s):
+                break
+        self.query.stop()
+
+
+def replay(
+    spark: SparkSession,
+    staged: str,
+    send: Send,
+    checkpoint: str,
+    ticks_per_batch: int = 1,
+    interval: str = "1 second",
+) -> Replay:
+    """Send the steps written by ``stage_ticks``, ``ticks_per_batch`` each interval.
+
+    Micro-batch b covers the steps [b n, (b + 1) n), read from their folders
+    alone. Started again with the same checkpoint it goes on where it stopped; a
+    batch cut short is sent again as a whole with the same number, so ``send``
+    can overwrite by number (files) or send twice (topics: at least once).
+    """
+    last = spark.read.parquet(staged).agg(F.max("tick")).first()[0]
+    progress = {"sent_through": -1}
+
+    def send_batch(_: DataFrame, batch: int) -> None:
+        low = batch * ticks_per_batch
+        high = low + ticks_per_batch - 1
+        if low <= last:
+            steps = spark.read.parquet(staged).where(F.col("tick").between(low, high))
+            send(steps.select("value"), batch)
+        progress["sent_through"] = high
+
+    clock = (
+        spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 1).load()
+    )
+    query = (
+        clock.writeStream.foreachBatch(send_batch)
+        .option("checkpointLocation", checkpoint)
+        .trigger(processingTime=interval)
+        .start()
+    )
+    return Replay(query, last, progress)
+
+
+def to_folders(path: str) -> Send:
+    """Send each batch as text files below ``path``; sending it again replaces it."""
+
+    def send(lines: DataFrame, batch: int) -> None:
+        lines.write.mode("overwrite").text(f"{path}/batch={batch:09d}")
+
+    return send
