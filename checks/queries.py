@@ -12,7 +12,7 @@ from meterline.functions.numbers import lenient_double, lenient_int
 from meterline.functions.times import column_time, raw_field_time, strict_time
 from meterline.operators import analysis, faults, hourly, parse, prep, replay, runlog
 from meterline.operators.window_fold import INCOME_FOLD, fold_windows
-from meterline.session import scratch_dir, use_utc
+from meterline.session import scratch_dir, prepare
 from meterline.sources import lines as line_sources
 from meterline.sources import sinks
 from meterline.streaming.hourly_stream import run_hourly_table
@@ -24,7 +24,7 @@ QUERIES: dict[str, Query] = {}
 
 def query(build: Query) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return build(use_utc(spark), sf_dir)
+        return build(prepare(spark), sf_dir)
 
     QUERIES[build.__name__] = run
     return run

@@ -5,25 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The only spellings of non-finite numbers that count as numbers.
-NON_FINITE_TEXTS = ("NaN", "+NaN", "-NaN", "Infinity", "+Infinity", "-Infinity")
+# The spellings of non-finite numbers that count as numbers, and
+# numbers in digits, which may overflow.
+_NON_FINITE = r"^[\x00-\x20]*[+-]?(?:NaN|Infinity)[\x00-\x20]*$|[0-9]"
 
 
 def lenient_double(text: Column) -> Column:
-    """Text to double; null, blank, ``null`` and anything unreadable give 0.0.
-
-    The cast trims white space and control characters by itself. It also takes
-    ``inf`` and ``nan`` in any case, which are not numbers here; text such as
-    ``1e999``, which overflows to infinity, is.
-    """
-    number = text.try_cast("double")
-    non_finite = F.isnan(number) | (F.abs(number) == F.lit(float("inf")))
-    spelled_wrongly = ~F.trim(text, F.lit(CONTROL_AND_SPACE)).isin(
-        *NON_FINITE_TEXTS
-    ) & ~text.rlike("[0-9]")
-    return F.coalesce(
-        F.when(non_finite & spelled_wrongly, F.lit(0.0)).otherwise(number), F.lit(0.0)
-    )
+    """Text to double; null, blank, ``null`` and anything unreadable give 0.0."""
+    return double_or_zero(text.try_cast("double"), text)
 
 
 def lenient_int(text: Column) -> Column:
@@ -32,11 +21,25 @@ def lenient_int(text: Column) -> Column:
     ``1.5`` gives 2 and ``-2.5`` gives -2; NaN gives 0. Numbers beyond 64 bits
     saturate first, so infinity gives -1.
     """
-    number = lenient_double(text)
-    below = F.floor(number)
-    rounded = F.when(number - below.cast("double") >= 0.5, F.ceil(number)).otherwise(below)
-    low_half = F.shiftright(F.shiftleft(rounded.cast("bigint"), 32), 32)
-    return F.when(F.isnan(number), F.lit(0)).otherwise(low_half.cast("int"))
+    return half_up_int(lenient_double(text))
+
+
+def double_or_zero(number: Column, text: Column) -> Column:
+    """Second half of ``lenient_double``, for a ``number`` already cast from ``text``.
+
+    The cast trims white space and control characters by itself. It also takes
+    ``inf`` and ``nan`` in any case, which are not numbers here; text such as
+    ``1e999``, which overflows to infinity, is. Finite numbers take the first way.
+    """
+    finite = F.abs(number) < F.lit(float("inf"))
+    return F.coalesce(F.when(finite | text.rlike(_NON_FINITE), number), F.lit(0.0))
+
+
+def half_up_int(number: Column) -> Column:
+    """Second half of ``lenient_int``, for a number that is not null."""
+    whole = F.floor(number)
+    rounded = F.when(number - whole < 0.5, whole).otherwise(F.ceil(number))
+    return F.shiftright(F.shiftleft(rounded, 32), 32).cast("int")
 
 
 CONTROL_AND_SPACE = "".join(chr(code) for code in range(0x21))

@@ -16,38 +16,30 @@ _ABSENT = rf"(?i)^{_GAP}(?:null)?{_GAP}$"
 # One-digit fields are allowed, as is any white space between date and time.
 _LOOSE_BODY = r"(\d{4}-\d{1,2}-\d{1,2}\s+\d{1,2}:\d{1,2}:\d{1,2})"
 _LOOSE = rf"(?s)^\s*{_LOOSE_BODY}\s*(?:\..*)?$"
+_LOOSE_CSV = rf'(?s)^("?)\s*{_LOOSE_BODY}\s*(?:\..*)?\1$'
 _LOOSE_QUOTED = rf'(?s)^\s*"*{_LOOSE_BODY}(?:"*\s*|\..*)$'
 
 
+# A day its month may lack, and the end of a day written as hour 24.
+_LATE_DAY = rf"(?s)^{_GAP}(\d{{4}}-\d\d)-(?:29|30|31) (\d\d:\d\d:\d\d){_GAP}(?:\..*)?$"
+_HOUR_24 = rf"(?s)^{_GAP}(\d{{4}}-\d\d-\d\d) 24:00:00{_GAP}(?:\..*)?$"
+
+
 def strict_time(text: Column) -> Column:
     """Time of a typed field; absent values give 1970-01-01, bad ones null.
 
     Days 29-31 that a month lacks mean its last day, and 24:00:00 means the
-    following midnight.
+    following midnight. The plain case comes first, and is all that most rows run.
     """
-    body = F.regexp_extract(text, _STRICT, 1)
-    return (
-        F.when(text.isNull(), _epoch())
-        .when(body != "", F.coalesce(body.try_cast("timestamp"), _overflowing_day(body)))
-        .when(text.rlike(_ABSENT), _epoch())
-    )
-
-
-def _epoch() -> Column:
-    return F.timestamp_seconds(F.lit(0))
-
-
-def _overflowing_day(body: Column) -> Column:
-    first = F.concat(F.substring(body, 1, 8), F.lit("01")).try_cast("date")
-    day_number = F.substring(body, 9, 2).cast("int")
-    last_number = F.dayofmonth(F.last_day(first))
-    day = F.when(
-        day_number.between(1, 31), F.date_add(first, F.least(day_number, last_number) - 1)
-    )
-    clock = F.substring(body, 12, 8)
-    midnight = clock == "24:00:00"
-    return F.when(midnight, F.date_add(day, 1).cast("timestamp")).otherwise(
-        F.concat(day.cast("string"), F.lit(" "), clock).try_cast("timestamp")
+    absent = text.isNull() | text.rlike(_ABSENT)
+    month_end = F.last_day(F.regexp_replace(text, _LATE_DAY, "$1-01").try_cast("date"))
+    clamped = F.concat_ws(" ", month_end, F.regexp_extract(text, _LATE_DAY, 2))
+    next_day = F.date_add(F.regexp_extract(text, _HOUR_24, 1).try_cast("date"), 1)
+    return F.coalesce(
+        F.regexp_extract(text, _STRICT, 1).try_cast("timestamp"),
+        F.when(absent, F.timestamp_seconds(F.lit(0)))
+        .when(text.rlike(_LATE_DAY), clamped.try_cast("timestamp"))
+        .otherwise(next_day.cast("timestamp")),
     )
 
 
@@ -56,6 +48,11 @@ def column_time(text: Column) -> Column:
     return _loose(F.regexp_extract(text, _LOOSE, 1))
 
 
+def csv_field_time(text: Column) -> Column:
+    """The same for a field that still has its CSV quotes."""
+    return _loose(F.regexp_extract(text, _LOOSE_CSV, 2))
+
+
 def raw_field_time(text: Column) -> Column:
     """Time of a field cut from a raw line: double quotes around it are ignored."""
     return _loose(F.regexp_extract(text, _LOOSE_QUOTED, 1))

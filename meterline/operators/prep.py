@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meterline.functions.times import column_time
+from meterline.functions.once import once
+from meterline.functions.times import csv_field_time
 from meterline.operators.ordered import global_rank
 from meterline.schema import DROPOFF_INDEX, PICKUP_INDEX
 
@@ -30,26 +31,22 @@ def time_columns(header: Sequence[str]) -> tuple[int, int]:
 
 
 def csv_fields(line: Column) -> Column:
-    """Fields of a CSV line; a quoted field keeps its commas and loses its quotes."""
-    quoted = F.transform(
-        F.split(line, _OUTER_COMMA, -1),
-        lambda field: F.regexp_replace(
-            F.regexp_replace(field, r'(?s)^"(.*)"$', "$1"), '""', '"'
-        ),
-    )
-    return F.when(F.contains(line, F.lit('"')), quoted).otherwise(F.split(line, ",", -1))
+    """Fields of a CSV line; a quoted field keeps its commas, and its quotes."""
+    plain = F.split(line, ",", -1)
+    return F.when(F.contains(line, F.lit('"')), F.split(line, _OUTER_COMMA, -1)).otherwise(plain)
 
 
 def keyed_lines(lines: DataFrame, header: Sequence[str], line: str = "value") -> DataFrame:
     """Add ``pickup``, ``dropoff`` (null when unreadable) and ``is_short``."""
     pickup, dropoff = time_columns(header)
-    fields = csv_fields(F.col(line))
-    return lines.select(
-        "*",
-        column_time(F.get(fields, F.lit(pickup))).alias("pickup"),
-        column_time(F.get(fields, F.lit(dropoff))).alias("dropoff"),
+    fields = F.col("_fields")
+    keys = F.struct(
+        csv_field_time(F.get(fields, F.lit(pickup))).alias("pickup"),
+        csv_field_time(F.get(fields, F.lit(dropoff))).alias("dropoff"),
         (F.size(fields) <= max(pickup, dropoff)).alias("is_short"),
     )
+    split = lines.select("*", once(csv_fields(F.col(line)), "_fields"))
+    return split.select(*lines.columns, once(keys, "_keys")).select(*lines.columns, "_keys.*")
 
 
 def _kept(bound: str) -> Column:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from meterline.functions.once import once
 from meterline.functions.times import line_pickup_time
 from meterline.operators.ordered import global_rank
 from meterline.session import shuffle_width
@@ -20,7 +21,7 @@ _FILL_BLOCK = 4096
 
 def timed_lines(lines: DataFrame, index: int = 1, line: str = "value") -> DataFrame:
     """Lines with a readable pickup time, added as ``pickup``; the others go."""
-    timed = lines.withColumn("pickup", line_pickup_time(F.col(line), index))
+    timed = lines.select("*", once(line_pickup_time(F.col(line), index), "pickup"))
     return timed.where(F.col("pickup").isNotNull())
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meterline.operators.hourly import DEFAULT_WIDTH
-from meterline.session import ship_package
+from meterline.session import ship_package, shuffle_width
 
 KEYS = ("pu_location_id", "window_start", "window_end")
 KEY_DDL = "pu_location_id int, window_start timestamp, window_end timestamp"
@@ -24,13 +24,13 @@ KEY_DDL = "pu_location_id int, window_start timestamp, window_end timestamp"
 
 @dataclass(frozen=True)
 class WindowFold:
-    """A window function in parts.
+    """A window function in parts, each taking rows of many windows at once.
 
-    ``condense(rows)`` turns rows of many windows into condensed rows, which hold
-    the key columns and ``part_ddl``'s. ``combine(parts)`` reduces condensed rows
-    of one window to one (or a few) of the same shape, and must not depend on
-    their order or grouping. ``finish(part)`` makes 0..n result rows
-    (``result_ddl``) from a window's last condensed rows, all with the keys.
+    ``condense(rows)`` turns trips into condensed rows, which hold the key columns
+    and ``part_ddl``'s. ``combine(parts)`` reduces condensed rows to one (or a few)
+    of the same shape per window, and must not depend on their order or grouping.
+    ``finish(parts)`` makes 0..n result rows (``result_ddl``) per window from its
+    last condensed rows; all keep the key columns.
     """
 
     columns: tuple[str, ...]
@@ -72,17 +72,28 @@ def condensed(rows: DataFrame, fold: WindowFold) -> DataFrame:
 def fold_windows(trips: DataFrame, fold: WindowFold, width: str = DEFAULT_WIDTH) -> DataFrame:
     """Apply a fold to every zone and window of a batch of trips."""
     parts = condensed(with_window(trips, fold.columns, width), fold)
-    result_names = _names(fold.result_ddl)
+    columns = [*KEYS, *_names(fold.result_ddl)]
 
     def reduce(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: pd.DataFrame | None = None
+        # Windows arrive one after the other; only the last one may go on in the next batch.
+        held = None
         for batch in batches:
-            joined = batch if held is None else pd.concat([held, batch], ignore_index=True)
-            held = fold.combine(joined)
+            if not len(batch):
+                continue
+            last = batch[list(KEYS)].iloc[-1]
+            parts = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            parts = fold.combine(parts)
+            going_on = (parts[list(KEYS)] == last).all(axis=1)
+            held = parts[going_on]
+            done = parts[~going_on]
+            if len(done):
+                yield fold.finish(done)[columns]
         if held is not None:
-            yield fold.finish(held)[[*KEYS, *result_names]]
+            yield fold.finish(held)[columns]
 
-    return parts.groupBy(*KEYS).applyInPandas(reduce, f"{KEY_DDL}, {fold.result_ddl}")
+    width_of_shuffle = shuffle_width(trips.sparkSession)
+    gathered = parts.repartition(width_of_shuffle, *KEYS).sortWithinPartitions(*KEYS)
+    return gathered.mapInPandas(reduce, f"{KEY_DDL}, {fold.result_ddl}")
 
 
 def _names(ddl: str) -> list[str]:

@@ -9,6 +9,13 @@ import uuid
 
 from pyspark.sql import SparkSession
 
+# Event times are read and printed in UTC. Generated methods beyond 8000 bytes are
+# never compiled by HotSpot; above that size rows go through smaller ones instead.
+SQL_CONF = {
+    "spark.sql.session.timeZone": "UTC",
+    "spark.sql.codegen.hugeMethodLimit": "8000",
+}
+
 STATE_STORE_CONF = {
     "spark.sql.streaming.stateStore.providerClass": (
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -23,9 +30,9 @@ def build_session(app: str = "meterline", master: str | None = None, **conf: str
     if master:
         builder = builder.master(master)
     settings = {
-        "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+        **SQL_CONF,
         **STATE_STORE_CONF,
         **{key.replace("__", "."): value for key, value in conf.items()},
     }
@@ -34,9 +41,10 @@ def build_session(app: str = "meterline", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
-def use_utc(spark: SparkSession) -> SparkSession:
-    """Event times are read and printed in UTC."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
+def prepare(spark: SparkSession) -> SparkSession:
+    """Apply the SQL settings the operators rely on to an existing session."""
+    for key, value in SQL_CONF.items():
+        spark.conf.set(key, value)
     return spark
 
 

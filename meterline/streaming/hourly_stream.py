@@ -7,7 +7,7 @@ from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from meterline.operators.hourly import DEFAULT_WIDTH, hourly_income, hourly_lines
 from meterline.operators.parse import parse_trips
-from meterline.session import use_rocksdb, use_utc
+from meterline.session import use_rocksdb, prepare
 from meterline.sources.sinks import line_sink
 
 # Fixed values.
@@ -77,4 +77,4 @@ def run_hourly_table(
 
 
 def _ready(lines: DataFrame) -> None:
-    use_rocksdb(use_utc(lines.sparkSession))
+    use_rocksdb(prepare(lines.sparkSession))
