@@ -69,10 +69,16 @@ def replay(
     return Replay(query, last, progress)
 
 
-def to_folders(path: str) -> Send:
-    """Send each batch as text files below ``path``; sending it again replaces it."""
+def to_folders(path: str, files: int | None = None) -> Send:
+    """Send each batch as text files below ``path``; sending it again replaces it.
+
+    Lines are in order between batches but not between the files of one batch. A
+    file stream that limits its files per micro-batch should take whole batches:
+    give ``files`` and set the limit to it or a multiple of it.
+    """
 
     def send(lines: DataFrame, batch: int) -> None:
-        lines.write.mode("overwrite").text(f"{path}/batch={batch:09d}")
+        out = lines if files is None else lines.repartition(files)
+        out.write.mode("overwrite").text(f"{path}/batch={batch:09d}")
 
     return send

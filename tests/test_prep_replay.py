@@ -3,7 +3,6 @@ import random
 import uuid
 
 import pytest
-from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from meterline.operators import prep, replay
@@ -67,7 +66,7 @@ def test_csv_scan_checks_header(spark):
     sinks.write_csv(frame, path)
     assert sources.csv_header(spark, path) == ["a", "b", "c"]
     assert sources.read_csv_strings(spark, path, ["a", "b", "c"]).collect() == frame.collect()
-    with pytest.raises(PySparkException):
+    with pytest.raises(Exception, match="CSV header|header"):
         sources.read_csv_strings(spark, path, ["a", "x", "c"]).collect()
 
 
