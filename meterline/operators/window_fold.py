@@ -65,14 +65,14 @@ def condensed(rows: DataFrame, fold: WindowFold) -> DataFrame:
             if len(batch):
                 yield fold.condense(batch)[combine_keys + part_names]
 
-    part_names = _names(fold.part_ddl)
+    part_names = names_in(fold.part_ddl)
     return rows.mapInPandas(run, f"{KEY_DDL}, {fold.part_ddl}")
 
 
 def fold_windows(trips: DataFrame, fold: WindowFold, width: str = DEFAULT_WIDTH) -> DataFrame:
     """Apply a fold to every zone and window of a batch of trips."""
     parts = condensed(with_window(trips, fold.columns, width), fold)
-    columns = [*KEYS, *_names(fold.result_ddl)]
+    columns = [*KEYS, *names_in(fold.result_ddl)]
 
     def reduce(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         # Windows arrive one after the other; only the last one may go on in the next batch.
@@ -96,7 +96,7 @@ def fold_windows(trips: DataFrame, fold: WindowFold, width: str = DEFAULT_WIDTH)
     return gathered.mapInPandas(reduce, f"{KEY_DDL}, {fold.result_ddl}")
 
 
-def _names(ddl: str) -> list[str]:
+def names_in(ddl: str) -> list[str]:
     return [column.split()[0] for column in ddl.split(",")]
 
 

@@ -31,6 +31,8 @@ def build_session(app: str = "meterline", master: str | None = None, **conf: str
         builder = builder.master(master)
     settings = {
         "spark.sql.adaptive.enabled": "true",
+        # Recording the call site of every column expression slows down building plans.
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         **SQL_CONF,
         **STATE_STORE_CONF,

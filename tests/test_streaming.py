@@ -12,6 +12,7 @@ from meterline.operators import hourly, parse, replay
 from meterline.operators.window_fold import INCOME_FOLD, WindowFold, fold_windows
 from meterline.session import scratch_dir
 from meterline.sources import lines as sources
+from meterline.streaming.fold_stream import stream_fold
 from meterline.streaming.hourly_stream import run_hourly_lines, run_hourly_table, stream_income
 from meterline.streaming.progress import ProgressRecorder, recent_metrics
 from meterline.streaming.replay_stream import replay as start_replay
@@ -205,6 +206,24 @@ def test_fold_equals_the_aggregate(spark):
 KEYS = ["pu_location_id", "window_start", "window_end"]
 
 
+def test_fold_on_a_stream(spark, folders):
+    """The streamed fold gives the windows the streamed aggregate gives, across a restart."""
+    source, out, log = folders
+
+    def run():
+        lines = sources.stream_lines(spark, source, max_files=1)
+        writer = stream_fold(lines, INCOME_FOLD).writeStream.format("parquet").option("path", out)
+        writer.option("checkpointLocation", log).trigger(availableNow=True).start().awaitTermination()
+
+    for i, batch in enumerate(BATCHES):
+        _write(source, f"{i}.txt", batch)
+    run()
+    assert _windows(spark, out) == {(0, 1): (4, 1114.0)}
+    _write(source, "9.txt", [("05:00:00", 1, 4), ("00:05:00", 2, 4)])
+    run()
+    assert _windows(spark, out) == {(0, 1): (4, 1114.0), (1, 1): (2, 3.0), (2, 1): (1, 3.0)}
+
+
 def test_fold_may_give_no_or_many_rows(spark):
     """A caller's own function: the longest trip, only for zones with two trips or more."""
     fold = WindowFold(
