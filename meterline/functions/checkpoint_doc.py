@@ -28,11 +28,11 @@ COMPLETE_KEYS = (
 
 
 def latest_entry(report: Column) -> Column:
-    """The newest checkpoint as JSON text; empty objects count as missing."""
+    """The newest checkpoint as JSON text; empty values count as missing."""
 
     def at(path: str) -> Column:
         found = F.get_json_object(report, path)
-        return F.when(~found.isin("{}", "[]", '""', ""), found)
+        return F.when(~found.isin("{}", "[]", '""', "", "0", "false"), found)
 
     completed = at("$.latest.completed")
     has_id = F.array_contains(F.json_object_keys(completed), "id")

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meterline.functions.once import once
 from meterline.functions.times import line_pickup_time
 from meterline.operators.ordered import global_rank
-from meterline.session import shuffle_width
+from meterline.session import checkpoint_dir, shuffle_width
 
 # Fixed value: two hours of data per step.
 DEFAULT_RATE_S = 7200
@@ -32,24 +32,34 @@ def with_ticks(timed: DataFrame, rate_s: int = DEFAULT_RATE_S) -> DataFrame:
     scalar subquery), no sort.
     """
     start = timed.agg(F.min(F.unix_micros("pickup")).alias("start")).scalar()
-    since = F.unix_micros("pickup") - start
-    step = F.lit(rate_s * _MICROS)
+    return timed.withColumn("tick", _tick(F.unix_micros("pickup") - start, rate_s))
+
+
+def _tick(since: Column, rate_s: int) -> Column:
     behind = F.greatest(since - 1, F.lit(0))
-    return timed.withColumn("tick", ((behind - behind % step) / step).cast("bigint"))
+    step = F.lit(rate_s * _MICROS)
+    return ((behind - behind % step) / step).cast("bigint")
 
 
 def tick_counts(timed: DataFrame, rate_s: int = DEFAULT_RATE_S) -> DataFrame:
-    """Lines per step with the step's time span; empty steps count 0."""
-    counts = with_ticks(timed, rate_s).groupBy("tick").agg(F.count("*").alias("lines_sent"))
-    span = timed.agg(
+    """Lines per step with the step's time span; empty steps count 0.
+
+    Lines are read once, into counts per pickup time: times have whole seconds, so
+    there are no more of them than seconds in the data, however many lines there
+    are. The counts are checkpointed because three things are derived from them.
+    """
+    checkpoint_dir(timed.sparkSession)
+    at_time = timed.groupBy("pickup").agg(F.count("*").alias("lines")).checkpoint()
+    counts = with_ticks(at_time, rate_s).groupBy("tick").agg(F.sum("lines").alias("lines_sent"))
+    span = at_time.agg(
         F.min(F.unix_micros("pickup")).alias("first"),
         F.max(F.unix_micros("pickup")).alias("last"),
-    )
-    behind = F.greatest(F.col("last") - F.col("first") - 1, F.lit(0))
+    ).where(F.col("first").isNotNull())
+    last_tick = _tick(F.col("last") - F.col("first"), rate_s)
     # Steps are made in two levels so that a long replay does not unfold in one task.
     blocks = span.select(
         "first",
-        F.floor(behind / F.lit(rate_s * _MICROS)).alias("last_tick"),
+        last_tick.alias("last_tick"),
     ).select(
         "first",
         "last_tick",

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meterline.functions import checkpoint_doc
+from meterline.functions.once import once
 from meterline.operators.ordered import last_known, ordered_chunks
 
 # A metric is the first one whose name holds all its keywords.
@@ -26,10 +27,8 @@ PROGRESS_DDL = """
 
 def checkpoint_rows(reports: DataFrame, keep: Sequence[str] = (), report: str = "value"):
     """Id, status and duration of each report's latest checkpoint; null if it has none."""
-    facts = reports.select(
-        *keep,
-        checkpoint_doc.entry_facts(checkpoint_doc.latest_entry(F.col(report))).alias("_facts"),
-    )
+    latest = reports.select(*keep, once(checkpoint_doc.latest_entry(F.col(report)), "_entry"))
+    facts = latest.select(*keep, once(checkpoint_doc.entry_facts(F.col("_entry")), "_facts"))
     return facts.select(
         *keep,
         checkpoint_doc.checkpoint_id(F.col("_facts")).alias("checkpoint_id"),

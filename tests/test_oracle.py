@@ -23,6 +23,15 @@ def _plain(rows):
     return [tuple(plain(value) for value in row) for row in rows]
 
 
+TYPES = {
+    "int": "INTEGER",
+    "bigint": "BIGINT",
+    "double": "DOUBLE",
+    "string": "VARCHAR",
+    "timestamp": "TIMESTAMP",
+}
+
+
 def test_every_query_has_sql():
     assert set(QUERIES) == set(SQL)
 
@@ -32,7 +41,10 @@ def test_every_query_has_sql():
 def test_query_matches_sql(spark, name, sf):
     with oracle(sf) as connection:
         want_names, want = oracle_rows(connection, SQL[name])
-    names, got = spark_rows(QUERIES[name](spark, f"{TESTDATA}/{sf}"))
+        types = dict(row[:2] for row in connection.execute(f"DESCRIBE {SQL[name]}").fetchall())
+    result = QUERIES[name](spark, f"{TESTDATA}/{sf}")
+    assert {column: TYPES[kind] for column, kind in result.dtypes} == types
+    names, got = spark_rows(result)
     assert names == want_names
     assert len(got) == len(want)
     assert _plain(got) == _plain(want)
