@@ -129,14 +129,7 @@ def _lists(ids: list, held: list[np.ndarray]) -> pa.RecordBatch:
 
 
 def near_duplicates(
-    docs: DataFrame,
-    scratch: Scratch,
-    *,
-    k: int = 5,
-    percent: int = 80,
-    bands: int = 40,
-    rows: int = 6,
-    stars: int = 8,
+    docs: DataFrame, scratch: Scratch, *, k: int = 5, percent: int = 80, bands: int = 50, rows: int = 7
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs`` (doc_id, text).
 
@@ -145,13 +138,12 @@ def near_duplicates(
     100 * intersection >= percent * union, confirmed on full sets; component_id is the
     smallest doc_id reachable over links, and the document of that id is kept.
 
-    Candidates come from banded MinHash buckets: with 40 bands of 6 rows a pair at
-    similarity 0.8 is missed with probability 5e-6. Equal sets are one node from the
-    start. Each bucket first links its members to its smallest id, a star. Buckets
-    whose members still lie in several components then compare further hubs, up to
-    ``stars`` a round, taken from the smallest components first, until every pair of
-    members either was compared or lies in one component: no pair of a bucket is left
-    out, and a round makes at most ``stars`` pairs for each member.
+    Candidates come from banded MinHash buckets: with 50 bands of 7 rows a pair at
+    similarity 0.8 shares none with probability 8e-6. Equal sets are one node from the
+    start. Each bucket links its members to its smallest id, a star, so there are no
+    more pairs than members. Members of buckets that still lie in several components
+    then go through an exact join on their rarest shingles (``_rare_pairs``), so a
+    bucket loses no link that its star does not show.
 
     Null or wordless texts have no shingles and are linked with nothing. Rows of
     equal doc_id are one document for linking. A null doc_id is linked with nothing:
@@ -160,51 +152,35 @@ def near_duplicates(
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = scratch.table(docs.mapInArrow(_signed(k, bands, rows), SIGNED))
     known = signed.where("set_key is not null and doc_id is not null")
-    same = scratch.table(known.groupBy("set_key").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies")))
+    same = scratch.table(known.groupBy("set_key").agg(F.min("doc_id").alias("id")))
     leads = known.join(same.select("set_key", F.col("id").alias("doc_id")), ["set_key", "doc_id"], "left_semi")
-    flat = leads.select(F.explode("bands").alias("key"), F.col("doc_id").alias("id"), "n")
-    buckets = shared(flat, scratch)
+    buckets = shared(leads.select(F.explode("bands").alias("key"), F.col("doc_id").alias("id"), "n"), scratch)
 
-    sizes = f"100 * least(n, hub_n) >= {percent} * greatest(n, hub_n)"
+    members = scratch.table(buckets.groupBy("id").agg(F.max("n").alias("n")))
+    texts = docs.join(members.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
+    sets = scratch.table(texts.mapInArrow(_sets(k), "id long, shingles array<long>"))
     hubs = buckets.groupBy("key").agg(F.min(F.struct("id", "n")).alias("hub"))
     pairs = (
         buckets.join(hubs, "key").where("id <> hub.id")
-        .select(F.col("hub.id").alias("a"), F.col("id").alias("b"), "n", F.col("hub.n").alias("hub_n"))
-        .where(sizes).select("a", "b").distinct()
+        .where(f"100 * least(n, hub.n) >= {percent} * greatest(n, hub.n)")
+        .select(F.col("hub.id").alias("a"), F.col("id").alias("b")).distinct()
     )
-    links = scratch.table(_verified(docs, pairs, k, percent, scratch))
-    used = scratch.table(hubs.select("key", F.col("hub.id").alias("id")))
-    open_rows = buckets
-    while True:
-        # groups of equal ids and equal sets count as links of their own
-        labels = components(links, scratch)
-        open_rows = open_rows.select("key", "id", "n").join(used, ["key", "id"], "left_anti")
-        marked = open_rows.join(labels.withColumnRenamed("node", "id"), "id", "left").select(
-            "key", "id", "n", F.coalesce("component", "id").alias("c")
-        )
-        mixed = marked.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high")
-        open_rows = scratch.table(marked.join(mixed.select("key"), "key", "left_semi"))
-        if open_rows.isEmpty():
-            break
-        share = open_rows.groupBy("key", "c").agg(F.count("*").alias("share"))
-        hubs = scratch.table(
-            open_rows.join(share, ["key", "c"])
-            .groupBy("key", F.pmod(F.xxhash64("id"), F.lit(stars)).alias("part"))
-            .agg(F.min(F.struct("share", F.xxhash64("id", "key").alias("draw"), "id", "n", "c")).alias("hub"))
-            .select("key", F.struct("hub.id", "hub.n", "hub.c").alias("hub"))
-        )
-        pairs = (
-            open_rows.join(hubs, "key").where("c <> hub.c")
-            .select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b"), "n", F.col("hub.n").alias("hub_n"))
-            .where(sizes).select("a", "b").distinct()
-        )
-        links = scratch.table(links.unionByName(_verified(docs, pairs, k, percent, scratch)))
-        used = hubs.select("key", "hub.id")
+    links = scratch.table(_verified(sets, pairs, percent))
     # Rows of one id may have several sets; those are then one document.
-    several = known.groupBy("doc_id").agg(F.count("*").alias("m")).where("m > 1").select("doc_id")
-    own = known.join(several, "doc_id", "left_semi").join(same, "set_key").select(F.col("doc_id").alias("a"), F.col("id").alias("b")).distinct()
-    if not own.isEmpty():
-        labels = components(links.unionByName(own), scratch)
+    several = known.groupBy("doc_id").agg(F.min("set_key").alias("low"), F.max("set_key").alias("high")).where("low < high")
+    several = known.join(several.select("doc_id"), "doc_id", "left_semi").join(same, "set_key")
+    links = links.unionByName(several.select(F.col("doc_id").alias("a"), F.col("id").alias("b")).distinct())
+
+    labels = components(links, scratch)
+    marked = buckets.join(labels.withColumnRenamed("node", "id"), "id", "left").select(
+        "key", "id", F.coalesce("component", "id").alias("c")
+    )
+    mixed = marked.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high")
+    open_ids = scratch.table(marked.join(mixed.select("key"), "key", "left_semi").select("id", "c").distinct())
+    if not open_ids.isEmpty():
+        rest = scratch.table(_verified(sets, _rare_pairs(sets.join(open_ids, "id"), percent, scratch), percent))
+        if not rest.isEmpty():
+            labels = components(links.unionByName(rest), scratch)
     place = same.join(labels.withColumnRenamed("node", "id"), "id", "left").select(
         "set_key", F.coalesce("component", "id").alias("component")
     )
@@ -219,18 +195,45 @@ def near_duplicates(
     )
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame:
+def _rare_pairs(sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b) of different components ``c`` that may be linked; no link is missed.
+
+    In any order of shingles, two linked sets share one among the first
+    n - ceil(n * percent / 100) + 1 of each. The order is by rarity, so the prefix of
+    a set that is linked with nothing is made of its own edits and meets no other.
+    Where a shingle joins several components, members of the largest are compared with
+    members of the others, and the others with each other, but no component with itself.
+    """
+    flat = scratch.table(sets.select("id", "c", F.size("shingles").alias("n"), F.explode("shingles").alias("s")))
+    times = flat.groupBy("s").agg(F.count("*").alias("times")).where("times > 1")
+    ranked = (
+        flat.join(times, "s").groupBy("id", "c", "n")
+        .agg(F.sort_array(F.collect_list(F.struct("times", "s"))).alias("some"))
+        .withColumn("take", F.expr(f"(n - (n * {percent} + 99) div 100 + 1) - (n - size(some))"))
+        .where("take > 0")
+    )
+    prefix = scratch.table(
+        ranked.select("id", "c", "n", F.explode(F.expr("slice(some, 1, cast(least(take, size(some)) as int))")).alias("p"))
+        .select("id", "c", "n", "p.s")
+    )
+    share = prefix.groupBy("s", "c").agg(F.count("*").alias("m"))
+    most = share.groupBy("s").agg(F.max(F.struct("m", "c")).alias("most"), F.count("*").alias("kinds")).where("kinds > 1")
+    mixed = prefix.join(most.select("s", F.col("most.c").alias("main")), "s")
+    others = mixed.where("c <> main").select("s", F.col("id").alias("a"), F.col("c").alias("ca"), F.col("n").alias("na"))
+    return (
+        others.join(mixed, "s").where("c <> ca")
+        .where(f"100 * least(n, na) >= {percent} * greatest(n, na)")
+        .select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
+    )
+
+
+def _verified(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """Of the pairs (a, b) those whose full shingle sets are similar enough."""
-    pairs = scratch.table(pairs)
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = docs.join(wanted, "doc_id", "left_semi")
-    sets = scratch.table(texts.mapInArrow(_sets(k), "id long, shingles array<long>"))
     left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
-    common = F.size(F.array_intersect("x", "y"))
     return (
         pairs.join(right, "b").join(left, "a")
-        .select("a", "b", common.alias("m"), (F.size("x") + F.size("y")).alias("total"))
+        .select("a", "b", F.size(F.array_intersect("x", "y")).alias("m"), (F.size("x") + F.size("y")).alias("total"))
         .where(F.col("m") * 100 >= percent * (F.col("total") - F.col("m")))
         .select("a", "b").distinct()
     )

@@ -101,11 +101,11 @@ class WordReader:
 
         self.power, self.inverse = run(self.BASE), run(pow(self.BASE, -1, 1 << 64))
 
-    def sums(self, data: np.ndarray) -> np.ndarray:
-        if len(data) > len(self.power):
-            self._powers(2 * len(data))
-        total = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(self.values[data] * self.power[: len(data)], out=total[1:])
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        if len(values) > len(self.power):
+            self._powers(2 * len(values))
+        total = np.zeros(len(values) + 1, np.uint64)
+        np.cumsum(values * self.power[: len(values)], out=total[1:])
         return total
 
     def span_hash(self, sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -122,7 +122,7 @@ class WordReader:
         start = np.flatnonzero(inside & ~before[:-1])
         end = np.flatnonzero(inside & ~after[1:]) + 1
         row = np.searchsorted(offsets, start, "right") - 1
-        return Words(start, end, row, self.span_hash(self.sums(data), start, end))
+        return Words(start, end, row, self.span_hash(self.sums(self.values[data]), start, end))
 
 
 def runs(hashes: np.ndarray, rows: np.ndarray, k: int, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
@@ -136,3 +136,14 @@ def runs(hashes: np.ndarray, rows: np.ndarray, k: int, seed: int = 1) -> tuple[n
     for j in range(1, k):
         total += hashes[j : n + j] * factors[j]
     return mix(total[at]), at
+
+
+def characters(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A number for each UTF-8 character, the rows' offsets in characters, and where each starts."""
+    lead = np.flatnonzero((data & 0xC0) != 0x80)
+    size = np.diff(np.r_[lead, len(data)])
+    value = data[lead].astype(np.uint32)
+    for j in range(1, 4):
+        more = np.flatnonzero(size > j)
+        value[more] |= data[lead[more] + j].astype(np.uint32) << np.uint32(8 * j)
+    return value, np.searchsorted(lead, offsets), lead
