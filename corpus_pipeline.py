@@ -3,11 +3,69 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
+from meterline.llm.decontam import contamination
+from meterline.llm.lines import repeated_lines, without_lines
+from meterline.llm.neardup import near_duplicates
+from meterline.llm.pieces import encoded
+from meterline.llm.pu_quality import good_rows
+from meterline.llm.queries import MODEL, table
+from meterline.llm.scratch import Scratch
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    return good_rows(docs, table(spark, sf_dir, "labels"))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated lines go; so do documents of which no word is left. ``n_chars`` follows the text."""
+    removed = repeated_lines(docs, Scratch(spark, "lines"))
+    changed = without_lines(docs.withColumn("_old", F.length("text")), removed)
+    blank = F.btrim("text", F.lit(" \t\n\u000b\f\r")) == ""
+    kept = changed.where(F.coalesce(~blank | (F.col("_old") == F.length("text")), F.lit(True))).drop("_old")
+    if "n_chars" in docs.columns:
+        kept = kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return kept.select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies (five-word shingles, 0.8) stays."""
+    gone = near_duplicates(docs, Scratch(spark, "near")).where("not kept").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents contaminated by benchmark items go."""
+    found = contamination(docs, table(spark, sf_dir, "benchmark"), Scratch(spark, "bench"))
+    gone = found.where("contaminated").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document left, with a check that they decode to its text."""
+    return encoded(docs, MODEL)
+
+
+STAGES = [
+    ("quality", quality),
+    ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("pieces", pieces),
+]
+
+#: A trained classifier and its threshold have no SQL form; tests hold the stages to brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``; each result is written and read again by the next."""
+    scratch = Scratch(spark, "pipeline")
+    docs = table(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = scratch.table(docs)
     return docs

@@ -1,3 +1,36 @@
 """DuckDB SQL for the queries that SQL can express on whole tables."""
 
-ORACLE_SQL: dict[str, str] = {}
+from meterline.llm.ledger import BASE, POLICIES, POLICY, RULES, mask
+
+_BITS = " + ".join(f"CASE WHEN {rule} THEN {1 << i} ELSE 0 END" for i, rule in enumerate(RULES.values()))
+
+OP1 = rf"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, row_number() OVER () AS r FROM documents
+), w AS (
+  SELECT r, unnest(ws) AS w, generate_subscripts(ws, 1) AS i
+  FROM (SELECT r, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM d)
+), t AS (
+  SELECT r, i, w || ' ' || lead(w) OVER p || ' ' || lead(w, 2) OVER p AS g FROM w WINDOW p AS (PARTITION BY r ORDER BY i)
+), f AS (
+  SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS c FROM t WHERE g IS NOT NULL) WHERE c > 1
+), n AS (
+  SELECT r, count(DISTINCT j) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS j FROM f) GROUP BY r
+), s AS (
+  SELECT r, count(*) AS n, sum(length(w)) AS chars FROM w GROUP BY r
+), l AS (
+  SELECT r, count(*) AS n, count(DISTINCT line) AS kinds
+  FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d)
+  WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r
+), m AS (
+  SELECT doc_id, coalesce(s.n, 0)::BIGINT AS n_words, coalesce(s.chars, 0)::BIGINT AS word_chars,
+    length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+    coalesce(l.n - l.kinds, 0)::BIGINT AS n_dup_lines, coalesce(n.n, 0)::BIGINT AS n_repeat_words,
+    coalesce(l.n, 0)::BIGINT AS n_lines, length(regexp_replace(text, '[^A-Z]', '', 'g'))::BIGINT AS n_capitals
+  FROM d LEFT JOIN s USING (r) LEFT JOIN l USING (r) LEFT JOIN n USING (r)
+), b AS (SELECT *, ({_BITS})::BIGINT AS failed FROM m)
+SELECT *, failed & {mask(BASE)} <> 0 AS base_failed, failed & {mask(BASE) | mask(POLICIES[POLICY])} = 0 AS kept FROM b
+"""
+
+#: Linking by redirects changes no verdict where no page names another (see the tests for those).
+ORACLE_SQL = {"op1_quality_rules": OP1}
