@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meterline.llm.graph import components, shared
-from meterline.llm.neardup import OnePermutation, _rare_pairs
+from meterline.llm.neardup import OnePermutation, _rare_pairs, unsettled
 from meterline.llm.neardup import _verified as verified_sets
 from meterline.llm.scratch import Scratch
 from meterline.llm.words import SPACED, WordReader, characters, constants, mix, slices
@@ -215,9 +215,7 @@ def repeated_lines(
     links = scratch.table(both.mapInArrow(_close(k, percent), "a long, b long"))
     labels = components(links, scratch)
 
-    marked = buckets.join(labels.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
-    mixed = marked.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high")
-    open_ids = scratch.table(marked.join(mixed.select("key"), "key", "left_semi").select("id", "c").distinct())
+    open_ids = unsettled(buckets, labels, scratch)
     if not open_ids.isEmpty():
         sets = scratch.table(texts.join(open_ids.select("id"), "id", "left_semi").mapInArrow(_sets(k), "id long, shingles array<long>"))
         rest = scratch.table(verified_sets(sets, _rare_pairs(sets.join(open_ids, "id"), percent, scratch), percent))

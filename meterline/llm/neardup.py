@@ -141,9 +141,9 @@ def near_duplicates(
     Candidates come from banded MinHash buckets: with 50 bands of 7 rows a pair at
     similarity 0.8 shares none with probability 8e-6. Equal sets are one node from the
     start. Each bucket links its members to its smallest id, a star, so there are no
-    more pairs than members. Members of buckets that still lie in several components
-    then go through an exact join on their rarest shingles (``_rare_pairs``), so a
-    bucket loses no link that its star does not show.
+    more pairs than members. Other members of a bucket that still lie in several
+    components then go through an exact join on their rarest shingles
+    (``_rare_pairs``), so a bucket loses no link that its star does not show.
 
     Null or wordless texts have no shingles and are linked with nothing. Rows of
     equal doc_id are one document for linking. A null doc_id is linked with nothing:
@@ -172,11 +172,7 @@ def near_duplicates(
     links = links.unionByName(several.select(F.col("doc_id").alias("a"), F.col("id").alias("b")).distinct())
 
     labels = components(links, scratch)
-    marked = buckets.join(labels.withColumnRenamed("node", "id"), "id", "left").select(
-        "key", "id", F.coalesce("component", "id").alias("c")
-    )
-    mixed = marked.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high")
-    open_ids = scratch.table(marked.join(mixed.select("key"), "key", "left_semi").select("id", "c").distinct())
+    open_ids = unsettled(buckets, labels, scratch)
     if not open_ids.isEmpty():
         rest = scratch.table(_verified(sets, _rare_pairs(sets.join(open_ids, "id"), percent, scratch), percent))
         if not rest.isEmpty():
@@ -195,35 +191,48 @@ def near_duplicates(
     )
 
 
+def unsettled(buckets: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
+    """(id, c): members, with their components, of buckets not settled by their star.
+
+    The star compared the smallest id with all others of a bucket; it is open if those
+    others lie in several components.
+    """
+    hubs = buckets.groupBy("key").agg(F.min("id").alias("hub"))
+    marked = buckets.join(hubs, "key").where("id <> hub").join(labels.withColumnRenamed("node", "id"), "id", "left")
+    marked = marked.select("key", "id", F.coalesce("component", "id").alias("c"))
+    mixed = marked.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high")
+    return scratch.table(marked.join(mixed.select("key"), "key", "left_semi").select("id", "c").distinct())
+
+
 def _rare_pairs(sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """Pairs (a, b) of different components ``c`` that may be linked; no link is missed.
 
     In any order of shingles, two linked sets share one among the first
-    n - ceil(n * percent / 100) + 1 of each. The order is by rarity, so the prefix of
-    a set that is linked with nothing is made of its own edits and meets no other.
-    Where a shingle joins several components, members of the largest are compared with
+    n - ceil(n * percent / 100) + 1 of each, and what follows the first shared one
+    leaves room for the overlap they need. The order is by rarity, so the prefix of a
+    set that is linked with nothing is made of its own edits and meets no other. Where
+    a shingle joins several components, members of the largest are compared with
     members of the others, and the others with each other, but no component with itself.
     """
-    flat = scratch.table(sets.select("id", "c", F.size("shingles").alias("n"), F.explode("shingles").alias("s")))
+    flat = sets.select("id", "c", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
     times = flat.groupBy("s").agg(F.count("*").alias("times")).where("times > 1")
     ranked = (
         flat.join(times, "s").groupBy("id", "c", "n")
         .agg(F.sort_array(F.collect_list(F.struct("times", "s"))).alias("some"))
-        .withColumn("take", F.expr(f"(n - (n * {percent} + 99) div 100 + 1) - (n - size(some))"))
+        .withColumn("own", F.expr("n - size(some)"))
+        .withColumn("take", F.expr(f"n - (n * {percent} + 99) div 100 + 1 - own"))
         .where("take > 0")
     )
-    prefix = scratch.table(
-        ranked.select("id", "c", "n", F.explode(F.expr("slice(some, 1, cast(least(take, size(some)) as int))")).alias("p"))
-        .select("id", "c", "n", "p.s")
-    )
+    few = F.expr("slice(some, 1, cast(least(take, size(some)) as int))")
+    prefix = scratch.table(ranked.select("id", "c", "n", "own", F.posexplode(few).alias("i", "p")).select("id", "c", "n", F.expr("n - own - i").alias("room"), "p.s"))
     share = prefix.groupBy("s", "c").agg(F.count("*").alias("m"))
     most = share.groupBy("s").agg(F.max(F.struct("m", "c")).alias("most"), F.count("*").alias("kinds")).where("kinds > 1")
     mixed = prefix.join(most.select("s", F.col("most.c").alias("main")), "s")
-    others = mixed.where("c <> main").select("s", F.col("id").alias("a"), F.col("c").alias("ca"), F.col("n").alias("na"))
+    others = mixed.where("c <> main").select("s", "main", *(F.col(x).alias(f"{x}_a") for x in ("id", "c", "n", "room")))
     return (
-        others.join(mixed, "s").where("c <> ca")
-        .where(f"100 * least(n, na) >= {percent} * greatest(n, na)")
-        .select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
+        others.join(mixed.drop("main"), "s").where("c <> c_a and (c = main or id < id_a)")
+        .where(f"{100 + percent} * least(room, room_a) >= {percent} * (n + n_a)")
+        .select(F.least("id_a", "id").alias("a"), F.greatest("id_a", "id").alias("b")).distinct()
     )
 
 
