@@ -34,12 +34,14 @@ def strict_time(text: Column) -> Column:
     absent = text.isNull() | text.rlike(_ABSENT)
     month_end = F.last_day(F.regexp_replace(text, _LATE_DAY, "$1-01").try_cast("date"))
     clamped = F.concat_ws(" ", month_end, F.regexp_extract(text, _LATE_DAY, 2))
-    next_day = F.date_add(F.regexp_extract(text, _HOUR_24, 1).try_cast("date"), 1)
+    day = F.regexp_extract(text, _HOUR_24, 1)
+    lacking = F.when(day.rlike("-(?:29|30|31)$"), F.last_day(F.concat(F.substr(day, F.lit(1), F.lit(8)), F.lit("01")).try_cast("date")))
+    next_day = F.date_add(F.coalesce(day.try_cast("date"), lacking), 1)
     return F.coalesce(
         F.regexp_extract(text, _STRICT, 1).try_cast("timestamp"),
         F.when(absent, F.timestamp_seconds(F.lit(0)))
-        .when(text.rlike(_LATE_DAY), clamped.try_cast("timestamp"))
-        .otherwise(next_day.cast("timestamp")),
+        .when(text.rlike(_HOUR_24), next_day.cast("timestamp"))
+        .otherwise(F.when(text.rlike(_LATE_DAY), clamped.try_cast("timestamp"))),
     )
 
 

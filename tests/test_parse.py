@@ -81,6 +81,9 @@ TIMES = [
     ("2023-02-30 05:00:00", dt.datetime(2023, 2, 28, 5), None, None),
     ("2024-02-31 05:00:00", dt.datetime(2024, 2, 29, 5), None, None),
     ("2023-01-01 24:00:00", dt.datetime(2023, 1, 2), None, None),
+    ("2023-01-31 24:00:00", dt.datetime(2023, 2, 1), None, None),
+    ("2023-04-30 24:00:00", dt.datetime(2023, 5, 1), None, None),
+    ("2023-02-30 24:00:00", dt.datetime(2023, 3, 1), None, None),
     ("2023-01-01 25:00:00", None, None, None),
 ]
 
