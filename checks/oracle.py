@@ -335,16 +335,17 @@ SELECT interval_s, round(checkpoint_s, 9) AS checkpoint_s, round(recovery_s, 9)
     "q_best_interval": f"""{_EPISODES}
 SELECT interval_s, round(utilization, 9) AS utilization FROM used
 ORDER BY used.utilization DESC, interval_s LIMIT 1""",
-    "q_best_interval_grid": f"""{_EPISODES},
-grid AS (
-  SELECT costs.*, i / 20.0 AS t
-  FROM costs, (SELECT unnest(generate_series(1, 6000)) AS i)
+    "q_best_interval_exact": f"""{_EPISODES.replace("WITH", "WITH RECURSIVE", 1)},
+halved AS (
+  SELECT interval_s, checkpoint_s, recovery_s, 0 AS i, 0.0::DOUBLE AS low, 8.0::DOUBLE AS high FROM costs
+  UNION ALL
+  SELECT interval_s, checkpoint_s, recovery_s, i + 1,
+    CASE WHEN (low + high) / 2 - checkpoint_s / 600.0 < 1 - exp(-(low + high) / 2) THEN (low + high) / 2 ELSE low END,
+    CASE WHEN (low + high) / 2 - checkpoint_s / 600.0 < 1 - exp(-(low + high) / 2) THEN high ELSE (low + high) / 2 END
+  FROM halved WHERE i < 60
 ),
-scored AS (
-  SELECT *, (1.0 / 600.0) * (t - checkpoint_s) / (exp(recovery_s / 600.0) * (exp(t / 600.0) - 1))
-    AS u
-  FROM grid
-)
-SELECT interval_s, arg_max(t, u) AS best_interval_s, round(max(u), 9) AS best_utilization
-FROM scored GROUP BY interval_s""",
+best AS (SELECT *, 600.0 * low AS t FROM halved WHERE i = 60)
+SELECT interval_s, round(t, 6) AS best_interval_s,
+  round((1.0 / 600.0) * (t - checkpoint_s) / (exp(recovery_s / 600.0) * (exp(t / 600.0) - 1)), 9) AS best_utilization
+FROM best""",
 }

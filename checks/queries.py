@@ -301,10 +301,10 @@ def q_best_interval(spark, sf_dir):
 
 
 @query
-def q_best_interval_grid(spark, sf_dir):
-    found = analysis.best_interval_on_grid(_costs(spark, sf_dir), longest_s=300.0, step_s=0.05)
+def q_best_interval_exact(spark, sf_dir):
+    found = analysis.best_interval_exact(_costs(spark, sf_dir))
     return found.select(
         "interval_s",
-        "best_interval_s",
+        F.round("best_interval_s", 6).alias("best_interval_s"),
         F.round("best_utilization", 9).alias("best_utilization"),
     )

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from meterline.functions.utilization import DEFAULT_FAILURE_RATE, utilization
 from meterline.operators.faults import RESTART_DELAY_S
 
+NEWTON_STEPS = 6
+
 
 def metrics_by_interval(metrics: DataFrame) -> DataFrame:
     """Means, peaks and spreads per interval, from one pass over the metrics.
@@ -54,11 +56,11 @@ def restart_by_interval(episodes: DataFrame) -> DataFrame:
 
 
 def interval_costs(by_interval: DataFrame, restarts: DataFrame) -> DataFrame:
-    """Checkpoint cost and recovery cost in seconds for each interval."""
-    return by_interval.join(restarts, "interval_s").select(
+    """Checkpoint and recovery cost in seconds of each interval; none to recover without a restart."""
+    return by_interval.join(restarts, "interval_s", "left").select(
         "interval_s",
         (F.col("avg_checkpoint_ms") / 1000.0).alias("checkpoint_s"),
-        F.col("avg_restart_s").alias("recovery_s"),
+        F.coalesce("avg_restart_s", F.lit(0.0)).alias("recovery_s"),
     )
 
 
@@ -95,32 +97,20 @@ def best_interval(costed: DataFrame) -> DataFrame:
     )
 
 
-def best_interval_on_grid(
-    costs: DataFrame,
-    longest_s: float = 600.0,
-    step_s: float = 0.01,
-    failure_rate: float = DEFAULT_FAILURE_RATE,
-    delta: float = 0.0,
-    stages: float = 0.0,
+def best_interval_exact(
+    costs: DataFrame, failure_rate: float = DEFAULT_FAILURE_RATE, delta: float = 0.0, stages: float = 0.0
 ) -> DataFrame:
-    """For each row of costs, the interval on a grid that utilizes best.
+    """For each row of costs, the interval that utilizes best, at any length.
 
-    The grid is searched inside each row, so nothing is multiplied out.
+    With y the interval times the failure rate and a the checkpoint cost times it, the
+    optimum solves y - a = 1 - exp(-y). Newton steps from sqrt(2a) settle in a few
+    plain columns. Without a positive checkpoint cost there is no optimum (null).
     """
-    steps = round(longest_s / step_s)
-    per_second = round(1.0 / step_s)
-
-    def candidate(i: Column) -> Column:
-        interval = i.cast("double") / F.lit(float(per_second))
-        use = utilization(
-            interval, F.col("checkpoint_s"), F.col("recovery_s"), failure_rate, delta, stages
-        )
-        return F.struct(use.alias("u"), (-i).alias("minus_i"))
-
-    winner = F.array_max(F.transform(F.sequence(F.lit(1), F.lit(steps)), candidate))
-    found = costs.withColumn("_best", winner)
-    return found.select(
-        *costs.columns,
-        (-F.col("_best.minus_i") / F.lit(float(per_second))).alias("best_interval_s"),
-        F.col("_best.u").alias("best_utilization"),
-    )
+    found = costs.withColumn("_a", F.col("checkpoint_s") * F.lit(failure_rate))
+    found = found.withColumn("_y", F.when(F.col("_a") > 0, F.sqrt(2 * F.col("_a"))))
+    for _ in range(NEWTON_STEPS):
+        y = F.col("_y")
+        found = found.withColumn("_y", y - (y - F.col("_a") - 1 + F.exp(-y)) / (1 - F.exp(-y)))
+    interval = F.col("_y") / F.lit(failure_rate)
+    use = utilization(interval, F.col("checkpoint_s"), F.col("recovery_s"), failure_rate, delta, stages)
+    return found.select(*costs.columns, interval.alias("best_interval_s"), use.alias("best_utilization"))

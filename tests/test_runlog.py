@@ -1,5 +1,7 @@
 import datetime as dt
+import itertools
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -32,25 +34,17 @@ def test_status_fixture(spark):
     assert logged.duration_minus_60s_seconds == -56.0
 
 
-def _loop(rows):
-    """Changes and episodes of one run as a plain loop."""
-    changes, episodes, last, opened = [], [], None, None
-    for _, ts, seq, status in rows:
-        if not status:
-            continue
-        if status == "RESTARTING" and opened is None:
-            opened = (ts, seq)
-        elif status == "RUNNING" and opened is not None:
-            episodes.append((opened[1], seq))
-            opened = None
-        if status != last:
-            changes.append(seq)
-        last = status
-    return changes, episodes
+def _by_text(rows):
+    """Changes and episodes of one run, read off a text of one letter per known sample."""
+    known = [(seq, {"RESTARTING": "x", "RUNNING": "r"}.get(status, "o")) for _, _, seq, status in rows if status]
+    text = "".join(letter for _, letter in known)
+    episodes = [(known[m.start()][0], known[m.end() - 1][0]) for m in re.finditer("x[^r]*r", text)]
+    runs = itertools.groupby((r for r in rows if r[3]), key=lambda r: r[3])
+    return [next(own)[2] for _, own in runs], episodes
 
 
 @pytest.mark.parametrize("seed, chunks", [(1, 1), (2, 7), (3, 40), (4, 300)])
-def test_faults_equal_a_loop(spark, seed, chunks):
+def test_faults_equal_their_text_form(spark, seed, chunks):
     """Most rows in one run and on few instants; chunks smaller than an episode too."""
     rng = random.Random(seed)
     states = ["RUNNING", "RESTARTING", "FAILED", None, ""]
@@ -62,7 +56,7 @@ def test_faults_equal_a_loop(spark, seed, chunks):
     frame = spark.createDataFrame(rows, SAMPLES).repartition(5)
     want_changes, want_episodes = set(), set()
     for run in {row[0] for row in rows}:
-        changes, episodes = _loop(sorted((r for r in rows if r[0] == run), key=lambda r: (r[1], r[2])))
+        changes, episodes = _by_text(sorted((r for r in rows if r[0] == run), key=lambda r: (r[1], r[2])))
         want_changes |= {(run, seq) for seq in changes}
         want_episodes |= {(run, *pair) for pair in episodes}
     got_changes = {(r.run_id, r.seq) for r in faults.status_changes(frame, chunks).collect()}
@@ -175,8 +169,18 @@ def test_published_utilization(spark):
         assert abs(used[interval] * 100 - percent) < 0.1
     assert analysis.best_interval(analysis.with_utilization(costs)).first().interval_s == 30
     # The closed form for these costs gives 38.64, 30.82 and 26.97 seconds.
-    found = {r.interval_s: r.best_interval_s for r in analysis.best_interval_on_grid(costs, 300.0).collect()}
-    assert found == {300: 38.64, 30: 30.82, 5: 26.97}
+    found = {r.interval_s: r.best_interval_s for r in analysis.best_interval_exact(costs).collect()}
+    assert {k: round(v, 6) for k, v in found.items()} == {300: 38.641226, 30: 30.816418, 5: 26.966138}
+    long = spark.createDataFrame([(1, 100.0, 0.0), (2, 0.0, 0.0)], costs.schema)
+    first, none = analysis.best_interval_exact(long, 1 / 6000).orderBy("interval_s").collect()
+    assert round(first.best_interval_s, 6) == 1129.817708 and none.best_interval_s is None
+
+
+def test_an_interval_without_restarts_has_costs(spark):
+    means = spark.createDataFrame([(5, 100.0), (30, 200.0)], "interval_s int, avg_checkpoint_ms double")
+    restarts = spark.createDataFrame([(5, 80.0)], "interval_s int, avg_restart_s double")
+    costs = {r.interval_s: r.recovery_s for r in analysis.interval_costs(means, restarts).collect()}
+    assert costs == {5: 80.0, 30: 0.0}
 
 
 def test_utilization_is_stable_for_rare_failures(spark):
