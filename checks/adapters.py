@@ -267,7 +267,7 @@ def progress_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
         ),
     ).otherwise(F.array())
     report = F.struct(
-        F.concat(F.lit("run-"), (F.col("user_id") % 3).cast("string")).alias("runId"),
+        F.concat(F.lit("run-"), (F.col("user_id") % 3).cast("string")).alias("id"),
         F.col("event_id").alias("batchId"),
         F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("timestamp"),
         F.col("value").alias("processedRowsPerSecond"),

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meterline.operators.ordered import last_known, ordered_chunks
+from meterline.operators.ordered import greatest_before, last_known, ordered_chunks
 
 # Fixed values.
 RESTARTING = "RESTARTING"
@@ -17,9 +17,6 @@ RESTART_DELAY_S = 60.0
 
 _ORDER = ["ts", "seq"]
 
-# Above this many episodes, steady_samples sweeps in time order instead of broadcasting.
-BROADCAST_EPISODES = 1000
-
 
 def status_changes(samples: DataFrame, chunks: int | None = None) -> DataFrame:
     """Samples whose status differs from the last known one; a run's first counts."""
@@ -48,7 +45,7 @@ def restart_episodes(samples: DataFrame, chunks: int | None = None) -> DataFrame
     edges = compared.where(opens | closes).drop("_before")
     # Openings and closings alternate, so a closing belongs to the edge before it.
     opening = F.when(F.col("status") == RESTARTING, F.struct("ts", "seq"))
-    paired = last_known(edges, ["run_id"], _ORDER, opening, "_opened")
+    paired = last_known(edges, ["run_id"], _ORDER, opening, "_opened", is_placed=True)
     return paired.where(F.col("status") == RUNNING).select(
         "run_id",
         F.col("_opened.ts").alias("started_at"),
@@ -68,28 +65,13 @@ def restart_log(episodes: DataFrame) -> DataFrame:
     )
 
 
-def steady_samples(
-    metrics: DataFrame, episodes: DataFrame, broadcast_up_to: int = BROADCAST_EPISODES
-) -> DataFrame:
+def steady_samples(metrics: DataFrame, episodes: DataFrame, chunks: int | None = None) -> DataFrame:
     """Metrics rows (with run_id, ts, seq) outside every episode ``[started, ended)``.
 
-    Few episodes go to every task, which costs no shuffle. Beyond
-    ``broadcast_up_to`` of them, metrics and episode starts are walked in time
-    order: episodes of a run do not overlap, so the one that began last decides.
+    Metrics and episode starts are walked in time order: a row is inside one if any
+    episode that began by then ends later, so the latest end so far decides, also
+    where episodes overlap. A row without a time is in none.
     """
-    spans = episodes.select(
-        F.col("run_id").alias("_run"),
-        F.col("started_at").alias("_starts"),
-        F.col("ended_at").alias("_ends"),
-    )
-    few = spans.limit(broadcast_up_to + 1).count() <= broadcast_up_to
-    if few:
-        inside = (
-            F.col("run_id").eqNullSafe(F.col("_run"))
-            & (F.col("ts") >= F.col("_starts"))
-            & (F.col("ts") < F.col("_ends"))
-        )
-        return metrics.join(F.broadcast(spans), inside, "left_anti")
     rows = metrics.select(
         "run_id",
         "ts",
@@ -107,7 +89,7 @@ def steady_samples(
         F.col("ended_at").alias("_ends"),
     )
     order = ["ts", "_kind", "seq"]
-    cut = ordered_chunks(rows.unionByName(starts), ["run_id"], order)
-    walked = last_known(cut, ["run_id"], order, F.col("_ends"), "_busy_until")
+    cut = ordered_chunks(rows.unionByName(starts), ["run_id"], order, chunks)
+    walked = greatest_before(cut, ["run_id"], order, F.col("_ends"), "_busy_until")
     free = F.col("_busy_until").isNull() | (F.col("ts") >= F.col("_busy_until"))
     return walked.where((F.col("_kind") == 1) & free).select("_row.*")

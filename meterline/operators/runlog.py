@@ -19,7 +19,7 @@ METRIC_KEYWORDS: dict[str, tuple[str, ...]] = {
 
 # The parts of a streaming progress report that become metrics.
 PROGRESS_DDL = """
-    runId string, batchId bigint, timestamp string, processedRowsPerSecond double,
+    id string, batchId bigint, timestamp string, processedRowsPerSecond double,
     durationMs struct<triggerExecution: bigint, walCommit: bigint, commitOffsets: bigint>,
     stateOperators array<struct<commitTimeMs: bigint, numRowsDroppedByWatermark: bigint>>
 """
@@ -79,7 +79,8 @@ def progress_metrics(reports: DataFrame, keep: Sequence[str] = (), report: str =
     """Streaming progress reports (JSON text) as metrics rows.
 
     A micro-batch is a checkpoint here: its id is the checkpoint id and its log
-    commits are the checkpoint duration. ``late_rows`` and ``state_commit_ms``
+    commits are the checkpoint duration. A stream keeps its id over restarts from its
+    checkpoint, so the id names the run. ``late_rows`` and ``state_commit_ms``
     come on top of the metrics columns.
     """
     parsed = reports.select(*keep, F.from_json(F.col(report), PROGRESS_DDL).alias("p"))
@@ -98,7 +99,7 @@ def progress_metrics(reports: DataFrame, keep: Sequence[str] = (), report: str =
     )
     return parsed.select(
         *keep,
-        F.col("p.runId").alias("stream_run_id"),
+        F.col("p.id").alias("stream_run_id"),
         F.col("p.timestamp").try_cast("timestamp").alias("timestamp"),
         duration["triggerExecution"].cast("double").alias("Latency"),
         F.col("p.processedRowsPerSecond").alias("Throughput"),

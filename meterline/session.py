@@ -9,12 +9,8 @@ import uuid
 
 from pyspark.sql import SparkSession
 
-# Event times are read and printed in UTC. Generated methods beyond 8000 bytes are
-# never compiled by HotSpot; above that size rows go through smaller ones instead.
-SQL_CONF = {
-    "spark.sql.session.timeZone": "UTC",
-    "spark.sql.codegen.hugeMethodLimit": "8000",
-}
+# Event times are read and printed in UTC.
+SQL_CONF = {"spark.sql.session.timeZone": "UTC"}
 
 STATE_STORE_CONF = {
     "spark.sql.streaming.stateStore.providerClass": (

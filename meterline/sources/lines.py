@@ -58,14 +58,17 @@ def data_lines(lines: DataFrame, header: str | None = None) -> DataFrame:
 def is_header(line: Column, header: str | None = None) -> Column:
     """True for the given header line or, if none is given, for one that looks so.
 
-    A header names a pickup time column and holds no time where one is due, so a
-    file that starts with data loses no row.
+    A header names a pickup time column, holds no time where one is due and no number
+    at all. Data lines hold numbers, so a bad one is not taken for a header, whatever
+    its texts say, and a file that starts with data loses no row.
     """
     if header is not None:
         return line == F.lit(header.strip())
     names = F.lower(line)
-    untimed = raw_field_time(F.get(F.split(line, ","), F.lit(PICKUP_INDEX))).isNull()
-    return names.contains("pickup") & names.contains("datetime") & untimed
+    fields = F.split(line, ",")
+    untimed = raw_field_time(F.get(fields, F.lit(PICKUP_INDEX))).isNull()
+    unnumbered = ~F.exists(fields, lambda field: field.try_cast("double").isNotNull())
+    return names.contains("pickup") & names.contains("datetime") & untimed & unnumbered
 
 
 def read_csv_strings(spark: SparkSession, path: str | list[str], columns: list[str]) -> DataFrame:

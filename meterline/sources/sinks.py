@@ -83,27 +83,27 @@ def render_metrics(metrics: DataFrame) -> DataFrame:
     """Metrics as log text: microsecond times, ``N/A`` for what is not known."""
     first, *others = METRICS_COLUMNS
     return metrics.select(
-        *_extra(metrics, METRICS_COLUMNS),
         log_time(F.col(first)).alias(first),
         *[or_marker(F.col(name)).alias(name) for name in others],
+        *_extra(metrics, METRICS_COLUMNS),
     )
 
 
 def render_status(status: DataFrame) -> DataFrame:
     when, state = STATUS_COLUMNS
     return status.select(
-        *_extra(status, STATUS_COLUMNS),
         log_time(F.col(when)).alias(when),
         or_marker(F.nullif(F.col(state), F.lit("")), STATUS_NOT_AVAILABLE).alias(state),
+        *_extra(status, STATUS_COLUMNS),
     )
 
 
 def render_restarts(restarts: DataFrame) -> DataFrame:
     when, seconds = RESTART_COLUMNS
     return restarts.select(
-        *_extra(restarts, RESTART_COLUMNS),
         log_time(F.col(when)).alias(when),
         F.format_string("%.4f", F.col(seconds)).alias(seconds),
+        *_extra(restarts, RESTART_COLUMNS),
     )
 
 
@@ -112,23 +112,35 @@ def append_log(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").option("header", True).csv(path)
 
 
-def read_metrics(spark, path: str) -> DataFrame:
-    """A metrics log back as typed columns, ``N/A`` as null."""
+def read_metrics(spark, path: str, extra: str = "") -> DataFrame:
+    """A metrics log back as typed columns, ``N/A`` as null.
+
+    ``extra`` declares the columns a log carries beyond the known ones ("run_id bigint,
+    interval_s int"); a log whose header says otherwise is an error.
+    """
     # Types of the metrics log columns, in file order.
     types = ("timestamp", "double", "double", "bigint", "string", "bigint", "string")
     schema = ", ".join(f"{name} {kind}" for name, kind in zip(METRICS_COLUMNS, types))
-    return _read_log(spark, path, schema, NOT_AVAILABLE)
+    return _read_log(spark, path, schema, extra, NOT_AVAILABLE)
 
 
-def read_status(spark, path: str) -> DataFrame:
+def read_status(spark, path: str, extra: str = "") -> DataFrame:
+    """A status log back as typed columns, see ``read_metrics``."""
     schema = "record_timestamp timestamp, job_status string"
-    return _read_log(spark, path, schema, STATUS_NOT_AVAILABLE)
+    return _read_log(spark, path, schema, extra, STATUS_NOT_AVAILABLE)
+
+
+def read_restarts(spark, path: str, extra: str = "") -> DataFrame:
+    """A restart log back as typed columns, see ``read_metrics``."""
+    when, seconds = RESTART_COLUMNS
+    return _read_log(spark, path, f"{when} timestamp, {seconds} double", extra, NOT_AVAILABLE)
 
 
-def _read_log(spark, path: str, schema: str, missing: str) -> DataFrame:
+def _read_log(spark, path: str, schema: str, extra: str, missing: str) -> DataFrame:
     return (
-        spark.read.schema(schema)
+        spark.read.schema(f"{schema}, {extra}" if extra else schema)
         .option("header", True)
+        .option("enforceSchema", False)
         .option("nullValue", missing)
         .option("timestampFormat", "yyyy-MM-dd HH:mm:ss.SSSSSS")
         .csv(path)

@@ -71,6 +71,11 @@ def test_csv_scan_checks_header(spark):
         sources.read_csv_strings(spark, path, ["a", "x", "c"]).collect()
 
 
+def test_bad_data_line_is_no_header(spark):
+    frame = spark.createDataFrame([("2,the pickup datetime,bad,1.5",)], "value string")
+    assert sources.data_lines(frame).count() == 1
+
+
 def test_header_is_dropped_and_data_is_not(spark):
     lines = [",".join(HEADER), "", "  ", LINES[1], " " + LINES[2] + " "]
     frame = spark.createDataFrame([(line,) for line in lines], "value string")

@@ -79,15 +79,18 @@ def test_null_key_is_kept(spark):
     assert len(filled) == 50 and {r.got for r in filled} == {0}
 
 
-@pytest.mark.parametrize("limit", [0, 1000])
-def test_steady_samples_both_ways(spark, limit):
+@pytest.mark.parametrize("chunks", [1, 7])
+def test_steady_samples(spark, chunks):
     rng = random.Random(9)
     states = [rng.choice(["RUNNING", "RESTARTING", "FAILED", None]) for _ in range(400)]
     samples = _samples(spark, states).unionByName(_samples(spark, states[::-1], run=2))
-    episodes = faults.restart_episodes(samples).checkpoint()
+    found = faults.restart_episodes(samples)
+    # A span of 100 samples over many short ones, so that the last one begun does not decide.
+    long = found.where("run_id = 2").orderBy("started_at").limit(1)
+    episodes = found.unionByName(long.withColumn("ended_at", F.expr("started_at + interval 100 seconds"))).checkpoint()
     spans = [(r.run_id, r.started_at, r.ended_at) for r in episodes.collect()]
     rows = samples.select("run_id", "ts", "seq", F.col("seq").alias("throughput"))
-    got = {(r.run_id, r.seq) for r in faults.steady_samples(rows, episodes, limit).collect()}
+    got = {(r.run_id, r.seq) for r in faults.steady_samples(rows, episodes, chunks).collect()}
     want = {
         (r.run_id, r.seq)
         for r in rows.collect()
@@ -96,6 +99,14 @@ def test_steady_samples_both_ways(spark, limit):
     assert spans and got == want and len(got) < rows.count()
 
 
+def test_one_shuffle_of_full_rows(spark):
+    frame = spark.range(50).selectExpr("1L run_id", "timestamp_seconds(id) ts", "id seq", "cast(id as string) status")
+    plan = faults.status_changes(frame)._jdf.queryExecution().executedPlan().toString()
+    # The others move the sample of the bounds and one row per run and chunk.
+    assert plan.count("REPARTITION_BY_NUM") == 1 and plan.count("+- Window") + plan.count(":- Window") == 2
+    assert "ExistingRDD" not in plan
+
+
 def test_checkpoint_documents(spark):
     documents = [
         ('{"history":{"entries":[{"id":3,"status":"COMPLETED","duration":12}]}}', (3, "COMPLETED", 12)),
@@ -186,3 +197,18 @@ def test_an_interval_without_restarts_has_costs(spark):
 def test_utilization_is_stable_for_rare_failures(spark):
     value = utilization(F.lit(30.0), F.lit(0.0), F.lit(0.0), 1e-12)
     assert abs(spark.range(1).select(value).first()[0] - 1.0) < 1e-9
+
+
+def test_logs_with_runs_read_back(spark):
+    """Columns beyond the known ones come back by name; undeclared ones are an error."""
+    row = (7, 30, T0, 1.5, 2.5, 4, "COMPLETED", 12, "RUNNING")
+    kinds = "run_id long, interval_s int, timestamp timestamp, Latency double, Throughput double, CheckpointID long, CheckpointStatus string, CheckpointDurationMs long, JobStatus string"
+    path = scratch_dir(spark, "metrics")
+    sinks.append_log(sinks.render_metrics(spark.createDataFrame([row], kinds)), path)
+    assert tuple(sinks.read_metrics(spark, path, "run_id long, interval_s int").select(*[k.split()[0] for k in kinds.split(", ")]).first()) == row
+    with pytest.raises(Exception, match="header"):
+        sinks.read_metrics(spark, path).collect()
+    path = scratch_dir(spark, "restarts")
+    log = faults.restart_log(faults.restart_episodes(_samples(spark, FIXTURE)))
+    sinks.append_log(sinks.render_restarts(log), path)
+    assert sinks.read_restarts(spark, path, "run_id long").collect() == log.select("record_timestamp", "duration_minus_60s_seconds", "run_id").collect()

@@ -8,7 +8,7 @@ import pytest
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
-from meterline.operators import hourly, parse, replay
+from meterline.operators import faults, hourly, parse, replay
 from meterline.operators.window_fold import INCOME_FOLD, WindowFold, fold_windows
 from meterline.session import scratch_dir
 from meterline.sources import lines as sources
@@ -196,6 +196,23 @@ def test_recorder_writes_progress(spark, folders):
     assert recorder.metrics().where("JobStatus = 'RUNNING'").count() >= 1
 
 
+def test_crash_and_restart_make_one_episode(spark, folders):
+    recorder = ProgressRecorder(spark, scratch_dir(spark, "recorded"))
+    source, out, log = folders
+    spark.streams.addListener(recorder)
+    try:
+        _write(source, "0.txt", [("00:10:00", 1, 10), ("00:nonsense", 1, 10)])
+        with pytest.raises(StreamingQueryException):
+            _run(spark, folders)
+        _run(spark, folders, bad="drop")
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    finally:
+        spark.streams.removeListener(recorder)
+    found = faults.restart_episodes(recorder.samples()).collect()
+    assert len(found) == 1 and found[0].duration_us > 0
+    assert {r.run_id for r in found} == {r.stream_run_id for r in recorder.metrics().collect()}
+
+
 def test_fold_equals_the_aggregate(spark):
     lines = spark.createDataFrame([(v,) for v in _random_trips(4)], "value string").repartition(7)
     trips = parse.parse_trips(lines)
