@@ -54,18 +54,32 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.table(labels.join(least, "root").select("node", "component"))
 
 
+def merged(labels: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """Labels of ``components`` after further ``links`` (a, b), worked out between components only."""
+    name = labels.select(F.col("node").alias("a"), F.col("component").alias("x"))
+    other = labels.select(F.col("node").alias("b"), F.col("component").alias("y"))
+    edges = links.join(name, "a", "left").join(other, "b", "left")
+    edges = edges.select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b")).distinct()
+    further = components(edges, scratch)
+    lower = further.select(F.col("node").alias("component"), F.col("component").alias("lower"))
+    moved = labels.join(lower, "component", "left").select("node", F.coalesce("lower", "component").alias("component"))
+    # A component's least node bears its name, so nodes not labelled yet are those of no component.
+    return scratch.table(moved.unionByName(further.join(labels, "node", "left_anti")))
+
+
 def shared(rows: DataFrame, scratch: Scratch) -> DataFrame:
-    """Of (key, id, n) rows those whose key has several ids, each once; one wide shuffle.
+    """Of (key, id, ...) rows those whose key has several ids; one wide shuffle.
 
     Rows are dealt by ranges of (key, id), so a key with a third of all rows is cut
-    over many tasks. Inside a task equal keys are neighbours. The first and last key
+    over many tasks. Inside a task equal rows and equal keys are neighbours; what tasks
+    saw several times, such as a common line, goes there. The first and last key
     of a task may go on in the next one, so their rows are kept as they are; singles
     among them go in the small count that follows.
     """
     dealt = rows.repartitionByRange(shuffle_width(rows.sparkSession), "key", "id").sortWithinPartitions("key", "id")
     near = scratch.table(dealt.mapInArrow(_neighbours, rows.schema))
     many = near.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
-    return scratch.table(near.join(many.select("key"), "key", "left_semi").distinct())
+    return scratch.table(near.join(many.select("key"), "key", "left_semi"))
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,6 +89,11 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         table = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks()
         key = table.column("key").to_numpy()
+        columns = [column.to_numpy() for column in table.columns]
+        alike = np.logical_and.reduce([column[1:] == column[:-1] for column in columns])
+        if alike.any():
+            once = np.r_[True, ~alike]
+            table, key = table.filter(pa.array(once)).combine_chunks(), key[once]
         first = key[0] if first is None else first
         same = np.r_[before is not None and before == key[0], key[1:] == key[:-1]]
         keep = same[:-1] | same[1:] | (key[:-1] == first)

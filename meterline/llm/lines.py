@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meterline.llm.graph import components, shared
+from meterline.llm.graph import components, merged, shared
 from meterline.llm.neardup import OnePermutation, _rare_pairs, unsettled
 from meterline.llm.neardup import _verified as verified_sets
 from meterline.llm.scratch import Scratch
@@ -220,7 +220,7 @@ def repeated_lines(
         sets = scratch.table(texts.join(open_ids.select("id"), "id", "left_semi").mapInArrow(_sets(k), "id long, shingles array<long>"))
         rest = scratch.table(verified_sets(sets, _rare_pairs(sets.join(open_ids, "id"), percent, scratch), percent))
         if not rest.isEmpty():
-            labels = components(links.unionByName(rest), scratch)
+            labels = merged(labels, rest, scratch)
 
     lines = found.select("doc_id", "line_no", "id").join(labels.withColumnRenamed("node", "id"), "id", "left")
     lines = lines.select("doc_id", "line_no", F.coalesce("component", "id").alias("c"))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meterline.llm.graph import components, shared
+from meterline.llm.graph import components, merged, shared
 from meterline.llm.scratch import Scratch
 from meterline.llm.words import SPACED, WordReader, constants, mix, runs, slices
 
@@ -176,7 +176,7 @@ def near_duplicates(
     if not open_ids.isEmpty():
         rest = scratch.table(_verified(sets, _rare_pairs(sets.join(open_ids, "id"), percent, scratch), percent))
         if not rest.isEmpty():
-            labels = components(links.unionByName(rest), scratch)
+            labels = merged(labels, rest, scratch)
     place = same.join(labels.withColumnRenamed("node", "id"), "id", "left").select(
         "set_key", F.coalesce("component", "id").alias("component")
     )
