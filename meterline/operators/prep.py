@@ -15,8 +15,9 @@ from meterline.schema import DROPOFF_INDEX, PICKUP_INDEX
 # Fixed value: trips that began earlier are dirty data.
 DEFAULT_BOUND = "2023-01-01 00:00:00"
 
-# A comma outside quotes: an even number of quotes follows it.
-_OUTER_COMMA = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
+# A comma outside quotes: an even number of quotes follows it. Possessive, so that it
+# neither backtracks nor recurses.
+_OUTER_COMMA = r',(?=(?:[^"]*+"[^"]*+")*+[^"]*+$)'
 
 
 def time_columns(header: Sequence[str]) -> tuple[int, int]:
@@ -33,7 +34,14 @@ def time_columns(header: Sequence[str]) -> tuple[int, int]:
 def csv_fields(line: Column) -> Column:
     """Fields of a CSV line; a quoted field keeps its commas, and its quotes."""
     plain = F.split(line, ",", -1)
-    return F.when(F.contains(line, F.lit('"')), F.split(line, _OUTER_COMMA, -1)).otherwise(plain)
+    # Pieces between quotes in turn lie outside and inside, counted from the end. A line
+    # has no line break, so breaks can stand for outer commas; this takes linear time.
+    pieces = F.split(line, '"', -1)
+    outer = lambda piece, i: (F.size(pieces) - 1 - i) % 2 == 0
+    broken = F.transform(pieces, lambda piece, i: F.when(outer(piece, i), F.replace(piece, F.lit(","), F.lit("\n"))).otherwise(piece))
+    quoted = F.split(F.array_join(broken, '"'), "\n", -1)
+    quoted = F.when(F.contains(line, F.lit("\n")), F.split(line, _OUTER_COMMA, -1)).otherwise(quoted)
+    return F.when(F.contains(line, F.lit('"')), quoted).otherwise(plain)
 
 
 def keyed_lines(lines: DataFrame, header: Sequence[str], line: str = "value") -> DataFrame:

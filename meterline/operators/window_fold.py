@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -100,27 +101,37 @@ def names_in(ddl: str) -> list[str]:
     return [column.split()[0] for column in ddl.split(",")]
 
 
+_TALLIES = ["trips", "cents", "nans", "ups", "downs"]
+
+
 def _condense_income(rows: pd.DataFrame) -> pd.DataFrame:
-    cents = (rows["total_amount"] * 100).round().astype("int64")
-    return (
-        rows.assign(cents=cents)
-        .groupby(list(KEYS), as_index=False)
-        .agg(trips=("cents", "size"), cents=("cents", "sum"))
+    amount = rows["total_amount"]
+    # Sums in pandas skip NaN, so what is not finite is counted beside the sum.
+    tallied = rows.assign(
+        trips=1,
+        cents=(amount.where(np.isfinite(amount), 0.0) * 100).round(),
+        nans=amount.isna().astype("int64"),
+        ups=(amount == np.inf).astype("int64"),
+        downs=(amount == -np.inf).astype("int64"),
     )
+    return _combine_income(tallied)
 
 
 def _combine_income(parts: pd.DataFrame) -> pd.DataFrame:
-    return parts.groupby(list(KEYS), as_index=False)[["trips", "cents"]].sum()
+    return parts.groupby(list(KEYS), as_index=False)[_TALLIES].sum()
 
 
 def _finish_income(part: pd.DataFrame) -> pd.DataFrame:
-    return part.assign(trip_count=part["trips"], total_income=part["cents"] / 100.0)
+    total = (part["cents"] / 100.0).mask(part["ups"] > 0, np.inf).mask(part["downs"] > 0, -np.inf)
+    unknown = (part["nans"] > 0) | ((part["ups"] > 0) & (part["downs"] > 0))
+    return part.assign(trip_count=part["trips"], total_income=total.mask(unknown, np.nan))
 
 
-# The built-in aggregate once more, through the hook (for amounts in whole cents).
+# The built-in aggregate once more, through the hook (for amounts in whole cents). Pandas
+# hands NaN over as null, so a window that holds one has a null income here.
 INCOME_FOLD = WindowFold(
     columns=("total_amount",),
-    part_ddl="trips bigint, cents bigint",
+    part_ddl="trips bigint, cents double, nans bigint, ups bigint, downs bigint",
     result_ddl="trip_count bigint, total_income double",
     condense=_condense_income,
     combine=_combine_income,

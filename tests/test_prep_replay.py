@@ -1,5 +1,6 @@
-import datetime as dt
 import random
+import re
+import datetime as dt
 import uuid
 from collections import Counter
 
@@ -131,3 +132,14 @@ def test_staged_ticks(spark):
     want = replay.with_ticks(replay.timed_lines(lines), 3600).groupBy("tick").count()
     assert counts == {r.tick: r["count"] for r in want.collect()}
     assert staged.where(F.col("tick") == 0).count() == 9
+
+
+def test_quoted_fields_of_any_number(spark):
+    rng = random.Random(5)
+    texts = ["".join(rng.choice(',,""ab\n') for _ in range(rng.randrange(14))) for _ in range(400)]
+    texts.append(",".join(['"a,b"'] * 20000))
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, value string")
+    got = {r.i: r.f for r in frame.select("i", prep.csv_fields(F.col("value")).alias("f")).collect()}
+    for i, text in enumerate(texts[:-1]):
+        assert got[i] == re.split(r',(?=(?:[^"]*"[^"]*")*[^"]*\Z)', text), text
+    assert got[400] == ['"a,b"'] * 20000

@@ -220,6 +220,15 @@ def test_fold_equals_the_aggregate(spark):
     assert got == {tuple(r) for r in hourly.hourly_income(trips, exact_cents=True).collect()}
 
 
+def test_fold_of_amounts_that_are_not_finite(spark):
+    amounts = [("a", ["NaN", "1"]), ("b", ["1.5", "2"]), ("c", ["1e400", "1"])]
+    values = [(_line("2023-01-01 00:10:00", zone, x),) for zone, (_, xs) in enumerate(amounts) for x in xs]
+    trips = parse.parse_trips(spark.createDataFrame(values, "value string"))
+    got = {r.pu_location_id: str(r.total_income) for r in fold_windows(trips, INCOME_FOLD).collect()}
+    assert got == {0: "None", 1: "3.5", 2: "inf"}
+    assert {**got, 0: "nan"} == {r.pu_location_id: str(r.total_income) for r in hourly.hourly_income(trips).collect()}
+
+
 KEYS = ["pu_location_id", "window_start", "window_end"]
 
 
