@@ -210,21 +210,26 @@ def _rare_pairs(sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     In any order of shingles, two linked sets share one among the first
     n - ceil(n * percent / 100) + 1 of each, and what follows the first shared one
     leaves room for the overlap they need. The order is by rarity, so the prefix of a
-    set that is linked with nothing is made of its own edits and meets no other. Where
-    a shingle joins several components, members of the largest are compared with
+    set that is linked with nothing is made of its own edits and meets no other.
+    Shingles of the very same sets, such as those across one rare word, stand together
+    in that order, and the first shared shingle heads its run; so only the head of each
+    run is joined. Runs are told by a hash, and a clash of hashes only adds candidates.
+    Where a shingle joins several components, members of the largest are compared with
     members of the others, and the others with each other, but no component with itself.
     """
     flat = sets.select("id", "c", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
-    times = flat.groupBy("s").agg(F.count("*").alias("times")).where("times > 1")
+    times = flat.groupBy("s").agg(F.count("*").alias("times"), F.bit_xor(F.xxhash64("id")).alias("holders")).where("times > 1")
     ranked = (
         flat.join(times, "s").groupBy("id", "c", "n")
-        .agg(F.sort_array(F.collect_list(F.struct("times", "s"))).alias("some"))
+        .agg(F.sort_array(F.collect_list(F.struct("times", "holders"))).alias("some"))
         .withColumn("own", F.expr("n - size(some)"))
         .withColumn("take", F.expr(f"n - (n * {percent} + 99) div 100 + 1 - own"))
         .where("take > 0")
+        .withColumn("some", F.expr("slice(some, 1, cast(least(take, size(some)) as int))"))
     )
-    few = F.expr("slice(some, 1, cast(least(take, size(some)) as int))")
-    prefix = scratch.table(ranked.select("id", "c", "n", "own", F.posexplode(few).alias("i", "p")).select("id", "c", "n", F.expr("n - own - i").alias("room"), "p.s"))
+    placed = F.transform("some", lambda p, i: F.struct(i.alias("i"), p["holders"].alias("s")))
+    heads = F.filter(placed, lambda p: (p["i"] == 0) | (F.get("some", p["i"] - 1)["holders"] != p["s"]))
+    prefix = scratch.table(ranked.select("id", "c", "n", "own", F.explode(heads).alias("p")).select("id", "c", "n", F.expr("n - own - p.i").alias("room"), "p.s"))
     share = prefix.groupBy("s", "c").agg(F.count("*").alias("m"))
     most = share.groupBy("s").agg(F.max(F.struct("m", "c")).alias("most"), F.count("*").alias("kinds")).where("kinds > 1")
     mixed = prefix.join(most.select("s", F.col("most.c").alias("main")), "s")
