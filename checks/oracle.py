@@ -157,6 +157,13 @@ used AS (
 )
 """
 
+# Windows that the stream closes.
+_CLOSED = f"""{_LINES}, hourly AS ({_HOURLY}), closed AS (
+  SELECT * FROM hourly
+  WHERE window_end <= (SELECT max(pickup_ts) - INTERVAL 1 MINUTE FROM trips)
+)
+"""
+
 _LOG = """
 WITH log AS (
   SELECT event_id AS seq, ts AS "timestamp", CAST(user_id AS DOUBLE) AS "Latency",
@@ -212,6 +219,10 @@ FROM raw WHERE mess IN ('blank_line', 'short', 'quoted_pickup', 'bad_dropoff')""
     "q_prep_sorted": f"""{_LINES}
 SELECT event_id, pickup, dropoff,
        row_number() OVER (ORDER BY dropoff NULLS FIRST, event_id) AS sort_rank
+FROM readable WHERE pickup >= TIMESTAMP '{BOUND}'""",
+    "q_shifted_columns": f"""{_LINES}
+SELECT event_id, pickup, dropoff,
+       row_number() OVER (ORDER BY dropoff NULLS FIRST, event_id) AS sort_rank
 FROM readable WHERE pickup >= TIMESTAMP '{BOUND}'""",
     "q_prep_stats": f"""{_LINES}
 SELECT count(*) AS rows_read,
@@ -246,9 +257,23 @@ SELECT format('PULocationID={{}}, WindowStart={{}}, WindowEnd={{}}, TripCount={{
               strftime(window_end, '%Y-%m-%d %H:%M:%S'), trip_count, total_income) AS value
 FROM hourly""",
     "q_window_apply": _LINES + _HOURLY,
-    "q_stream_hourly": f"""{_LINES}, hourly AS ({_HOURLY})
-SELECT * FROM hourly
-WHERE window_end <= (SELECT max(pickup_ts) - INTERVAL 1 MINUTE FROM trips)""",
+    "q_stream_hourly": f"{_CLOSED} SELECT * FROM closed",
+    "q_stream_restart": f"{_CLOSED} SELECT * FROM closed",
+    "q_stream_fold": f"{_CLOSED} SELECT * FROM closed",
+    "q_stream_lines": f"""{_CLOSED}
+SELECT format('PULocationID={{}}, WindowStart={{}}, WindowEnd={{}}, TripCount={{}}, '
+              || 'TotalIncome={{:.2f}}', pu_location_id,
+              strftime(window_start, '%Y-%m-%d %H:%M:%S'),
+              strftime(window_end, '%Y-%m-%d %H:%M:%S'), trip_count, total_income) AS value
+FROM closed""",
+    "q_stream_divert": f"""{_LINES}
+SELECT pu_location_id, pickup_ts, dropoff_ts, total_amount,
+       CAST(NULL AS VARCHAR) AS value, CAST(NULL AS VARCHAR) AS bad_reason FROM trips
+UNION ALL
+SELECT NULL, NULL, NULL, NULL, value,
+       CASE mess WHEN 'blank_line' THEN 'empty' WHEN 'short' THEN 'short'
+                 WHEN 'quoted_pickup' THEN 'pickup' ELSE 'dropoff' END
+FROM raw WHERE mess IN ('blank_line', 'short', 'quoted_pickup', 'bad_dropoff')""",
     "q_metrics_render": f"""{_LOG}
 SELECT seq, strftime("timestamp", '%Y-%m-%d %H:%M:%S.%f') AS "timestamp",
        CAST("Latency" AS VARCHAR) AS "Latency", CAST("Throughput" AS VARCHAR) AS "Throughput",
@@ -309,6 +334,25 @@ WHERE status IS DISTINCT FROM previous_status""",
     "q_restart_log": f"""{_EPISODES}
 SELECT run_id, ended_at AS record_timestamp,
        round(duration_us / 1e6 - 60.0, 6) AS duration_minus_60s_seconds FROM episodes""",
+    "q_recorded_report": f"""{_EPISODES},
+figures AS (
+  SELECT interval_s, round(avg(throughput), 6) AS avg_throughput,
+         max(throughput) AS peak_throughput, round(avg(latency), 6) AS avg_latency,
+         max(latency) - min(latency) AS latency_spread
+  FROM metrics GROUP BY interval_s
+),
+steady AS (
+  SELECT interval_s, round(avg(throughput), 6) AS steady_throughput FROM metrics m
+  WHERE NOT EXISTS (SELECT 1 FROM episodes e WHERE e.run_id = m.run_id
+                    AND m.ts >= e.started_at AND m.ts < e.ended_at)
+  GROUP BY interval_s
+)
+SELECT interval_s, avg_throughput, peak_throughput, avg_latency, latency_spread, checkpoints,
+       round(avg_checkpoint_ms, 6) AS avg_checkpoint_ms,
+       round(stddev_checkpoint_ms, 6) AS stddev_checkpoint_ms, steady_throughput,
+       restarts, round(avg_restart_s, 6) AS avg_restart_s, round(utilization, 6) AS utilization
+FROM figures JOIN durations USING (interval_s) LEFT JOIN steady USING (interval_s)
+LEFT JOIN restarts USING (interval_s) LEFT JOIN used USING (interval_s)""",
     "q_steady_state_avg": f"""{_EPISODES}
 SELECT interval_s, count(*) AS samples, round(avg(throughput), 6) AS avg_throughput,
        round(avg(latency), 6) AS avg_latency

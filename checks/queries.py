@@ -11,11 +11,14 @@ from checks import adapters
 from meterline.functions.numbers import lenient_double, lenient_int
 from meterline.functions.times import column_time, raw_field_time, strict_time
 from meterline.operators import analysis, faults, hourly, parse, prep, replay, runlog
+from meterline.plans.report import interval_report
 from meterline.operators.window_fold import INCOME_FOLD, fold_windows
 from meterline.session import scratch_dir, prepare
 from meterline.sources import lines as line_sources
 from meterline.sources import sinks
-from meterline.streaming.hourly_stream import run_hourly_table
+from meterline.streaming.divert_stream import diverted, run_divert
+from meterline.streaming.fold_stream import stream_fold
+from meterline.streaming.hourly_stream import paced, run_hourly_lines, run_hourly_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -93,6 +96,16 @@ def q_prep_sorted(spark, sf_dir):
     return ranked.select("event_id", "pickup", "dropoff", "sort_rank")
 
 
+@query
+def q_shifted_columns(spark, sf_dir):
+    """The same sort where other columns come first: times are found by the header."""
+    moved = F.concat(F.lit("a,b,"), F.col("value"))
+    lines = adapters.trip_lines(spark, sf_dir).where(F.btrim("value") != "").withColumn("value", moved)
+    keyed = prep.keyed_lines(lines, ["first", "second", *adapters.HEADER]).drop("value")
+    ranked = prep.rank_by_dropoff(keyed, ["event_id"], adapters.BOUND)
+    return ranked.select("event_id", "pickup", "dropoff", "sort_rank")
+
+
 @query
 def q_prep_stats(spark, sf_dir):
     return prep.prep_stats(_keyed(spark, sf_dir), adapters.BOUND)
@@ -170,6 +183,56 @@ def q_stream_hourly(spark, sf_dir):
     return spark.read.parquet(out)
 
 
+def _line_stream(spark, lines):
+    """A stream over the lines, written as files."""
+    source = scratch_dir(spark, "stream-in")
+    lines.select("value").write.text(source)
+    return spark.readStream.format("text").load(source)
+
+
+@query
+def q_stream_restart(spark, sf_dir):
+    """The job stopped and started again: earlier lines first, later ones after the restart."""
+    source, out, log = (scratch_dir(spark, name) for name in ("stream-in", "stream-out", "stream-log"))
+    lines = adapters.trip_lines(spark, sf_dir).select("value")
+    later = F.coalesce(F.get(F.split("value", ","), 1) >= adapters.BOUND, F.lit(False))
+    for part in (~later, later):
+        lines.where(part).write.mode("append").text(source)
+        stream = spark.readStream.format("text").load(source)
+        run_hourly_table(stream, out, log, interval=None, bad="drop", exact_cents=True).awaitTermination()
+    return spark.read.parquet(out)
+
+
+@query
+def q_stream_fold(spark, sf_dir):
+    """The streaming job through the hook for callers' own window functions."""
+    out = scratch_dir(spark, "stream-out")
+    windows = stream_fold(_line_stream(spark, adapters.trip_lines(spark, sf_dir)), INCOME_FOLD, bad="drop")
+    writer = windows.writeStream.format("parquet").option("path", out)
+    paced(writer.option("checkpointLocation", scratch_dir(spark, "stream-log")), None).start().awaitTermination()
+    return spark.read.parquet(out)
+
+
+@query
+def q_stream_lines(spark, sf_dir):
+    """Result lines of the streaming job, two files per micro-batch."""
+    out, log = scratch_dir(spark, "stream-out"), scratch_dir(spark, "stream-log")
+    lines = _line_stream(spark, adapters.trip_lines(spark, sf_dir))
+    run_hourly_lines(lines, out, log, interval=None, bad="drop", exact_cents=True, files=2).awaitTermination()
+    return spark.read.text(out)
+
+
+@query
+def q_stream_divert(spark, sf_dir):
+    """Trips and bad lines of one streaming job."""
+    out = scratch_dir(spark, "stream-out")
+    lines = _line_stream(spark, adapters.trip_lines(spark, sf_dir))
+    run_divert(lines, out, scratch_dir(spark, "stream-log"), interval=None).awaitTermination()
+    trips, bad = diverted(spark, out)
+    trips = trips.select("pu_location_id", "pickup_ts", "dropoff_ts", "total_amount")
+    return trips.unionByName(bad, allowMissingColumns=True)
+
+
 # Run logs
 
 
@@ -238,6 +301,23 @@ def q_restart_log(spark, sf_dir):
     )
 
 
+@query
+def q_recorded_report(spark, sf_dir):
+    """Metrics and status written as run logs with run_id, read back, and reported on."""
+    metrics_path, status_path = scratch_dir(spark, "metrics-log"), scratch_dir(spark, "status-log")
+    rows = adapters.metrics(spark, sf_dir).select("run_id", "seq")
+    sinks.append_log(sinks.render_metrics(rows.join(adapters.metrics_log(spark, sf_dir), "seq")), metrics_path)
+    status = adapters.status_samples(spark, sf_dir).select(
+        "run_id", "seq", F.col("ts").alias("record_timestamp"), F.col("status").alias("job_status")
+    )
+    sinks.append_log(sinks.render_status(status), status_path)
+    metrics = sinks.read_metrics(spark, metrics_path, "seq bigint, run_id bigint")
+    status = sinks.read_status(spark, status_path, "run_id bigint, seq bigint")
+    runs = adapters.status_samples(spark, sf_dir).select("run_id", "interval_s").distinct()
+    report = interval_report(runlog.report_rows(metrics), runlog.status_rows(status), runs)
+    return report.select(*[F.round(n, 6).alias(n) if kind == "double" else n for n, kind in report.dtypes])
+
+
 # Cost of the checkpoint interval
 
 

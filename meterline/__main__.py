@@ -13,8 +13,7 @@ from meterline.operators.replay import DEFAULT_RATE_S
 from meterline.plans import trips
 from meterline.session import build_session
 from meterline.sources import lines as sources
-from meterline.sources import sinks
-from meterline.streaming import hourly_stream, replay_stream
+from meterline.streaming import hourly_stream
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -35,15 +34,9 @@ def _hourly(spark: SparkSession, args) -> None:
         hourly.hourly_lines(income).write.text(args.output)
 
 
-def _replay(spark: SparkSession, args) -> None:
-    """Stage a file and send it step by step, to a topic or into folders."""
-    staged = f"{args.work}/steps"
-    trips.stage_file(spark, args.input, staged, args.timerate)
-    if args.servers:
-        send = lambda lines, _: sinks.write_topic(lines, args.servers, args.output)
-    else:
-        send = replay_stream.to_folders(args.output)
-    replay_stream.replay(spark, staged, send, f"{args.work}/clock").run_to_end()
+def _stage(spark: SparkSession, args) -> None:
+    """Text folders of a file's lines, one per replay step."""
+    trips.stage_file(spark, args.input, args.output, args.timerate, form="text")
 
 
 def _stream(spark: SparkSession, args) -> None:
@@ -86,9 +79,8 @@ def _parser() -> argparse.ArgumentParser:
     batch = job("hourly", _hourly, "hourly income of trip files", "input", "output")
     batch.add_argument("--bad", default="failfast", choices=["failfast", "drop"])
     batch.add_argument("--table", action="store_true", help="Parquet instead of lines")
-    again = job("replay", _replay, "send a trip file step by step", "input", "output", "work")
+    again = job("stage", _stage, "write a trip file into one folder per step", "input", "output")
     again.add_argument("--timerate", type=int, default=DEFAULT_RATE_S)
-    again.add_argument("--servers", help="send to the topic OUTPUT there")
     stream = job("stream", _stream, "hourly income as a stream", "input", "output", "checkpoint")
     stream.add_argument("--bad", default="failfast", choices=["failfast", "drop"])
     stream.add_argument("--interval", default=hourly_stream.DEFAULT_INTERVAL)

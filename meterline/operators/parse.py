@@ -40,6 +40,13 @@ def parse_trips(
     return rows.where(checked).select(*keep, *typed)
 
 
+def counted_trips(lines: DataFrame, bad: str = "failfast") -> DataFrame:
+    """Trips to be counted: ``keep`` would count bad lines as trips, so it is refused."""
+    if bad == "keep":
+        raise ValueError("bad lines can't be kept where trips are counted")
+    return parse_trips(lines, bad)
+
+
 def bad_lines(lines: DataFrame, keep: Sequence[str] = (), line: str = "value") -> DataFrame:
     """The lines ``parse_trips`` would drop, as they are, with the reason."""
     marked = _read_fields(lines, keep, line).select(
@@ -51,7 +58,7 @@ def bad_lines(lines: DataFrame, keep: Sequence[str] = (), line: str = "value") -
 def divert_trips(
     lines: DataFrame, keep: Sequence[str] = (), line: str = "value"
 ) -> tuple[DataFrame, DataFrame]:
-    """Good trips and, apart, the bad lines. On a stream, start one query for each."""
+    """Good trips and, apart, the bad lines. For a stream see ``streaming.divert_stream``."""
     return parse_trips(lines, "drop", keep, line), bad_lines(lines, keep, line)
 
 

@@ -95,10 +95,12 @@ def stage_ticks(
     tie_break: Sequence[str],
     rate_s: int = DEFAULT_RATE_S,
     mode: str = "errorifexists",
+    form: str = "parquet",
 ) -> None:
     """Write lines into one folder per step, in pickup order within files.
 
-    Range partitioning spreads a crowded step over several tasks.
+    Range partitioning spreads a crowded step over several tasks. With ``form`` "text"
+    a line stream can read the folders; it takes files by their modification time.
     """
     order = [F.col(name).asc_nulls_first() for name in ("tick", "pickup", *tie_break)]
     ticked = with_ticks(timed, rate_s)
@@ -108,5 +110,6 @@ def stage_ticks(
         .select("value", "tick")
         .write.mode(mode)
         .partitionBy("tick")
-        .parquet(path)
+        .format(form)
+        .save(path)
     )

@@ -112,6 +112,29 @@ def progress_metrics(reports: DataFrame, keep: Sequence[str] = (), report: str =
     )
 
 
+def report_rows(metrics: DataFrame, run_id: str = "run_id", seq: str = "seq") -> DataFrame:
+    """Rows of a metrics log, or of ``progress_metrics``, under the names that the analysis reads.
+
+    ``run_id`` and ``seq`` name the columns that tell the run and the place in it: for
+    progress reports stream_run_id and CheckpointID.
+    """
+    return metrics.select(
+        F.col(run_id).alias("run_id"),
+        F.col("timestamp").alias("ts"),
+        F.col(seq).alias("seq"),
+        F.col("Latency").alias("latency"),
+        F.col("Throughput").alias("throughput"),
+        F.col("CheckpointID").alias("checkpoint_id"),
+        F.col("CheckpointDurationMs").alias("checkpoint_duration_ms"),
+        F.col("JobStatus").alias("job_status"),
+    )
+
+
+def status_rows(status: DataFrame) -> DataFrame:
+    """Rows of a status log with run_id and seq as ``faults`` takes them."""
+    return status.select("run_id", F.col("record_timestamp").alias("ts"), "seq", F.col("job_status").alias("status"))
+
+
 def latest_checkpoint(
     polls: DataFrame, checkpoints: DataFrame, chunks: int | None = None
 ) -> DataFrame:

@@ -56,18 +56,28 @@ def with_window(trips: DataFrame, columns: tuple[str, ...], width: str = DEFAULT
     )
 
 
-def condensed(rows: DataFrame, fold: WindowFold) -> DataFrame:
-    """Condensed rows of each task, at most a few per window met in a batch."""
+def condensed(rows: DataFrame, fold: WindowFold, latest: str | None = None) -> DataFrame:
+    """Condensed rows of each task, at most a few per window met in a batch.
+
+    ``latest`` names a time column; the latest time of the batch's rows of each window
+    is added under that name.
+    """
     ship_package(rows.sparkSession)
     combine_keys = list(KEYS)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            if len(batch):
-                yield fold.condense(batch)[combine_keys + part_names]
+            if not len(batch):
+                continue
+            parts = fold.condense(batch)[combine_keys + part_names]
+            if latest:
+                times = batch.groupby(combine_keys, as_index=False)[latest].max()
+                parts = parts.merge(times, on=combine_keys)
+            yield parts
 
     part_names = names_in(fold.part_ddl)
-    return rows.mapInPandas(run, f"{KEY_DDL}, {fold.part_ddl}")
+    more = f", {latest} timestamp" if latest else ""
+    return rows.mapInPandas(run, f"{KEY_DDL}, {fold.part_ddl}{more}")
 
 
 def fold_windows(trips: DataFrame, fold: WindowFold, width: str = DEFAULT_WIDTH) -> DataFrame:

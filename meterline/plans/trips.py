@@ -25,16 +25,16 @@ def prepare_file(
 
 
 def stage_file(
-    spark: SparkSession, path: str, out: str, rate_s: int = replay.DEFAULT_RATE_S
+    spark: SparkSession, path: str, out: str, rate_s: int = replay.DEFAULT_RATE_S, form: str = "parquet"
 ) -> None:
     """Stage the lines of a trip file for replay, one folder per step."""
     lines = sources.read_lines(spark, path, numbered=True)
-    replay.stage_ticks(replay.timed_lines(lines), out, _FILE_ORDER, rate_s)
+    replay.stage_ticks(replay.timed_lines(lines), out, _FILE_ORDER, rate_s, form=form)
 
 
 def hourly_batch(
     spark: SparkSession, path: str, bad: str = "failfast", exact_cents: bool = False
 ) -> DataFrame:
     """Hourly income of trip files."""
-    trips = parse.parse_trips(sources.read_lines(spark, path), bad)
+    trips = parse.counted_trips(sources.read_lines(spark, path), bad)
     return hourly.hourly_income(trips, exact_cents=exact_cents)

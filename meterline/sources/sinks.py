@@ -22,12 +22,18 @@ def line_sink(
     path: str,
     checkpoint: str,
     hourly_folders: bool = False,
+    files: int | None = None,
+    max_rows: int | None = None,
 ) -> DataStreamWriter:
     """Exactly-once text files of a ``value`` stream, committed per micro-batch.
 
-    ``hourly_folders`` adds a folder per processing hour.
+    ``hourly_folders`` adds a folder per processing hour. ``files`` is the number of
+    files per micro-batch (else one per shuffle partition with rows), and a file
+    that reaches ``max_rows`` is followed by another.
     """
     out = lines.select("value")
+    if files:
+        out = out.repartition(files)
     if hourly_folders:
         out = out.withColumn("bucket", F.date_format(F.current_timestamp(), "yyyy-MM-dd--HH"))
     writer = (
@@ -36,6 +42,8 @@ def line_sink(
         .option("path", path)
         .option("checkpointLocation", checkpoint)
     )
+    if max_rows:
+        writer = writer.option("maxRecordsPerFile", max_rows)
     return writer.partitionBy("bucket") if hourly_folders else writer
 
 

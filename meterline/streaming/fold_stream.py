@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from meterline.operators.hourly import DEFAULT_WIDTH
-from meterline.operators.parse import parse_trips
+from meterline.operators.parse import counted_trips
 from meterline.operators.window_fold import (
     KEY_DDL,
     KEYS,
@@ -34,15 +37,15 @@ class FoldProcessor(StatefulProcessor):
         self._parts = handle.getListState("parts", self._fold.part_ddl)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        # A window is open while it holds rows: its timer fires after the batch's rows.
+        # Late rows do not come here. Timers fire after a batch's rows, also those of windows
+        # that open and close with it.
         is_open = self._parts.exists()
-        end_ms = _millis(key[2])
-        if is_open or end_ms > timerValues.getCurrentWatermarkInMs():
-            held = [self._held(key)] if is_open else []
-            parts = self._fold.combine(pd.concat([*held, *rows], ignore_index=True))
-            if not is_open:
-                self._handle.registerTimer(end_ms)
-            self._parts.put(list(parts[self._names].itertuples(index=False, name=None)))
+        held = [self._held(key)] if is_open else []
+        new = [part[[*KEYS, *self._names]] for part in rows]
+        parts = self._fold.combine(pd.concat([*held, *new], ignore_index=True))
+        if not is_open:
+            self._handle.registerTimer(_millis(key[2]))
+        self._parts.put(list(parts[self._names].itertuples(index=False, name=None)))
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -78,16 +81,25 @@ def stream_fold(
 ) -> DataFrame:
     """A fold over a line stream; windows come out once, as ``stream_income``'s do.
 
-    One difference: a window whose first row comes with the very batch that closes
-    it is dropped here and still counted there.
-    Rows are condensed before the shuffle, and state holds condensed rows only.
+    Rows are condensed before the shuffle, and state holds condensed rows only. The
+    delay counts from the latest pickup among rows that were condensed to something;
+    that time goes along with them, so rows are late here where they are late there.
     """
     use_rocksdb(prepare(lines.sparkSession))
-    trips = parse_trips(lines, bad).withWatermark("pickup_ts", delay)
-    parts = condensed(with_window(trips, fold.columns, width), fold)
-    return parts.groupBy(*KEYS).transformWithStateInPandas(
-        statefulProcessor=FoldProcessor(fold),
-        outputStructType=f"{KEY_DDL}, {fold.result_ddl}",
-        outputMode="append",
-        timeMode="eventTime",
-    )
+    columns = tuple(dict.fromkeys((*fold.columns, "pickup_ts")))
+    trips = counted_trips(lines, bad)
+    package = sys.modules[__package__.partition(".")[0]]
+    # Streaming Python workers do not see shipped files, so the code travels by value.
+    cloudpickle.register_pickle_by_value(package)
+    try:
+        parts = condensed(with_window(trips, columns, width), fold, latest="pickup_ts")
+        # Spark drops late rows by the window of a column that bears the watermark.
+        parts = parts.withWatermark("pickup_ts", delay).withColumn("_window", F.window("pickup_ts", width)).drop("pickup_ts")
+        return parts.groupBy(*KEYS).transformWithStateInPandas(
+            statefulProcessor=FoldProcessor(fold),
+            outputStructType=f"{KEY_DDL}, {fold.result_ddl}",
+            outputMode="append",
+            timeMode="eventTime",
+        )
+    finally:
+        cloudpickle.unregister_pickle_by_value(package)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from meterline.operators.hourly import DEFAULT_WIDTH, hourly_income, hourly_lines
-from meterline.operators.parse import parse_trips
+from meterline.operators.parse import counted_trips
 from meterline.session import use_rocksdb, prepare
 from meterline.sources.sinks import line_sink
 
@@ -28,7 +28,7 @@ def stream_income(
     rows of a closed window are dropped; rows are never dropped while any window
     they belong to is open.
     """
-    trips = parse_trips(lines, bad).withWatermark("pickup_ts", delay)
+    trips = counted_trips(lines, bad).withWatermark("pickup_ts", delay)
     return hourly_income(trips, width, exact_cents)
 
 
@@ -45,6 +45,8 @@ def run_hourly_lines(
     checkpoint: str,
     interval: str | None = DEFAULT_INTERVAL,
     hourly_folders: bool = False,
+    files: int | None = None,
+    max_rows: int | None = None,
     **options,
 ) -> StreamingQuery:
     """Start the job with the text sink. Started again, it goes on from ``checkpoint``.
@@ -54,7 +56,7 @@ def run_hourly_lines(
     """
     _ready(lines)
     out = hourly_lines(stream_income(lines, **options))
-    return paced(line_sink(out, path, checkpoint, hourly_folders), interval).start()
+    return paced(line_sink(out, path, checkpoint, hourly_folders, files, max_rows), interval).start()
 
 
 def run_hourly_table(

@@ -2,7 +2,10 @@ import datetime as dt
 import itertools
 import os
 import random
+import subprocess
+import sys
 import time
+from pathlib import Path
 
 import pytest
 from pyspark.errors import StreamingQueryException
@@ -15,8 +18,6 @@ from meterline.sources import lines as sources
 from meterline.streaming.fold_stream import stream_fold
 from meterline.streaming.hourly_stream import run_hourly_lines, run_hourly_table, stream_income
 from meterline.streaming.progress import ProgressRecorder, recent_metrics
-from meterline.streaming.replay_stream import replay as start_replay
-from meterline.streaming.replay_stream import to_folders
 
 
 def _line(time, zone, amount):
@@ -125,22 +126,21 @@ def _random_trips(seed, hours=30, n=3000):
 
 
 def test_replayed_and_interrupted_stream_equals_batch(spark):
-    """Lines staged by step, replayed batch by batch, read by a job stopped by a crash."""
+    """Lines staged by step, read step after step by a job stopped by a crash."""
     values = _random_trips(3)
     lines = spark.createDataFrame(list(enumerate(values)), "seq long, value string").repartition(6)
-    staged, sent, out, log = (scratch_dir(spark, n) for n in ("staged", "sent", "out", "log"))
+    staged, out, log = (scratch_dir(spark, n) for n in ("staged", "out", "log"))
     timed = replay.timed_lines(lines)
-    replay.stage_ticks(timed, staged, ["seq"], rate_s=3600)
-    running = start_replay(
-        spark, staged, to_folders(sent, files=1), scratch_dir(spark, "clock"), ticks_per_batch=3, interval="0 seconds"
-    )
-    running.run_to_end()
-    assert running.finished
-    assert spark.read.text(f"{sent}/batch=*").count() == len(values)
+    replay.stage_ticks(timed, staged, ["seq"], rate_s=3600, form="text")
+    assert spark.read.text(f"{staged}/tick=*").count() == len(values)
+    for folder in Path(_local(staged)).glob("tick=*"):
+        at = time.time() - 3600 + int(folder.name.partition("=")[2])
+        for file in folder.glob("*.txt"):
+            os.utime(file, (at, at))
 
     def stream():
-        source = spark.readStream.format("text").option("maxFilesPerTrigger", 1)
-        return stream_income(source.load(f"{sent}/batch=*").select("value"), exact_cents=True)
+        source = spark.readStream.format("text").option("maxFilesPerTrigger", 3)
+        return stream_income(source.load(f"{staged}/tick=*").select("value"), exact_cents=True)
 
     calls = {"n": 0}
 
@@ -250,6 +250,46 @@ def test_fold_on_a_stream(spark, folders):
     assert _windows(spark, out) == {(0, 1): (4, 1114.0), (1, 1): (2, 3.0), (2, 1): (1, 3.0)}
 
 
+def test_fold_counts_what_the_aggregate_counts(spark, folders):
+    """A window that opens with the batch that closes it, and a row too late for its own."""
+    source, out, log = folders
+    files = [[("00:10:00", 1, 1)], [("03:00:00", 1, 2)], [("01:10:00", 5, 3), ("05:00:00", 1, 4)], [("00:20:00", 1, 5), ("09:00:00", 1, 6)]]
+    for i, rows in enumerate(files):
+        _write(source, f"{i}.txt", rows)
+    _run(spark, folders)
+    windows = stream_fold(sources.stream_lines(spark, source, max_files=1), INCOME_FOLD)
+    writer = windows.writeStream.format("parquet").option("path", f"{out}-fold").option("checkpointLocation", f"{log}-fold")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    assert _windows(spark, f"{out}-fold") == _windows(spark, out)
+    assert (1, 5) in _windows(spark, out)
+
+
+def test_fold_from_another_folder(tmp_path):
+    """Workers of a stream need no installed package."""
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "0.txt").write_text(_line("2023-01-01 00:10:00", 1, 10) + "\n" + _line("2023-01-01 03:00:00", 1, 1) + "\n")
+    code = f"""
+import sys
+sys.path.insert(0, {str(Path(__file__).parents[1])!r})
+from meterline.session import build_session
+from meterline.operators.window_fold import INCOME_FOLD
+from meterline.sources.lines import stream_lines
+from meterline.streaming.fold_stream import stream_fold
+spark = build_session("fold", "local[2]", spark__sql__shuffle__partitions="2", spark__ui__enabled="false")
+windows = stream_fold(stream_lines(spark, "in"), INCOME_FOLD).writeStream.format("parquet").option("path", "out")
+windows.option("checkpointLocation", "log").trigger(availableNow=True).start().awaitTermination()
+print("windows", spark.read.parquet("out").count())
+"""
+    environment = {name: value for name, value in os.environ.items() if name != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=environment, capture_output=True, text=True, timeout=120)
+    assert "windows 1" in done.stdout, done.stderr[-2000:]
+
+
+def test_bad_lines_are_not_counted(spark):
+    with pytest.raises(ValueError):
+        stream_income(spark.createDataFrame([("x",)], "value string"), bad="keep")
+
+
 def test_fold_may_give_no_or_many_rows(spark):
     """A caller's own function: the longest trip, only for zones with two trips or more."""
     fold = WindowFold(
