@@ -33,7 +33,7 @@ def _trip(time, zone, amount):
     return f"1,{time},{time},1,1,1,N,{zone},1,1,1,0,0,0,0,0,{amount},0,0"
 
 
-def test_hourly_replay_and_stream(spark):
+def test_hourly_stage_and_stream(spark):
     header = "VendorID,tpep_pickup_datetime,tpep_dropoff_datetime"
     times = [T0 + dt.timedelta(minutes=11 * i) for i in range(40)]
     path = _file(spark, "trips.csv", [header, *[_trip(t, 1 + i % 3, 2.5) for i, t in enumerate(times)]])
@@ -42,8 +42,8 @@ def test_hourly_replay_and_stream(spark):
     cli.main(["hourly", path, f"{base}/table", "--table"])
     lines = {r.value for r in spark.read.text(f"{base}/lines").collect()}
     assert len(lines) == spark.read.parquet(f"{base}/table").count() == 22
-    cli.main(["replay", path, f"{base}/sent", f"{base}/work", "--timerate", "36000"])
-    cli.main(["stream", f"{base}/sent/batch=*", f"{base}/out", f"{base}/log", "--drain"])
+    cli.main(["stage", path, f"{base}/steps", "--timerate", "36000"])
+    cli.main(["stream", f"{base}/steps/tick=*", f"{base}/out", f"{base}/log", "--drain"])
     streamed = {r.value for r in spark.read.text(f"{base}/out").collect()}
     assert len(streamed) == 21 and streamed < lines
 
