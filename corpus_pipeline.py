@@ -21,7 +21,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines go; so do documents of which no word is left. ``n_chars`` follows the text."""
-    removed = repeated_lines(docs, Scratch(spark, "lines"))
+    removed = repeated_lines(docs, Scratch(spark, "lines"), least=1)
     changed = without_lines(docs.withColumn("_old", F.length("text")), removed)
     blank = F.btrim("text", F.lit(" \t\n\u000b\f\r")) == ""
     kept = changed.where(F.coalesce(~blank | (F.col("_old") == F.length("text")), F.lit(True))).drop("_old")

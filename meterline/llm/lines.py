@@ -90,6 +90,8 @@ def _read(k: int, bands: int, rows: int, least: int):
                     if name not in seen:
                         seen.add(name)
                         fresh[i] = True
+                # a line of fewer than k characters has no shingle: equality alone
+                fresh &= lines.end - lines.start >= k
                 own = np.flatnonzero(fresh)
                 found, span = char_shingles(lines.value, lines.start[own], lines.end[own], k)
                 keys = hasher.keys(_signatures(found, span, len(own), hasher)).reshape(-1)
@@ -187,7 +189,9 @@ def repeated_lines(
     space. A line is the set of its runs of ``k`` characters; two lines are linked
     where 100 * intersection >= percent * union. Of every component of linked or equal
     lines the first stays (least doc_id, then line number), all others are removed.
-    Lines of fewer than ``least`` characters are never compared and stay.
+    Lines of fewer than ``k`` characters have no run and are linked where they are equal.
+    Lines of fewer than ``least`` characters are never compared and stay; with 1 every
+    line that holds more than white space is compared.
 
     With 12 bands of 4 rows a pair at similarity 0.8 shares no bucket with probability
     2e-3, one at 0.9 with 2e-6. A bucket links its members to its smallest line, and

@@ -59,7 +59,7 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    removed = repeated_lines(docs, Scratch(spark, "op7"))
+    removed = repeated_lines(docs, Scratch(spark, "op7"), least=1)
     lines = docs.select("doc_id", F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).cast("long").alias("n_lines"))
     return lines.join(removed, "doc_id", "left").select(
         "doc_id",

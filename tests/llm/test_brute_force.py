@@ -76,6 +76,47 @@ def test_repeated_lines(docs, plain_docs, scratch):
     assert after.count() == len(plain_docs)
 
 
+SHORT = [
+    (910, "Home\nAll rights reserved.\n版权所有 保留一切权利\nBack to the top page\n\n--"),
+    (911, "All rights reserved.\n Home\t\nhome\n版权所有 保留一切权利\nBack to the top pages\n--"),
+    (912, "版权所有 保留一切权\n\u00a0\nHome page\nHome\nSkip to content"),
+    (913, "Skip to content\nSkip to contents\nNext\n\n\u00a0"),
+]
+
+
+def test_repeated_lines_of_any_length(spark, docs, plain_docs, scratch):
+    more = spark.createDataFrame(SHORT, "doc_id long, text string")
+    places = {}
+    for name, text in plain_docs + SHORT:
+        for i, line in enumerate(text.split("\n")):
+            line = line.strip(" \t\n\v\f\r")
+            if line and name is not None:
+                places.setdefault(line, set()).add((name, i))
+    group = joined({x: {x[i : i + 8] for i in range(len(x) - 7)} or {x} for x in places})
+    first, want = {}, {}
+    for line, own in places.items():
+        first[group[line]] = min(min(own), first.get(group[line], min(own)))
+    for line, own in places.items():
+        for name, i in own - {first[group[line]]}:
+            want.setdefault(name, []).append(i)
+    removed = repeated_lines(docs.select("doc_id", "text").unionByName(more), scratch, least=1)
+    got = {r.doc_id: list(r.removed) for r in removed.collect()}
+    assert got == {k: sorted(v) for k, v in want.items()}
+    assert {0, 1, 3, 5} <= set(got[911]) and 2 not in got[911]
+
+
+def test_registered_line_queries_compare_short_lines(spark, tmp_path):
+    import __spark_entry__
+    import corpus_pipeline
+
+    docs = spark.createDataFrame(SHORT, "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.removed for r in __spark_entry__.queries()["op7_line_dedup"](spark, str(tmp_path)).collect()}
+    assert got[910] == [] and {0, 1, 3, 5} <= set(got[911])
+    left = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs, str(tmp_path)).collect()}
+    assert "All rights" in left[910] and "All rights" not in left[911]
+
+
 @pytest.mark.parametrize("block", [500_000, 700])
 def test_contamination(spark, docs, plain_docs, scratch, block):
     def words(text):
