@@ -25,6 +25,9 @@ ORIGIN = r"^(?:ref|source|utm_[a-z]+|fbclid|gclid)="
 TARGET = r"[?&](?:url|u|to|target|redirect|redirect_uri|next)=(https?(?::|%3[aA])[^&#]*)"
 CANONICAL = r"(?is)<link\b(?=[^>]*\brel\s*=\s*[\"']?canonical\b)[^>]*?\bhref\s*=\s*[\"']?([^\"'\s>]+)"
 REFRESH = r"(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b)[^>]*?\burl\s*=\s*[\"']?([^\"'\s>]+)"
+BASE = r"(?is)<base\b[^>]*?\bhref\s*=\s*[\"']?([^\"'\s>]+)"
+AMPERSAND = r"(?i)&(?:amp|#0*38|#x0*26);"
+SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:"
 
 
 def host_of(url: Column) -> Column:
@@ -60,6 +63,28 @@ def canonical(url: Column) -> Column:
     return F.when(host_of(url) != "", F.concat(host, path, F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise("")))
 
 
+def folded(path: Column) -> Column:
+    """A path from / on without its . and .. segments."""
+    parts = F.split(path, "/", -1)
+    kept = F.aggregate(
+        F.slice(parts, F.lit(2), F.size(parts)), F.array().cast("array<string>"),
+        lambda a, p: F.when(p == ".", a).when(p == "..", F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0)))).otherwise(F.concat(a, F.array(p))),
+    )
+    folder = F.element_at(parts, -1).isin(".", "..") & (F.size(kept) > 0)
+    return F.concat(F.lit("/"), F.array_join(kept, "/"), F.when(folder, "/").otherwise(""))
+
+
+def resolved(raw: Column, base: Column) -> Column:
+    """The url that ``raw`` names on a page at ``base``; null for schemes without ://."""
+    site, path = F.concat(F.lit("http://"), host_of(base)), path_of(base)
+    own, rest = F.regexp_extract(raw, r"(?s)^([^?#]*)", 1), F.regexp_extract(raw, r"(?s)^[^?#]*(.*)$", 1)
+    folder = F.coalesce(F.nullif(F.regexp_extract(path, r"(?s)^(.*/)", 1), F.lit("")), F.lit("/"))
+    out = F.when(raw.rlike(SCHEME + "//"), raw).when(raw.startswith("//"), F.concat(F.lit("http:"), raw)).when(raw.rlike(SCHEME), F.lit(None))
+    out = out.when(raw.startswith("#"), F.concat(F.regexp_extract(base, r"(?s)^([^#]*)", 1), raw))
+    out = out.when(raw.startswith("?"), F.concat(site, F.when(path == "", "/").otherwise(path), raw))
+    return out.otherwise(F.concat(site, folded(F.when(own.startswith("/"), own).otherwise(F.concat(folder, own))), rest))
+
+
 def page_verdicts(pages: DataFrame, scratch: Scratch, *, rules=RULES) -> DataFrame:
     """(page_id, host, path, rule, verdict) for every row of ``pages`` (page_id, url, html).
 
@@ -69,7 +94,7 @@ def page_verdicts(pages: DataFrame, scratch: Scratch, *, rules=RULES) -> DataFra
     url. A page without a rule is blocked if its component has a blocked url and no
     allowed one: an explicit allow comes first, for the page and for its aliases.
     Link targets count with the rules' verdict on them, crawled or not. Relative
-    targets are taken on the page's host.
+    targets are resolved against the page's url, or its base element; &amp; is decoded.
 
     Null urls, and urls without ://, have empty host and path, fit no rule, link to
     nothing and are allowed. Rows stay as they are, equal or not; equal urls are one
@@ -81,15 +106,11 @@ def page_verdicts(pages: DataFrame, scratch: Scratch, *, rules=RULES) -> DataFra
     rule, verdict = matched(F.col("host"), F.col("path"), rules)
     rows = rows.withColumn("node", canonical(F.col("url"))).withColumn("rule", rule).withColumn("own", verdict)
 
-    def target(raw: Column) -> Column:
-        full = F.when(raw.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), raw).when(raw.startswith("//"), F.concat(F.lit("http:"), raw))
-        return full.when(raw.startswith("/"), F.concat(F.lit("http://"), F.col("host"), raw))
-
-    spoken = F.array(
-        F.regexp_extract("html", CANONICAL, 1), F.regexp_extract("html", REFRESH, 1), F.try_url_decode(F.regexp_extract("url", TARGET, 1))
-    )
-    links = rows.where("node is not null").select("node", "host", F.explode(F.filter(spoken, lambda x: x.isNotNull() & (x != ""))).alias("raw"))
-    links = links.select("node", target(F.col("raw")).alias("url")).where("url is not null")
+    tag = lambda pattern: F.regexp_replace(F.regexp_extract("html", pattern, 1), AMPERSAND, "&")
+    spoken = F.array(tag(CANONICAL), tag(REFRESH), F.try_url_decode(F.regexp_extract("url", TARGET, 1)))
+    links = rows.where("node is not null").select("node", "url", tag(BASE).alias("base"), F.explode(F.filter(spoken, lambda x: x.isNotNull() & (x != ""))).alias("raw"))
+    links = links.withColumn("base", F.when(F.col("base") == "", F.col("url")).otherwise(F.coalesce(resolved(F.col("base"), F.col("url")), "url")))
+    links = links.select("node", resolved(F.col("raw"), F.col("base")).alias("url")).where("url is not null")
     aim_rule, aim = matched(host_of(F.col("url")), path_of(F.col("url")), rules)
     links = scratch.table(links.select("node", canonical(F.col("url")).alias("to"), aim.alias("own")).where("`to` is not null").distinct())
     pages_seen = scratch.table(rows.where("node is not null").select("node", "own").distinct())

@@ -93,6 +93,28 @@ def test_url_verdicts(spark, scratch):
     assert page_verdicts(frame.limit(0), scratch).count() == 0
 
 
+def test_relative_link_targets(spark, scratch):
+    cases = [
+        ("/", "de/home", True), ("", "de/home", True), ("/a", "./de/home", True), ("/a/b/c", "../../de/x?q=1", True), ("/a/b/c", "../../../de/x?q=1", True),
+        ("/a/b", "../../../de/", True), ("/de", "de/", True), ("/a/", "de/home", False), ("/a", "/b/../de/x", True), ("/a", "//y.com/de/", True),
+        ("/a", "https://y.com/de/", True), ("/a", "mailto:de/", False), ("/a", "#de/", False),
+    ]
+    forms = ('<link rel=canonical href="{}">', '<meta http-equiv=refresh content="0;url={}">')
+    rows = [(100 * f + i, f"http://h{i}-{f}.com{path}", form.format(target)) for f, form in enumerate(forms) for i, (path, target, _) in enumerate(cases)]
+    got = page_verdicts(spark.createDataFrame(rows, "page_id long, url string, html string"), scratch).collect()
+    assert {r.page_id: r.verdict == "block" for r in got} == {100 * f + i: blocked for f in (0, 1) for i, (_, _, blocked) in enumerate(cases)}
+
+
+def test_targets_by_query_base_and_ampersand(spark, scratch):
+    rows = [
+        (1, "http://x.net/p?id=1", '<link rel=canonical href="http://y.com/de/">'), (2, "http://x.net/p", "<meta http-equiv=refresh content='0;url=?id=1'>"),
+        (3, "http://x.net/q?a=1&b=2", '<link rel=canonical href="http://y.com/de/">'), (4, "http://x.net/r", '<link rel="canonical" href="/q?a=1&amp;b=2">'),
+        (5, "http://x.net/s/t", '<base href="http://y.com/de/"><link rel="canonical" href="index.html">'), (6, "http://x.net/s/u", '<link rel="canonical" href="index.html">'),
+    ]
+    got = page_verdicts(spark.createDataFrame(rows, "page_id long, url string, html string"), scratch)
+    assert {r.page_id for r in got.collect() if r.verdict == "block"} == {1, 2, 3, 4, 5}
+
+
 def test_notices(spark, docs, plain_docs):
     rows = [(1, "Relased under the MIT Licence. x"), (2, "MIT license, mit License"), (3, None), (4, "ä Licensed under CC BY-NC 4.0")]
     got = {r.doc_id: r for r in license_notices(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
