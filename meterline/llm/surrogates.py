@@ -35,6 +35,10 @@ SYLLABLES = {
     "latin": "ba ce di fo gu ha jo ka le mi no pa ra so tu va".split(),
     "cyrillic": "ба ве ги до жу ка ло ми на пе ро са ту фи ха ше".split(),
 }
+# Country codes of one and two digits; all others have three.
+COUNTRY = r"^(\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})|)"
+NUMBERS = ("phone", "iban", "ssn", "card")
+SIGN = "[0-9A-Z+]"  # what counts in a number; all else is its format
 DIGITS, LOW, HIGH, HEX = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789abcdef"
 
 
@@ -82,71 +86,113 @@ def _luhn(number: Column) -> Column:
     return F.concat(F.substr(number, F.lit(1), F.length(number) - 1), check.cast("string"))
 
 
-def surrogate(kind: Column, entity: Column, attempt: Column, key: str) -> Column:
-    """A replacement of the entity's own type and format, fixed by key, entity and attempt."""
-    seed = F.concat_ws("\u0002", kind, entity, attempt.cast("string"))
+def parts_of(kind: Column, entity: Column) -> Column:
+    """What an entity is told by: an array of (kind, within, norm).
+
+    Numbers go without their format. A name is its family name, and a given name within
+    family and gender, so the title's spelling says nothing; all else is told by its text.
+    """
+    part = lambda kind, within, norm: F.struct(kind.alias("kind"), within.alias("within"), norm.alias("norm"))
+    words = F.split(entity, " ")
+    family = F.element_at(words, -1)
+    gender = F.when(F.get(words, 0).rlike(f"^(?:{FEMALE})\\.?$"), "f").otherwise("m")
+    names = F.array(part(F.lit("family"), F.lit(""), family))
+    both = F.concat(names, F.array(part(F.lit("given"), F.concat_ws(" ", gender, family), F.get(words, 1))))
+    norm = F.when(kind.isin(*NUMBERS), F.regexp_replace(entity, SIGN.replace("[", "[^"), "")).otherwise(entity)
+    return F.when(kind == "name", F.when(F.size(words) == 3, both).otherwise(names)).otherwise(F.array(part(kind, F.lit(""), norm)))
+
+
+def surrogate(kind: Column, within: Column, norm: Column, attempt: Column, key: str) -> Column:
+    """A replacement of the part's own type, fixed by key, part and attempt."""
+    seed = F.concat_ws("\u0002", kind, within, norm, attempt.cast("string"))
     draw = lambda i: _drawn(key, seed, F.lit(f"n{i}"))
     no = F.lit(False)
+    extra = F.lit(0)
+    more = lambda sign, hexadecimal=no: _shaped(F.repeat(F.lit(sign), extra), key, F.concat(seed, F.lit("x")), hexadecimal)
     email = F.concat(
-        _shaped(F.substring_index(entity, "@", 1), key, seed, no), F.lit("@"),
-        _shaped(F.regexp_extract(entity, "@([^.]+)", 1), key, F.concat(seed, F.lit("d")), no), F.regexp_extract(entity, r"@[^.]+(\..*)$", 1),
+        _shaped(F.substring_index(norm, "@", 1), key, seed, no), more("a"), F.lit("@"),
+        _shaped(F.regexp_extract(norm, "@([^.]+)", 1), key, F.concat(seed, F.lit("d")), no), F.regexp_extract(norm, r"@[^.]+(\..*)$", 1),
     )
-    head = F.regexp_extract(entity, r"^([A-Za-z_-]+\s?[=:]\s?\"?)", 1)
-    body = F.substr(entity, F.length(head) + 1, F.length(entity))
-    secret = F.concat(head, _shaped(body, key, seed, body.rlike(r"^[0-9a-f]+\"?$")))
-    aws = F.concat(F.lit("AKIA"), _shaped(F.substr(entity, F.lit(5), F.lit(16)), key, seed, no))
+    head = F.regexp_extract(norm, r"^([A-Za-z_-]+\s?[=:]\s?\"?)", 1)
+    quote = F.regexp_extract(norm, "(\"?)$", 1)
+    body = F.substr(norm, F.length(head) + 1, F.length(norm) - F.length(head) - F.length(quote))
+    is_hex = body.rlike("^[0-9a-f]+$")
+    secret = F.concat(head, _shaped(body, key, seed, is_hex), more("a", is_hex), quote)
+    aws = F.concat(F.lit("AKIA"), _shaped(F.substr(norm, F.lit(5), F.lit(16)), key, seed, no), more("A"))
     ip = F.concat_ws(".", F.pmod(draw(0), F.lit(223)) + 1, *(F.pmod(draw(i), F.lit(254)) + 1 for i in (1, 2, 3)))
-    code = F.regexp_extract(entity, r"^(\+\d{1,3}(?=[ .(-])|)", 1)
-    phone = F.concat(code, _shaped(F.substr(entity, F.length(code) + 1, F.length(entity)), key, seed, no))
-    iban = F.concat(F.substr(entity, F.lit(1), F.lit(2)), _shaped(F.substr(entity, F.lit(3), F.length(entity)), key, seed, no))
-    first = F.substr(entity, F.lit(1), F.lit(1))
-    card = _luhn(F.concat(first, _shaped(F.substr(entity, F.lit(2), F.length(entity)), key, seed, no)))
-    title = F.regexp_extract(entity, r"^(\S+)", 1)
-    female = title.rlike(f"^(?:{FEMALE})\\.?$")
-    names = None
-    for script in ("cyrillic", "latin"):
-        given = F.when(female, _pick(GIVEN[script, "f"].split(), draw(1))).otherwise(_pick(GIVEN[script, "m"].split(), draw(1)))
-        family = F.initcap(F.concat(*(_pick(SYLLABLES[script], draw(i)) for i in (2, 3, 4, 5))))
-        both = F.when(entity.rlike(r"^\S+ \S+ \S+$"), F.concat_ws(" ", given, family)).otherwise(family)
-        names = both if names is None else F.when(entity.rlike(r"\p{IsCyrillic}"), names).otherwise(both)
+    code = F.regexp_extract(norm, COUNTRY, 1)
+    phone = F.concat(code, _shaped(F.substr(norm, F.length(code) + 1, F.length(norm)), key, seed, no), more("0"))
+    iban = F.concat(F.substr(norm, F.lit(1), F.lit(2)), _shaped(F.substr(norm, F.lit(3), F.length(norm)), key, seed, no), more("0"))
+    first = F.substr(norm, F.lit(1), F.lit(1))
+    card = _luhn(F.concat(first, _shaped(F.substr(norm, F.lit(2), F.length(norm)), key, seed, no), more("0")))
+    cyrillic = norm.rlike(r"\p{IsCyrillic}")
+    word = lambda script, n: F.array_join(F.transform(F.sequence(F.lit(1), n), lambda i: _pick(SYLLABLES[script], _drawn(key, seed, i))), "")
+    family = F.initcap(F.when(cyrillic, word("cyrillic", extra + 4)).otherwise(word("latin", extra + 4)))
+    names = lambda script: F.when(within.startswith("f "), _pick(GIVEN[script, "f"].split(), draw(1))).otherwise(_pick(GIVEN[script, "m"].split(), draw(1)))
+    tail = lambda script: F.when(extra > 0, word(script, F.greatest(extra, F.lit(1)))).otherwise("")
+    given = F.when(cyrillic, F.concat(names("cyrillic"), tail("cyrillic"))).otherwise(F.concat(names("latin"), tail("latin")))
     out = (
         F.when(kind == "email", email).when(kind == "secret", secret).when(kind == "aws", aws).when(kind == "ip", ip)
         .when(kind == "phone", phone).when(kind == "iban", iban).when(kind == "card", card)
-        .when(kind == "name", F.concat(title, F.lit(" "), names))
+        .when(kind == "family", family).when(kind == "given", given)
     )
-    return out.otherwise(_shaped(entity, key, seed, no))
+    return out.otherwise(F.concat(_shaped(norm, key, seed, no), more("0")))
 
 
-def assigned(entities: DataFrame, scratch: Scratch, key: str) -> DataFrame:
-    """(kind, entity, surrogate): distinct surrogates, none of which is itself an entity.
+def rendered(kind: Column, entity: Column, main: Column, given: Column) -> Column:
+    """A part's surrogate in the format of the entity; what a number has grown by stands last."""
+    letters = F.filter(F.split(entity, ""), lambda c: c != "")
+    count = lambda text: F.length(F.regexp_replace(text, SIGN.replace("[", "[^"), ""))
+    filled = F.transform(letters, lambda c, i: F.when(c.rlike(SIGN), F.substr(main, count(F.substr(entity, F.lit(1), i + 1)), F.lit(1))).otherwise(c))
+    number = F.concat(F.array_join(filled, ""), F.substr(main, count(entity) + 1, F.length(main)))
+    name = F.concat_ws(" ", F.substring_index(entity, " ", 1), given, main)  # null parts are left out
+    return F.when(kind.isin(*NUMBERS), number).when(kind == "name", name).otherwise(main)
+
 
-    Entities whose surrogate collides with another's (all but the least), or with any
-    entity, draw again until none is left. Each round works on the collisions alone.
+def drawn_parts(parts: DataFrame, scratch: Scratch, key: str) -> DataFrame:
+    """(kind, within, norm, surrogate): distinct surrogates, none of which is itself a part.
+
+    Parts whose surrogate collides with another's (all but the least), or with any
+    part, draw again until none is left. Each round works on the collisions alone.
+    Family names are told from family names, given names inside their family.
     """
-    known = scratch.table(entities)
-    draw = lambda df: df.withColumn("surrogate", surrogate(F.col("kind"), F.col("entity"), F.col("attempt"), key))
+    space = F.when(F.col("kind").isin("family", "given"), F.concat_ws(" ", "kind", "within")).otherwise("").alias("space")
+    known = scratch.table(parts)
+    draw = lambda df: df.withColumn("surrogate", surrogate(*map(F.col, ("kind", "within", "norm", "attempt")), key))
     done, open_rows, attempt = None, draw(known.withColumn("attempt", F.lit(0))), 0
     while True:
         open_rows = scratch.table(open_rows)
-        taken = known.select(F.col("entity").alias("surrogate"))
-        taken = taken if done is None else taken.unionByName(done.select("surrogate"))
-        free = open_rows.join(taken.distinct(), "surrogate", "left_anti")
-        first = free.groupBy("surrogate").agg(F.min(F.struct("entity", "kind")).alias("least"))
-        fine = first.select("least.kind", "least.entity", "surrogate")
+        taken = known.select(space, F.col("norm").alias("surrogate"))
+        taken = taken if done is None else taken.unionByName(done.select(space, "surrogate"))
+        free = open_rows.select("*", space).join(taken.distinct(), ["space", "surrogate"], "left_anti")
+        first = free.groupBy("space", "surrogate").agg(F.min(F.struct("norm", "kind", "within")).alias("least"))
+        fine = first.select("least.kind", "least.within", "least.norm", "surrogate")
         done = scratch.table(fine if done is None else done.unionByName(fine))
-        rest = open_rows.join(done.select("kind", "entity"), ["kind", "entity"], "left_anti").select("kind", "entity")
+        rest = open_rows.join(done.drop("surrogate"), ["kind", "within", "norm"], "left_anti").select("kind", "within", "norm")
         attempt += 1
         open_rows = draw(rest.withColumn("attempt", F.lit(attempt)))
         if rest.isEmpty():
             return done
 
 
+def assigned(entities: DataFrame, scratch: Scratch, key: str) -> DataFrame:
+    """(kind, entity, surrogate): mentions of one entity get one surrogate, each in its own format."""
+    known = scratch.table(entities.withColumn("parts", parts_of(F.col("kind"), F.col("entity"))))
+    done = drawn_parts(known.select(F.explode("parts").alias("p")).select("p.*").distinct(), scratch, key)
+    told = done.select(F.struct("kind", "within", "norm").alias("part"), "surrogate")
+    rows = known.select("kind", "entity", F.get("parts", 0).alias("main"), F.get("parts", 1).alias("given"))
+    rows = rows.join(told.withColumnsRenamed({"part": "main", "surrogate": "x"}), "main")
+    rows = rows.join(told.withColumnsRenamed({"part": "given", "surrogate": "y"}), "given", "left")
+    return scratch.table(rows.select("kind", "entity", rendered(*map(F.col, ("kind", "entity", "x", "y"))).alias("surrogate")))
+
+
 def pseudonymised(docs: DataFrame, scratch: Scratch, *, key: str) -> DataFrame:
     """(doc_id, n_entities, text) for every row of ``docs``: entities replaced by surrogates.
 
     Entities are matched by ``KINDS``: addresses, secrets, keys, numbers, and names
-    behind a title, which gives the gender; the script is the name's own. Equal
-    entities get equal surrogates in all documents, different ones different ones.
+    behind a title, which gives the gender; the script is the name's own. An entity
+    has one surrogate in all documents, different ones have different ones: numbers are
+    told by their signs without the format, names by family and given name (see ``parts_of``).
 
     Detection, drawing and replacing are built-in expressions. Only distinct entities
     are drawn for and joined; a hot entity is counted before its shuffle and its rows

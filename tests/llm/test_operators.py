@@ -74,6 +74,23 @@ def test_surrogates(spark, scratch):
     assert ANY and got[1].n_entities == 7
 
 
+def test_surrogates_of_one_entity_in_several_formats(spark, scratch):
+    same = [
+        ("Mrs Anna Berg", "Mrs Berg", "Mrs. Berg", "Mr. Berg", "Mr Berg"), ("4111 1111 1111 1111", "4111111111111111", "4111-1111-1111-1111"),
+        ("DE89 3704 0044 0532 0130 00", "DE89370400440532013000"), ("+49 (30) 123-4567", "+49 30 123 45 67", "+49301234567"),
+    ]
+    rows = [(i, " ; ".join(mentions)) for i, mentions in enumerate(same)]
+    rows += [(9, "Mr " + " ; Mr ".join("Berg" + c for c in "abcdefgh"))]
+    got = {r.doc_id: r for r in pseudonymised(spark.createDataFrame(rows, "doc_id long, text string"), scratch, key="k").collect()}
+    assert [got[i].n_entities for i in range(4)] == [len(m) for m in same]
+    assert len({m.split()[-1] for m in got[0].text.split(" ; ")}) == 1 and "Berg" not in got[0].text
+    for i in (1, 2, 3):
+        fresh = got[i].text.split(" ; ")
+        assert len({re.sub(r"[^0-9A-Z]", "", m) for m in fresh}) == 1 and got[i].text != rows[i][1]
+        assert [re.sub(r"[0-9]", "0", m) for m in fresh] == [re.sub(r"[0-9]", "0", m) for m in same[i]]
+    assert len(set(got[9].text.split(" ; "))) == 8
+
+
 def test_url_verdicts(spark, scratch):
     link = '<link rel="canonical" href="{}">'.format
     rows = [
