@@ -13,7 +13,7 @@ FEMALE = "Mrs|Ms|Miss|Frau|Señora|Sra|Madame|Mme|г-жа"
 # In order of precedence where two could start at one place.
 KINDS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
-    "secret": r"(?i:password|passwd|pwd|secret|token|api[_-]?key)\s?[=:]\s?\"?[A-Za-z0-9_\-./+]{6,}\"?",
+    "secret": r"(?i:password|passwd|pwd|secret|token|api[_-]?key)\s?[=:]\s?\"?(?=[_\-./+]*[A-Za-z0-9])[A-Za-z0-9_\-./+]{6,}\"?",
     "aws": r"\bAKIA[0-9A-Z]{16}\b",
     "ip": r"\b(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)\b",
     "phone": r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}\b|\(\d{3}\) ?\d{3}-\d{4}\b|\b\d{3}-\d{3}-\d{4}\b",
@@ -103,11 +103,15 @@ def parts_of(kind: Column, entity: Column) -> Column:
 
 
 def surrogate(kind: Column, within: Column, norm: Column, attempt: Column, key: str) -> Column:
-    """A replacement of the part's own type, fixed by key, part and attempt."""
+    """A replacement of the part's own type, fixed by key, part and attempt.
+
+    From the third attempt on it grows by one sign for every two attempts, so no space
+    is ever used up. (Addresses of four bytes cannot grow; theirs has 3.6e9.)
+    """
     seed = F.concat_ws("\u0002", kind, within, norm, attempt.cast("string"))
     draw = lambda i: _drawn(key, seed, F.lit(f"n{i}"))
     no = F.lit(False)
-    extra = F.lit(0)
+    extra = F.floor(attempt / 2).cast("int")
     more = lambda sign, hexadecimal=no: _shaped(F.repeat(F.lit(sign), extra), key, F.concat(seed, F.lit("x")), hexadecimal)
     email = F.concat(
         _shaped(F.substring_index(norm, "@", 1), key, seed, no), more("a"), F.lit("@"),

@@ -80,7 +80,7 @@ def test_surrogates_of_one_entity_in_several_formats(spark, scratch):
         ("DE89 3704 0044 0532 0130 00", "DE89370400440532013000"), ("+49 (30) 123-4567", "+49 30 123 45 67", "+49301234567"),
     ]
     rows = [(i, " ; ".join(mentions)) for i, mentions in enumerate(same)]
-    rows += [(9, "Mr " + " ; Mr ".join("Berg" + c for c in "abcdefgh"))]
+    rows += [(8, "Password: ________ and token = ......"), (9, "Mr " + " ; Mr ".join("Berg" + c for c in "abcdefgh"))]
     got = {r.doc_id: r for r in pseudonymised(spark.createDataFrame(rows, "doc_id long, text string"), scratch, key="k").collect()}
     assert [got[i].n_entities for i in range(4)] == [len(m) for m in same]
     assert len({m.split()[-1] for m in got[0].text.split(" ; ")}) == 1 and "Berg" not in got[0].text
@@ -88,9 +88,18 @@ def test_surrogates_of_one_entity_in_several_formats(spark, scratch):
         fresh = got[i].text.split(" ; ")
         assert len({re.sub(r"[^0-9A-Z]", "", m) for m in fresh}) == 1 and got[i].text != rows[i][1]
         assert [re.sub(r"[0-9]", "0", m) for m in fresh] == [re.sub(r"[0-9]", "0", m) for m in same[i]]
+    assert (got[8].text, got[8].n_entities) == (rows[4][1], 0)
     assert len(set(got[9].text.split(" ; "))) == 8
 
 
+def test_surrogates_of_a_used_up_space(spark, scratch):
+    names = [(1, f"token=_____{c}") for c in "abcdefghijklmnopqrstuvwxyz"] + [(1, f"Mr {a} Berg") for a in ("Aa Bb Cc Dd Ee Ff Gg Hh Ii Jj Kk Ll Mm Nn Oo Pp Qq Rr").split()]
+    text = " ; ".join(n for _, n in names)
+    out = pseudonymised(spark.createDataFrame([(1, text)], "doc_id long, text string"), scratch, key="k").first()
+    fresh = out.text.split(" ; ")
+    assert out.n_entities == len(names) == len(set(fresh)) and not set(fresh) & {n for _, n in names}
+
+
 def test_url_verdicts(spark, scratch):
     link = '<link rel="canonical" href="{}">'.format
     rows = [
