@@ -83,10 +83,11 @@ class NoticeFinder:
                     merged[-1][1] = max(merged[-1][1], high)
                 else:
                     merged.append([low, high])
-            for low, high in merged:
-                while (m := self.rules[rule][3].search(text, low, high)) and m.end() > m.start():
+            while merged:  # the best match of an area may have others on both sides
+                low, high = merged.pop()
+                if (m := self.rules[rule][3].search(text, low, high)) and m.end() > m.start():
                     out.append((row, rule, m.start(), m.end(), sum(m.fuzzy_counts)))
-                    low = m.end()
+                    merged += [[low, m.start()], [m.end(), high]]
         return out
 
 

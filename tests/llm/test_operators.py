@@ -3,12 +3,13 @@
 import os
 import re
 
+import numpy as np
 import pytest
 
 import __spark_entry__ as entry_module
 import corpus_pipeline
 from meterline.llm.labelled import is_held_out
-from meterline.llm.notices import license_notices
+from meterline.llm.notices import NoticeFinder, license_notices
 from meterline.llm.pieces import Encoder, decoded, encoded, load_model
 from meterline.llm.pu_quality import good_rows, quality_scores
 from meterline.llm.queries import MODEL
@@ -151,6 +152,12 @@ def test_notices(spark, docs, plain_docs):
     assert license_notices(docs).count() == len(plain_docs)
 
 
+def test_notices_on_both_sides_of_the_best_match():
+    text = b"relased under the mit license; released under the mit license. releasd under the mit license"
+    found = NoticeFinder({"released under the mit license": "mit-notice"}, 12).find(text, np.array([0, len(text)]))
+    assert sorted(m[4] for m in found) == [0, 1, 1]
+
+
 @pytest.mark.parametrize("name", sorted(n for n in entry_module.oracle_sql() if n.startswith("op")))
 def test_query_matches_sql(spark, name):
     with oracle("sf0.01") as connection:
