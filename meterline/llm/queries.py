@@ -13,6 +13,7 @@ from meterline.llm.lines import repeated_lines
 from meterline.llm.neardup import near_duplicates
 from meterline.llm.notices import license_notices
 from meterline.llm.pieces import encoded
+from meterline.llm.prefix_tree import prefix_tree, turn_lists, with_openings
 from meterline.llm.pu_quality import quality_scores
 from meterline.llm.redirects import page_verdicts
 from meterline.llm.scratch import Scratch
@@ -81,10 +82,16 @@ def op10_license_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_notices(table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lists = with_openings(turn_lists(table(spark, sf_dir, "conversations")))
+    return prefix_tree(lists, Scratch(spark, "op11"))
+
+
 QUERIES = {
     query.__name__: query
     for query in (
         op1_quality_rules, op2_pii_surrogates, op3_sentencepiece, op4_decontamination, op5_near_duplicates,
         op6_quality_classifier, op7_line_dedup, op8_url_filter, op9_toxicity, op10_license_notices,
+        op11_prefix_tree,
     )
 }

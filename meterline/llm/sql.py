@@ -32,5 +32,53 @@ WITH d AS (
 SELECT *, failed & {mask(BASE)} <> 0 AS base_failed, failed & {mask(BASE) | mask(POLICIES[POLICY])} = 0 AS kept FROM b
 """
 
+
+def _crc_step(i: int) -> int:
+    for _ in range(4):
+        i = (i >> 1) ^ (0xEDB88320 if i & 1 else 0)
+    return i
+
+
+def crc32_sql(text: str) -> str:
+    """The unsigned crc32 of an ASCII text, four bits at a time."""
+    table = ", ".join(f"{_crc_step(i)}::BIGINT" for i in range(16))
+    bits = f"flatten(list_transform(string_split({text}, ''), lambda ch: [(ascii(ch) & 15)::BIGINT, (ascii(ch) >> 4)::BIGINT]))"
+    step = f"lambda a, x: xor(([{table}])[(xor(a, x) & 15) + 1], a >> 4)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {bits}), {step}), 4294967295::BIGINT)"
+
+
+OP11 = rf"""
+WITH t AS (
+  SELECT conv_id::BIGINT AS c, turn, md5(length(role) || ':' || role || text) AS k, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS w
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)
+), own AS (
+  SELECT c, k, w, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, k) AS p FROM t
+), convs AS (
+  SELECT c, c - c % 20 AS b, ({crc32_sql("c::VARCHAR")}) % 4 AS h, n FROM (SELECT c, count(*) AS n FROM own GROUP BY c)
+), turns AS (
+  SELECT v.c, o.p AS i, o.k, o.w FROM convs v JOIN own o ON o.c = v.b AND o.p <= v.h
+  UNION ALL
+  SELECT v.c, v.h + o.p AS i, o.k, o.w FROM convs v JOIN own o ON o.c = v.c AND o.p > v.h
+), lists AS (
+  SELECT v.c, coalesce(l.ks, []) AS ks, coalesce(l.ws, []) AS ws
+  FROM convs v LEFT JOIN (SELECT c, list(k ORDER BY i) AS ks, list(w ORDER BY i) AS ws FROM turns GROUP BY c) l USING (c)
+), paths AS (
+  SELECT c, len(ks) AS n, ks, ws, unnest(range(0, len(ks) + 1)) AS d FROM lists
+), nodes AS (
+  SELECT d, list_slice(ks, 1, d) AS key, min(c) AS conv_id, count(*) AS n_convs, coalesce(any_value(ws[d]), 0) AS w,
+    sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE n = d), '')) AS ends_sha256
+  FROM paths GROUP BY d, list_slice(ks, 1, d)
+), family AS (
+  SELECT n.*, u.conv_id AS parent_conv_id, coalesce(k.n, 0) AS n_children
+  FROM nodes n LEFT JOIN nodes u ON u.d = n.d - 1 AND u.key = list_slice(n.key, 1, n.d - 1)
+  LEFT JOIN (SELECT d - 1 AS d, list_slice(key, 1, d - 1) AS key, count(*) AS n FROM nodes WHERE d > 0 GROUP BY ALL) k ON k.d = n.d AND k.key = n.key
+), below AS (
+  SELECT up, list_slice(key, 1, up) AS key, sum((n_children = 0)::BIGINT) AS n_leaves, sum((n_convs - 1) * w) AS saved_tokens
+  FROM (SELECT *, unnest(range(0, d + 1)) AS up FROM family) GROUP BY up, list_slice(key, 1, up)
+)
+SELECT conv_id, d AS depth, parent_conv_id, n_convs, n_children, n_leaves::BIGINT AS n_leaves, saved_tokens::BIGINT AS saved_tokens, ends_sha256
+FROM family f JOIN below b ON b.up = f.d AND b.key = f.key
+"""
+
 #: Linking by redirects changes no verdict where no page names another (see the tests for those).
-ORACLE_SQL = {"op1_quality_rules": OP1}
+ORACLE_SQL = {"op1_quality_rules": OP1, "op11_prefix_tree": OP11}
