@@ -15,6 +15,7 @@ from meterline.llm.notices import license_notices
 from meterline.llm.pieces import encoded
 from meterline.llm.prefix_tree import prefix_tree, turn_lists, with_openings
 from meterline.llm.pu_quality import quality_scores
+from meterline.llm.ranked import length_index, ranked
 from meterline.llm.redirects import page_verdicts
 from meterline.llm.scratch import Scratch
 from meterline.llm.surrogates import pseudonymised
@@ -87,11 +88,16 @@ def op11_prefix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_tree(lists, Scratch(spark, "op11"))
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "op12")
+    return ranked(length_index(table(spark, sf_dir, "documents"), scratch), table(spark, sf_dir, "benchmark"), scratch)
+
+
 QUERIES = {
     query.__name__: query
     for query in (
         op1_quality_rules, op2_pii_surrogates, op3_sentencepiece, op4_decontamination, op5_near_duplicates,
         op6_quality_classifier, op7_line_dedup, op8_url_filter, op9_toxicity, op10_license_notices,
-        op11_prefix_tree,
+        op11_prefix_tree, op12_ranked_search,
     )
 }

@@ -80,5 +80,29 @@ SELECT conv_id, d AS depth, parent_conv_id, n_convs, n_children, n_leaves::BIGIN
 FROM family f JOIN below b ON b.up = f.d AND b.key = f.key
 """
 
+OP12 = r"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+  FROM documents
+), sizes AS (
+  SELECT doc_id, r, len(ws) AS n, sum(len(ws)) OVER ()::BIGINT AS l, count(*) OVER () AS nn FROM d WHERE len(ws) > 0
+), tf AS (
+  SELECT r, w, count(*) AS tf FROM (SELECT r, unnest(ws) AS w FROM d) GROUP BY r, w
+), q AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w
+  FROM benchmark WHERE item_id IS NOT NULL
+), df AS (
+  SELECT w, count(*) AS df FROM tf WHERE w IN (SELECT w FROM q) GROUP BY w
+), impacts AS (
+  SELECT doc_id, r, w, floor(1000 * ln((2 * nn + 2)::DOUBLE / (2 * df + 1)))::BIGINT * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * nn) // l))) AS part
+  FROM tf JOIN df USING (w) JOIN sizes USING (r)
+), scores AS (
+  SELECT item_id, r, doc_id, sum(part)::BIGINT AS score FROM q JOIN impacts USING (w) WHERE doc_id IS NOT NULL GROUP BY ALL
+)
+SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INTEGER AS rank, doc_id, score
+FROM scores WHERE score > 0
+QUALIFY rank <= 10
+"""
+
 #: Linking by redirects changes no verdict where no page names another (see the tests for those).
-ORACLE_SQL = {"op1_quality_rules": OP1, "op11_prefix_tree": OP11}
+ORACLE_SQL = {"op1_quality_rules": OP1, "op11_prefix_tree": OP11, "op12_ranked_search": OP12}
