@@ -19,9 +19,12 @@ from meterline.llm.ranked import length_index, ranked
 from meterline.llm.redirects import page_verdicts
 from meterline.llm.scratch import Scratch
 from meterline.llm.surrogates import pseudonymised
+from meterline.llm.token_files import token_digests, token_lists, write_token_files
 from meterline.llm.toxicity import toxicity_scores
+from meterline.session import scratch_dir
 
 MODEL = os.environ.get("METERLINE_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
+TOKENIZER = os.environ.get("METERLINE_TOKENIZER", "/opt/tokenizers/word_bpe_49k.json")
 KEY = os.environ.get("METERLINE_KEY", "a key for tests")
 
 
@@ -93,11 +96,17 @@ def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked(length_index(table(spark, sf_dir, "documents"), scratch), table(spark, sf_dir, "benchmark"), scratch)
 
 
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_dir(spark, "op13")
+    write_token_files(table(spark, sf_dir, "documents"), path, TOKENIZER, by_word=True)
+    return token_digests(token_lists(spark, path))
+
+
 QUERIES = {
     query.__name__: query
     for query in (
         op1_quality_rules, op2_pii_surrogates, op3_sentencepiece, op4_decontamination, op5_near_duplicates,
         op6_quality_classifier, op7_line_dedup, op8_url_filter, op9_toxicity, op10_license_notices,
-        op11_prefix_tree, op12_ranked_search,
+        op11_prefix_tree, op12_ranked_search, op13_token_files,
     )
 }
