@@ -25,6 +25,8 @@ from meterline.session import scratch_dir
 
 MODEL = os.environ.get("METERLINE_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
 TOKENIZER = os.environ.get("METERLINE_TOKENIZER", "/opt/tokenizers/word_bpe_49k.json")
+#: The tokenizer parts letters from these marks wherever they stand.
+MARKS = ".,;:!?()-"
 KEY = os.environ.get("METERLINE_KEY", "a key for tests")
 
 
@@ -98,7 +100,7 @@ def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_dir(spark, "op13")
-    write_token_files(table(spark, sf_dir, "documents"), path, TOKENIZER, by_word=True)
+    write_token_files(table(spark, sf_dir, "documents"), path, TOKENIZER, by_word=True, marks=MARKS)
     return token_digests(token_lists(spark, path))
 
 

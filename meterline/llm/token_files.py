@@ -6,6 +6,7 @@ doc_id, and ``chunks``, one small row per chunk that says where its ids begin.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -25,7 +26,11 @@ CHUNKS = "chunk int, base long, tokens long, docs long"
 #: Documents of a file, about.
 FILE_DOCS = 1 << 16
 #: Bytes of distinct words, with their ids, that a task remembers.
-REMEMBERED = 1 << 24
+REMEMBERED = 3 << 24
+#: Bytes of text that are encoded at a time.
+SLICE = 1 << 19
+#: Words that go to the tokenizer in one text, with this one between them.
+TOGETHER, BETWEEN = 256, "|"
 
 
 class Encoder:
@@ -33,44 +38,101 @@ class Encoder:
 
     With ``by_word`` texts are cut at ASCII white space and each distinct word is encoded
     once. That gives the ids of the whole text for tokenizers that drop white space and
-    let no token reach over it, whatever stands around.
+    let no token reach over it, whatever stands around. Words are also cut between an
+    ASCII letter and one of ``marks``, for tokenizers that let no token reach over such a
+    place; marks that stand in one of the tokenizer's added tokens are left out.
     """
 
-    def __init__(self, model: str, by_word: bool):
+    def __init__(self, model: str, by_word: bool, marks: str = ""):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks share the cores already
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(model)
         self.by_word = by_word
         self.reader = WordReader(SPACED, fold=False)
+        added = {ch for token in self.tokenizer.get_added_tokens_decoder().values() for ch in token.content}
+        self.kind = np.zeros(256, np.uint8)
+        self.kind[[*range(65, 91), *range(97, 123)]] = 1
+        self.kind[[ord(ch) for ch in marks if ch not in added]] = 2
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}  # what was known before, as long as it is asked for
         self.size = 0
+        self.between = self._arrays([BETWEEN])[0].tolist()
+        suffix = json.loads(model)["model"].get("end_of_word_suffix")
+        names = {i: name for name, i in self.tokenizer.get_vocab().items()} if suffix else {}
+        self.closes = np.zeros(max(names, default=-1) + 1, bool)  # ids that end a word
+        self.closes[[i for i, name in names.items() if name.endswith(suffix)]] = True
+
+    def _arrays(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(one.ids, "<u4") for one in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _ids(self, texts: list[bytes]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast([text.decode("utf-8", "replace") for text in texts], add_special_tokens=False)
-        return [np.array(one.ids, "<u4").tobytes() for one in found]
+        return [ids.tobytes() for ids in self._arrays([text.decode("utf-8", "replace") for text in texts])]
+
+    def _many(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of words by few calls: many words are put in one text and their ids parted again.
+
+        Words of ASCII letters are parted behind each id that ends a word, if the
+        tokenizer has such; others by the id of a mark put between any two, which no word
+        without the mark's character has. Where the number of parts is not that of the
+        words, they are encoded one by one.
+        """
+        plain = [word for word in words if word.isalpha()] if self.closes.any() else []
+        other = [word for word in words if not word.isalpha()] if plain else words
+        groups = [(plain[i : i + TOGETHER], b" ") for i in range(0, len(plain), TOGETHER)]
+        groups += [(other[i : i + TOGETHER], f" {BETWEEN} ".encode()) for i in range(0, len(other), TOGETHER)]
+        found = self._arrays([glue.join(group).decode("utf-8", "replace") for group, glue in groups])
+        out: dict[bytes, bytes] = {}
+        for (group, glue), ids in zip(groups, found, strict=True):
+            raw, end = ids.tobytes(), 4 * len(ids)
+            if glue == b" ":
+                stops = 4 * (np.flatnonzero(self.closes[ids]) + 1)
+                is_parted = len(stops) == len(group) and stops[-1] == end
+                starts = np.r_[0, stops[:-1]]
+            else:
+                marks = 4 * np.flatnonzero(ids == self.between[0]) if len(self.between) == 1 else []
+                is_parted = len(marks) == len(group) - 1 and BETWEEN.encode() not in b"".join(group)
+                starts, stops = np.r_[-4, marks] + 4, np.r_[marks, end]
+            if is_parted:
+                out.update((word, raw[low:high]) for word, low, high in zip(group, starts.tolist(), stops.tolist(), strict=True))
+            else:
+                out.update(zip(group, self._ids(group), strict=True))
+        return out
 
     def _words(self, distinct: list[bytes]) -> list[bytes]:
-        if self.size > REMEMBERED:
-            self.known, self.size = {}, 0
-        new = [word for word in distinct if word not in self.known]
-        for word, ids in zip(new, self._ids(new), strict=True):
-            self.known[word] = ids
-            self.size += len(word) + len(ids) + 150
-        return [self.known[word] for word in distinct]
+        if self.size > REMEMBERED // 2:
+            self.known, self.older, self.size = {}, self.known, 0
+        known, older = self.known, self.older
+        fresh = list({word for word in distinct if word not in known})
+        found = [older.get(word) for word in fresh]
+        new = [word for word, ids in zip(fresh, found, strict=True) if ids is None]
+        known.update((word, ids) for word, ids in zip(fresh, found, strict=True) if ids is not None)
+        known.update(self._many(new))
+        self.size += 150 * len(fresh) + sum(len(word) + len(known[word]) for word in fresh)
+        return [known[word] for word in distinct]
+
+    def _cut(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where words, or their parts, start, and the rows they are in."""
+        kind = self.kind[data]
+        cut = np.zeros(len(data), bool)
+        cut[self.reader.read(data, offsets).start] = True
+        cut[1:] |= (kind[1:] | kind[:-1]) == 3  # a letter and a mark
+        starts = np.flatnonzero(cut)
+        return starts, np.searchsorted(offsets, starts, "right") - 1
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of some rows in a run, and how many each row has."""
         if self.by_word:
-            words = self.reader.read(data, offsets)
-            if not len(words.start):
+            starts, row = self._cut(data, offsets)
+            if not len(starts):
                 return np.empty(0, "<u4"), np.zeros(len(offsets) - 1, np.int64)
-            # From one word's start to the next: white space behind a word changes nothing.
-            bounds = np.r_[words.start, len(data)].astype(np.int32)
-            spans = pa.Array.from_buffers(pa.binary(), len(words.start), [None, pa.py_buffer(bounds), pa.py_buffer(data)])
+            # From one start to the next, and then without the white space behind the word.
+            bounds = np.r_[starts, len(data)].astype(np.int32)
+            spans = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(data)])
             spans = spans.dictionary_encode()
-            which, row = spans.indices.to_numpy(), words.row
-            parts = self._words(spans.dictionary.to_pylist())
+            which, distinct = spans.indices.to_numpy(), spans.dictionary
+            raw, ends = distinct.buffers()[2].to_pybytes(), np.frombuffer(distinct.buffers()[1], np.int32)[: len(distinct) + 1].tolist()
+            parts = self._words([raw[low:high].rstrip() for low, high in zip(ends[:-1], ends[1:], strict=True)])
         else:
             raw = data.tobytes()
             parts = self._ids([raw[low:high] for low, high in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)])
@@ -84,13 +146,13 @@ class Encoder:
         return flat[at], np.bincount(row, many, len(offsets) - 1).astype(np.int64)
 
 
-def _encoded(model: str, end_id: int, by_word: bool):
+def _encoded(model: str, end_id: int, by_word: bool, marks: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, chunk, at = None, None, 0
         for batch in batches:
-            encoder = encoder or Encoder(model, by_word)
+            encoder = encoder or Encoder(model, by_word, marks)
             chunks = batch.column(0).to_numpy()
-            for first, end, data, offsets in slices(batch.column(2)):
+            for first, end, data, offsets in slices(batch.column(2), SLICE):
                 ids, sizes = encoder.encode(data, offsets)
                 ids = np.insert(ids.astype(np.int32), np.cumsum(sizes), end_id)
                 sizes = sizes + 1
@@ -122,6 +184,7 @@ def write_token_files(
     *,
     end_id: int = 1,
     by_word: bool = False,
+    marks: str = "",
     group_docs: int = 4096,
     page_docs: int = 64,
 ) -> None:
@@ -149,7 +212,7 @@ def write_token_files(
     files = max(shuffle_width(spark), -(-docs.count() // FILE_DOCS))
     chunks = ordered_chunks(docs, [], ["doc_id", "draw"], chunks=files)
     dealt = chunks.repartitionById(files, F.col(CHUNK)).sortWithinPartitions(CHUNK, "doc_id", "draw", "text")
-    ids = dealt.select(F.col(CHUNK).alias("chunk"), "doc_id", "text").mapInArrow(_encoded(model, end_id, by_word), TOKENS)
+    ids = dealt.select(F.col(CHUNK).alias("chunk"), "doc_id", "text").mapInArrow(_encoded(model, end_id, by_word, marks), TOKENS)
     writer = (
         ids.write.option("compression", "zstd")
         .option("parquet.writer.version", "PARQUET_2_0")

@@ -9,7 +9,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import meterline.llm.token_files as token_files
-from meterline.llm.queries import QUERIES, TOKENIZER
+from meterline.llm.queries import MARKS, QUERIES, TOKENIZER
 from meterline.session import scratch_dir
 from tests.compare import TESTDATA
 
@@ -46,19 +46,19 @@ def test_query(spark, sf):
 
 
 ODD_WORDS = [
-    "a<|endoftext|>b  <|startoftext|> ", "é ́x é y z", "x" * 3000 + " 'LL don't İI ΣΑΣ ς", "１２ 12a_b--c\x1c\x85d", "한 ᆫ 漢字 🙂🙂 a\tb\r\nc",
+    "a<|endoftext|>b  <|startoftext|> ", "é ́x é y z", "x" * 3000 + " 'LL don't İI ΣΑΣ ς", "１２ 12a_b--c\x1c\x85d", "a|b | c |", "x.y,.z's.'ll (e\u0301)! -\u0301a .\u0338b;\u037e k.K\u212a", "한 ᆫ 漢字 🙂🙂 a\tb\r\nc",
 ]
 
 
-@pytest.mark.parametrize("tokenizer, by_word", [(TOKENIZER, True), (TOKENIZER, False), (BYTES, False)])
-def test_odd_rows(spark, docs, monkeypatch, tokenizer, by_word):
+@pytest.mark.parametrize("tokenizer, by_word, marks", [(TOKENIZER, True, ""), (TOKENIZER, True, MARKS + "<|>"), (TOKENIZER, False, ""), (BYTES, False, "")])
+def test_odd_rows(spark, docs, monkeypatch, tokenizer, by_word, marks):
     """Nulls, empty and very long texts, repeated ids, odd characters, clashing names, little memory."""
     monkeypatch.setattr(token_files, "REMEMBERED", 2000)
     extra = spark.createDataFrame(list(enumerate(ODD_WORDS, 5000)) + [(5000, "x"), (None, "")], "doc_id long, text string")
     rows = docs.select("doc_id", "text").unionByName(extra)
     frame = rows.selectExpr("*", "1 as chunk", "2 as start", "3 as ids", "4 as _chunk", "5 as draw")
     path = scratch_dir(spark, "tokens")
-    token_files.write_token_files(frame, path, tokenizer, by_word=by_word, end_id=7)
+    token_files.write_token_files(frame, path, tokenizer, by_word=by_word, marks=marks, end_id=7)
     checked(token_files.token_lists(spark, path).collect(), plain([tuple(row) for row in rows.collect()], tokenizer, 7))
 
 
