@@ -164,6 +164,14 @@ _CLOSED = f"""{_LINES}, hourly AS ({_HOURLY}), closed AS (
 )
 """
 
+_MEDIANS = f"""{_LINES}
+SELECT pu_location_id, date_trunc('hour', pickup_ts) AS window_start,
+       date_trunc('hour', pickup_ts) + INTERVAL 1 HOUR AS window_end, count(*) AS trip_count,
+       list_sort(list(total_amount))[(count(*) + 1) // 2] AS low_median,
+       list_sort(list(total_amount))[(count(*) + 2) // 2] AS high_median
+FROM trips GROUP BY ALL
+"""
+
 _LOG = """
 WITH log AS (
   SELECT event_id AS seq, ts AS "timestamp", CAST(user_id AS DOUBLE) AS "Latency",
@@ -257,6 +265,22 @@ SELECT format('PULocationID={{}}, WindowStart={{}}, WindowEnd={{}}, TripCount={{
               strftime(window_end, '%Y-%m-%d %H:%M:%S'), trip_count, total_income) AS value
 FROM hourly""",
     "q_window_apply": _LINES + _HOURLY,
+    "q_window_rows": _MEDIANS,
+    "q_window_medians": _MEDIANS,
+    "q_stream_sources": f"""{_LINES}, hourly AS ({_HOURLY}), seen AS (
+  SELECT max(pickup_ts) - INTERVAL 1 MINUTE AS till FROM trips GROUP BY event_id % 3 = 0
+)
+SELECT * FROM hourly WHERE window_end <= (SELECT min(till) FROM seen)""",
+    "q_open_windows": f"""{_LINES}, hourly AS ({_HOURLY})
+SELECT *, window_end > (SELECT max(pickup_ts) - INTERVAL 1 MINUTE FROM trips) AS is_open FROM hourly""",
+    "q_late_rows": f"""{_LINES}
+SELECT pu_location_id, do_location_id, pickup_ts, total_amount,
+       event_id % 2 = 1 AND date_trunc('hour', pickup_ts) + INTERVAL 1 HOUR <= (
+         SELECT max(pickup_ts) - INTERVAL 1 MINUTE FROM trips WHERE event_id % 2 = 0) AS late
+FROM trips""",
+    "q_stream_interval": f"""{_CLOSED}
+SELECT CAST(interval_ms AS INTEGER) AS interval_ms, closed.*, CAST(3 AS BIGINT) AS commits
+FROM closed, (VALUES (100), (400)) AS i(interval_ms)""",
     "q_stream_hourly": f"{_CLOSED} SELECT * FROM closed",
     "q_stream_restart": f"{_CLOSED} SELECT * FROM closed",
     "q_stream_fold": f"{_CLOSED} SELECT * FROM closed",

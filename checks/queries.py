@@ -13,12 +13,14 @@ from meterline.functions.times import column_time, raw_field_time, strict_time
 from meterline.operators import analysis, faults, hourly, parse, prep, replay, runlog
 from meterline.plans.report import interval_report
 from meterline.operators.window_fold import INCOME_FOLD, fold_windows
+from meterline.operators.window_rows import medians, visit_median, window_rows
 from meterline.session import scratch_dir, prepare
 from meterline.sources import lines as line_sources
 from meterline.sources import sinks
+from meterline.streaming.checkpoint_tables import batches, judged_rows, open_windows
 from meterline.streaming.divert_stream import diverted, run_divert
 from meterline.streaming.fold_stream import stream_fold
-from meterline.streaming.hourly_stream import paced, run_hourly_lines, run_hourly_table
+from meterline.streaming.hourly_stream import drained, paced, run_hourly_lines, run_hourly_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -169,6 +171,21 @@ def q_window_apply(spark, sf_dir):
     return fold_windows(_trips(spark, sf_dir), INCOME_FOLD)
 
 
+_MEDIAN_DDL = "trip_count bigint, low_median double, high_median double"
+
+
+@query
+def q_window_rows(spark, sf_dir):
+    """The exact median of each window by a function that is handed its rows in order."""
+    return window_rows(_trips(spark, sf_dir), visit_median, ["total_amount"], ["total_amount"], _MEDIAN_DDL)
+
+
+@query
+def q_window_medians(spark, sf_dir):
+    """The same by places in the window, with no window read by one task."""
+    return medians(_trips(spark, sf_dir), "total_amount")
+
+
 @query
 def q_stream_hourly(spark, sf_dir):
     """The streaming job over the same lines, drained to its end; open windows stay in state."""
@@ -233,6 +250,79 @@ def q_stream_divert(spark, sf_dir):
     return trips.unionByName(bad, allowMissingColumns=True)
 
 
+def _grown(parts, run):
+    """Call ``run`` each time lines have been added to the folders they are for."""
+    for part in parts:
+        for lines, folder in part:
+            lines.select("value").write.mode("append").text(folder)
+        run()
+
+
+def _slices(lines):
+    """The lines in three parts by pickup; unreadable ones go with the first."""
+    pickup = F.coalesce(F.get(F.split("value", ","), 1), F.lit(""))
+    bounds = ("2024-01-10", "2024-01-20")
+    return [lines.where(pickup < bounds[0]), lines.where(pickup.between(*bounds)), lines.where(pickup > bounds[1])]
+
+
+@query
+def q_stream_sources(spark, sf_dir):
+    """Two sources: one gives all its lines at once, the other lags behind and loses none."""
+    fast, slow, out, log = (scratch_dir(spark, name) for name in ("fast-in", "slow-in", "stream-out", "stream-log"))
+    lines = adapters.trip_lines(spark, sf_dir)
+    first, *later = _slices(lines.where("event_id % 3 <> 0"))
+    for part, folder in ((lines.where("event_id % 3 = 0"), fast), (first, slow)):
+        part.select("value").write.text(folder)
+    streams = [spark.readStream.format("text").load(folder) for folder in (fast, slow)]
+    job = run_hourly_table(streams, out, log, interval="100 milliseconds", bad="drop", exact_cents=True)
+    job.processAllAvailable()
+    _grown([[(part, slow)] for part in later], job.processAllAvailable)
+    drained(job)
+    return spark.read.parquet(out)
+
+
+@query
+def q_open_windows(spark, sf_dir):
+    """Windows given out by the drained job, and those left in its state."""
+    out, log = scratch_dir(spark, "stream-out"), scratch_dir(spark, "stream-log")
+    lines = _line_stream(spark, adapters.trip_lines(spark, sf_dir))
+    run_hourly_table(lines, out, log, interval=None, bad="drop", exact_cents=True).awaitTermination()
+    closed, open_ = spark.read.parquet(out), open_windows(spark, log)
+    return closed.withColumn("is_open", F.lit(False)).unionByName(open_.withColumn("is_open", F.lit(True)))
+
+
+@query
+def q_late_rows(spark, sf_dir):
+    """Every trip that a job with late rows has read, marked as counted or dropped."""
+    source, out, log = (scratch_dir(spark, name) for name in ("stream-in", "stream-out", "stream-log"))
+    lines = adapters.trip_lines(spark, sf_dir)
+
+    def run():
+        stream = spark.readStream.format("text").load(source)
+        run_hourly_table(stream, out, log, interval=None, bad="drop", exact_cents=True).awaitTermination()
+
+    _grown([[(lines.where(f"event_id % 2 = {i}"), source)] for i in (0, 1)], run)
+    rows = judged_rows(spark, source, log, bad="drop")
+    return rows.select("pu_location_id", "do_location_id", "pickup_ts", "total_amount", "late")
+
+
+@query
+def q_stream_interval(spark, sf_dir):
+    """The job under two intervals: equal windows; the log has one commit per part that arrived."""
+    runs = []
+    for interval_ms in (100, 400):
+        source, out, log = (scratch_dir(spark, name) for name in ("stream-in", "stream-out", "stream-log"))
+
+        def run():
+            stream = spark.readStream.format("text").load(source)
+            drained(run_hourly_table(stream, out, log, interval=f"{interval_ms} milliseconds", bad="drop", exact_cents=True))
+
+        _grown([[(part, source)] for part in _slices(adapters.trip_lines(spark, sf_dir))], run)
+        commits = batches(spark, log).where("reads_new").agg(F.count("*")).scalar()
+        runs.append(spark.read.parquet(out).select(F.lit(interval_ms).alias("interval_ms"), "*", commits.alias("commits")))
+    return runs[0].unionByName(runs[1])
+
+
 # Run logs
 
 

@@ -40,11 +40,11 @@ def parse_trips(
     return rows.where(checked).select(*keep, *typed)
 
 
-def counted_trips(lines: DataFrame, bad: str = "failfast") -> DataFrame:
-    """Trips to be counted: ``keep`` would count bad lines as trips, so it is refused."""
+def counted_trips(lines: DataFrame, bad: str = "failfast", keep: Sequence[str] = ()) -> DataFrame:
+    """Trips to be counted: ``keep`` as a mode would count bad lines as trips, so it is refused."""
     if bad == "keep":
         raise ValueError("bad lines can't be kept where trips are counted")
-    return parse_trips(lines, bad)
+    return parse_trips(lines, bad, keep)
 
 
 def bad_lines(lines: DataFrame, keep: Sequence[str] = (), line: str = "value") -> DataFrame:

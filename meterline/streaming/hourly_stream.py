@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
@@ -32,6 +34,40 @@ def stream_income(
     return hourly_income(trips, width, exact_cents)
 
 
+def stream_sources(
+    sources: Sequence[DataFrame],
+    bad: str = "failfast",
+    width: str = DEFAULT_WIDTH,
+    delay: str = DEFAULT_DELAY,
+    exact_cents: bool = False,
+) -> DataFrame:
+    """Windows over several line streams, each with a watermark of its own.
+
+    A window closes when ``delay`` has passed its end in every source, so a source that
+    lags behind the others loses no row. A source without any row yet holds all windows
+    open. The policy is kept in the checkpoint from the first start on.
+    """
+    first = sources[0].sparkSession
+    first.conf.set("spark.sql.streaming.multipleWatermarkPolicy", "min")
+    marked = [counted_trips(lines, bad).withWatermark("pickup_ts", delay) for lines in sources]
+    trips = marked[0]
+    for more in marked[1:]:
+        trips = trips.unionByName(more)
+    return hourly_income(trips, width, exact_cents)
+
+
+def drained(query: StreamingQuery) -> StreamingQuery:
+    """Wait until a query under any trigger has taken all there is, then stop it.
+
+    What its last batch made due (closed windows) is given out before.
+    """
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    return query
+
+
 def paced(writer: DataStreamWriter, interval: str | None = DEFAULT_INTERVAL) -> DataStreamWriter:
     """One micro-batch, hence one checkpoint, per interval; None drains what is there."""
     if interval is None:
@@ -60,17 +96,18 @@ def run_hourly_lines(
 
 
 def run_hourly_table(
-    lines: DataFrame,
+    lines: DataFrame | Sequence[DataFrame],
     path: str,
     checkpoint: str,
     interval: str | None = DEFAULT_INTERVAL,
     **options,
 ) -> StreamingQuery:
-    """The same with typed results in Parquet."""
-    _ready(lines)
+    """The same with typed results in Parquet; several streams go by ``stream_sources``."""
+    sources = [lines] if isinstance(lines, DataFrame) else list(lines)
+    _ready(sources[0])
+    windows = stream_income(sources[0], **options) if len(sources) == 1 else stream_sources(sources, **options)
     writer = (
-        stream_income(lines, **options)
-        .writeStream.format("parquet")
+        windows.writeStream.format("parquet")
         .outputMode("append")
         .option("path", path)
         .option("checkpointLocation", checkpoint)

@@ -30,6 +30,7 @@ TYPES = {
     "bigint": "BIGINT",
     "double": "DOUBLE",
     "string": "VARCHAR",
+    "boolean": "BOOLEAN",
     "timestamp": "TIMESTAMP",
 }
 
