@@ -6,7 +6,7 @@ depends on how the library reads text.
 
 from __future__ import annotations
 
-from checks.adapters import BOUND, MESS
+from checks.adapters import BOUND, HEADER, MESS
 
 _KINDS = " ".join(f"WHEN event_id % {d} = 0 THEN '{name}'" for d, name in MESS)
 
@@ -250,6 +250,13 @@ SELECT pickup_text || CASE WHEN mess = 'fraction' THEN '.000' ELSE '' END
        CASE WHEN mess <> 'short' THEN '0.0' END AS airport_fee
 FROM texts
 WHERE mess NOT IN ('blank_line', 'blank_pickup') AND pickup >= TIMESTAMP '{BOUND}'""",
+    "q_sorted_lines": f"""{_LINES}
+SELECT 1 + row_number() OVER (ORDER BY dropoff NULLS FIRST, event_id) AS line_no, raw.value
+FROM readable JOIN raw USING (event_id) WHERE pickup >= TIMESTAMP '{BOUND}'
+UNION ALL SELECT 1, '{",".join(HEADER)}'""",
+    "q_lines_by_place": f"""{_LINES}
+SELECT CASE WHEN event_id % 500 = 3 THEN '{",".join(HEADER)}' ELSE value END AS value
+FROM raw WHERE mess <> 'blank_line' OR event_id % 500 = 3""",
     "q_replay_ticks": _ticks(7200),
     "q_replay_ticks_fine": _ticks(60),
     "q_replay_order": f"""{_LINES}
@@ -290,6 +297,17 @@ SELECT format('PULocationID={{}}, WindowStart={{}}, WindowEnd={{}}, TripCount={{
               strftime(window_start, '%Y-%m-%d %H:%M:%S'),
               strftime(window_end, '%Y-%m-%d %H:%M:%S'), trip_count, total_income) AS value
 FROM closed""",
+    "q_stream_rolled": f"""{_CLOSED}
+SELECT format('PULocationID={{}}, WindowStart={{}}, WindowEnd={{}}, TripCount={{}}, '
+              || 'TotalIncome={{:.2f}}', pu_location_id,
+              strftime(window_start, '%Y-%m-%d %H:%M:%S'),
+              strftime(window_end, '%Y-%m-%d %H:%M:%S'), trip_count, total_income) AS value, TRUE AS fits
+FROM closed""",
+    "q_stream_observed": f"""{_LINES}
+SELECT CAST(3 AS BIGINT) AS batches, (SELECT count(*) FROM lines) AS lines,
+       (SELECT count(*) FROM lines) - count(*) AS bad_lines, max(pickup_ts) AS latest_pickup,
+       round(CAST(sum(CAST(total_amount AS DECIMAL(18,2))) AS DOUBLE), 2) AS total_amount
+FROM trips""",
     "q_stream_divert": f"""{_LINES}
 SELECT pu_location_id, pickup_ts, dropoff_ts, total_amount,
        CAST(NULL AS VARCHAR) AS value, CAST(NULL AS VARCHAR) AS bad_reason FROM trips
@@ -311,6 +329,7 @@ SELECT seq, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS record_timestamp,
        coalesce(status, 'N/A (API Failed)') AS job_status
 FROM samples""",
     "q_run_log": f"{_LOG} SELECT * EXCLUDE (seq) FROM log UNION ALL SELECT * EXCLUDE (seq) FROM log",
+    "q_compacted_log": f"{_LOG} SELECT * EXCLUDE (seq) FROM log",
     "q_metric_pick": """
 WITH hits AS (
   SELECT event_id // 8 AS poll_id,

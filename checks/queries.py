@@ -12,15 +12,18 @@ from meterline.functions.numbers import lenient_double, lenient_int
 from meterline.functions.times import column_time, raw_field_time, strict_time
 from meterline.operators import analysis, faults, hourly, parse, prep, replay, runlog
 from meterline.plans.report import interval_report
+from meterline.operators.ordered import global_rank
 from meterline.operators.window_fold import INCOME_FOLD, fold_windows
 from meterline.operators.window_rows import medians, visit_median, window_rows
 from meterline.session import scratch_dir, prepare
 from meterline.sources import lines as line_sources
 from meterline.sources import sinks
+from meterline.sources.compaction import compact
 from meterline.streaming.checkpoint_tables import batches, judged_rows, open_windows
 from meterline.streaming.divert_stream import diverted, run_divert
 from meterline.streaming.fold_stream import stream_fold
-from meterline.streaming.hourly_stream import drained, paced, run_hourly_lines, run_hourly_table
+from meterline.streaming.hourly_stream import drained, paced, run_hourly_lines, run_hourly_table, run_rolled_lines
+from meterline.streaming.measured_stream import measured, run_measured
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -129,6 +132,29 @@ def q_sorted_csv(spark, sf_dir):
     )
 
 
+@query
+def q_sorted_lines(spark, sf_dir):
+    """Whole lines of the sorted file with their places, the header first."""
+    path = scratch_dir(spark, "sorted")
+    prep.sorted_lines(_keyed(spark, sf_dir), ",".join(adapters.HEADER), ["event_id"], adapters.BOUND).write.text(path)
+    text = line_sources.numbered_text(spark, path)
+    return global_rank(text, ["file", "block", "pos"], "line_no").select("line_no", "value")
+
+
+@query
+def q_lines_by_place(spark, sf_dir):
+    """Files that begin with a header and hold a line like it further down, which is data."""
+    path = scratch_dir(spark, "placed")
+    header = ",".join(adapters.HEADER)
+    lines = adapters.trip_lines(spark, sf_dir)
+    twin = F.when(F.col("event_id") % 500 == 3, F.lit(header)).otherwise(F.col("value"))
+    lines = lines.select(twin.alias("value"), F.floor(F.col("event_id") / 400).cast("int").alias("file"), "event_id")
+    heads = lines.select("file").distinct().select(F.lit(header).alias("value"), "file", F.lit(-1).cast("bigint").alias("event_id"))
+    both = lines.unionByName(heads).repartition("file").sortWithinPartitions("file", "event_id")
+    both.select("value", "file").write.partitionBy("file").text(path)
+    return line_sources.read_lines(spark, path, by_place=True).select("value")
+
+
 def _timed(spark, sf_dir):
     return replay.timed_lines(adapters.trip_lines(spark, sf_dir))
 
@@ -239,6 +265,33 @@ def q_stream_lines(spark, sf_dir):
     return spark.read.text(out)
 
 
+@query
+def q_stream_rolled(spark, sf_dir):
+    """Result lines in files that end before a number of bytes."""
+    out, log = scratch_dir(spark, "stream-out"), scratch_dir(spark, "stream-log")
+    lines = _line_stream(spark, adapters.trip_lines(spark, sf_dir))
+    run_rolled_lines(lines, out, log, interval=None, bad="drop", exact_cents=True, max_bytes=20_000).awaitTermination()
+    return spark.read.text(out).select("value", (F.col("_metadata.file_size") <= 20_000).alias("fits"))
+
+
+@query
+def q_stream_observed(spark, sf_dir):
+    """Figures that a stream gathers of its micro-batches, over all of them."""
+    source, out, log = (scratch_dir(spark, name) for name in ("stream-in", "stream-out", "stream-log"))
+
+    def run():
+        run_measured(spark.readStream.format("text").load(source), out, log, interval=None).awaitTermination()
+
+    _grown([[(part, source)] for part in _slices(adapters.trip_lines(spark, sf_dir))], run)
+    return measured(spark, out).agg(
+        F.count("*").alias("batches"),
+        F.sum("lines").alias("lines"),
+        F.sum("bad_lines").alias("bad_lines"),
+        F.max("latest_pickup").alias("latest_pickup"),
+        F.round(F.sum("total_amount"), 2).alias("total_amount"),
+    )
+
+
 @query
 def q_stream_divert(spark, sf_dir):
     """Trips and bad lines of one streaming job."""
@@ -348,6 +401,18 @@ def q_run_log(spark, sf_dir):
     return sinks.read_metrics(spark, path)
 
 
+@query
+def q_compacted_log(spark, sf_dir):
+    """A log appended to in parts, merged twice with appends between and after."""
+    path = scratch_dir(spark, "metrics-log")
+    log = sinks.render_metrics(adapters.metrics_log(spark, sf_dir))
+    for part in range(5):
+        sinks.append_log(log.where(f"seq % 5 = {part}").drop("seq"), path)
+        if part in (1, 3):
+            compact(spark, path)
+    return sinks.read_metrics(spark, path)
+
+
 @query
 def q_metric_pick(spark, sf_dir):
     return runlog.pick_metrics(adapters.metric_samples(spark, sf_dir))

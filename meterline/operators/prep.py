@@ -90,6 +90,21 @@ def sort_by_dropoff(
     return ordered.drop("pickup", "dropoff", "is_short")
 
 
+def sorted_lines(
+    keyed: DataFrame, header: str, tie_break: Sequence[str], bound: str = DEFAULT_BOUND, line: str = "value"
+) -> DataFrame:
+    """The header, then clean lines in dropoff order, each as it is.
+
+    The header is the first row of the order, so files written from this and read by
+    name make one whole file: one header at its beginning, nothing quoted or escaped.
+    """
+    names = ["dropoff", *tie_break]
+    first = keyed.sparkSession.createDataFrame([(header,)], f"{line} string").withColumn("_is_line", F.lit(0))
+    rows = clean(keyed, bound).withColumn("_is_line", F.lit(1)).select("_is_line", line, *names)
+    both = rows.unionByName(first, allowMissingColumns=True)
+    return both.orderBy("_is_line", *[F.col(name).asc_nulls_first() for name in names]).select(line)
+
+
 def rank_by_dropoff(
     keyed: DataFrame, tie_break: Sequence[str], bound: str = DEFAULT_BOUND
 ) -> DataFrame:

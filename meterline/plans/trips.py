@@ -18,9 +18,8 @@ def prepare_file(
     header = sources.csv_header(spark, path)
     line = ",".join(header)
     lines = sources.read_lines(spark, path, header=line, numbered=True)
-    ordered = prep.sort_by_dropoff(prep.keyed_lines(lines, header), _FILE_ORDER, bound)
     target = out or sinks.sorted_name(path)
-    sinks.write_raw_csv(ordered, target, line)
+    prep.sorted_lines(prep.keyed_lines(lines, header), line, _FILE_ORDER, bound).write.text(target)
     return target
 
 
@@ -28,7 +27,7 @@ def stage_file(
     spark: SparkSession, path: str, out: str, rate_s: int = replay.DEFAULT_RATE_S, form: str = "parquet"
 ) -> None:
     """Stage the lines of a trip file for replay, one folder per step."""
-    lines = sources.read_lines(spark, path, numbered=True)
+    lines = sources.read_lines(spark, path, numbered=True, by_place=True)
     replay.stage_ticks(replay.timed_lines(lines), out, _FILE_ORDER, rate_s, form=form)
 
 

@@ -5,6 +5,10 @@ All of them but the CSV scan give one column, ``value STRING``.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,23 +18,28 @@ from meterline.schema import PICKUP_INDEX
 
 
 def read_lines(
-    spark: SparkSession, path: str | list[str], header: str | None = None, numbered: bool = False
+    spark: SparkSession, path: str | list[str], header: str | None = None, numbered: bool = False, by_place: bool = False
 ) -> DataFrame:
     """Trimmed, non-empty lines of text files without their header lines.
 
     With ``numbered``, ``file``, ``block`` and ``pos`` give every line a place in
     file order that no later shuffle changes: a split is read by one task from
-    its start to its end, so ``pos`` grows along it.
+    its start to its end, so ``pos`` grows along it. With ``by_place`` only the first line
+    of a file can be its header; a line like one further down is data.
     """
-    text = spark.read.text(path)
-    if numbered:
-        text = text.select(
-            "value",
-            F.col("_metadata.file_path").alias("file"),
-            F.col("_metadata.file_block_start").alias("block"),
-            F.monotonically_increasing_id().alias("pos"),
-        )
-    return data_lines(text, header)
+    text = numbered_text(spark, path, by_place) if numbered else spark.read.text(path)
+    return data_lines(text.select("*", "_metadata") if by_place and not numbered else text, header, by_place)
+
+
+def numbered_text(spark: SparkSession, path: str | list[str], metadata: bool = False) -> DataFrame:
+    """Lines of text files as they are, with ``file``, ``block`` and ``pos``."""
+    return spark.read.text(path).select(
+        "value",
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("pos"),
+        *(["_metadata"] if metadata else []),
+    )
 
 
 def stream_lines(
@@ -39,6 +48,7 @@ def stream_lines(
     header: str | None = None,
     max_files: int | None = None,
     max_bytes: str | None = None,
+    by_place: bool = False,
 ) -> DataFrame:
     """The same lines as a stream of files that keep arriving in a folder."""
     reader = spark.readStream.format("text")
@@ -46,15 +56,48 @@ def stream_lines(
         reader = reader.option("maxFilesPerTrigger", max_files)
     if max_bytes is not None:
         reader = reader.option("maxBytesPerTrigger", max_bytes)
-    return data_lines(reader.load(path), header)
+    return data_lines(reader.load(path).select("value", "_metadata") if by_place else reader.load(path), header, by_place)
 
 
-def data_lines(lines: DataFrame, header: str | None = None) -> DataFrame:
-    """Trim lines, then drop empty ones and headers."""
+def data_lines(lines: DataFrame, header: str | None = None, by_place: bool = False) -> DataFrame:
+    """Trim lines, then drop empty ones and headers.
+
+    ``by_place`` needs lines as a text source gives them, with its ``_metadata``.
+    """
+    if by_place:
+        return _without_first(lines, header).where("value <> ''")
     trimmed = lines.withColumn("value", trim_control(F.col("value")))
     return trimmed.where((F.col("value") != "") & ~is_header(F.col("value"), header))
 
 
+def _without_first(lines: DataFrame, header: str | None) -> DataFrame:
+    """Trimmed lines without those that are a file's first line and look like a header.
+
+    A task reads the lines of a split one after the other, so a line is the first of its
+    file where the split begins at byte 0 and the line before it is of another split.
+    Whether it looks like a header is worked out in built-in expressions.
+    """
+    names = [name for name in lines.columns if name not in ("value", "_metadata")]
+    split = (F.xxhash64("_metadata.file_path"), F.col("_metadata.file_block_start"))
+    trimmed = trim_control(F.col("value"))
+    marked = lines.select(split[0].alias("_file"), split[1].alias("_block"), is_header(trimmed, header).alias("_like"), trimmed.alias("value"), *names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            file, block = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            first = np.r_[(file[0], block[0]) != last, (file[1:] != file[:-1]) | (block[1:] != block[:-1])]
+            last = (file[-1], block[-1])
+            like = batch.column(2).to_numpy(zero_copy_only=False)
+            kept = ~(first & (block == 0) & like.astype(bool))
+            yield batch.select(range(3, batch.num_columns)).filter(pa.array(kept))
+
+    fields = {field.name: field.dataType.simpleString() for field in marked.schema}
+    return marked.mapInArrow(run, ", ".join(f"`{name}` {fields[name]}" for name in ("value", *names)))
+
+
 def is_header(line: Column, header: str | None = None) -> Column:
     """True for the given header line or, if none is given, for one that looks so.
 

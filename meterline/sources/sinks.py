@@ -15,6 +15,7 @@ from meterline.functions.render import (
     or_marker,
 )
 from meterline.schema import METRICS_COLUMNS, RESTART_COLUMNS, STATUS_COLUMNS
+from meterline.sources.compaction import live_files
 
 
 def line_sink(
@@ -115,6 +116,26 @@ def render_restarts(restarts: DataFrame) -> DataFrame:
     )
 
 
+def write_rolled(lines: DataFrame, path: str, max_bytes: int) -> None:
+    """Write a ``value`` column as text files of at most ``max_bytes`` in place of what is there.
+
+    Lines are dealt evenly over as many files as their bytes ask for, and a file ends
+    before the longest line could take it over the limit. Only a line that is longer
+    itself makes a longer file, alone. No line, no file.
+    """
+    rows = lines.select("value").persist()
+    try:
+        size = F.octet_length("value") + 1
+        total, longest = rows.agg(F.coalesce(F.sum(size), F.lit(0)), F.coalesce(F.max(size), F.lit(1))).first()
+        files = max(1, -(-total // max_bytes))
+        if not total:
+            return
+        dealt = rows.repartition(files) if files > 1 else rows.coalesce(1)
+        dealt.write.mode("overwrite").option("maxRecordsPerFile", max(1, max_bytes // longest)).text(path)
+    finally:
+        rows.unpersist()
+
+
 def append_log(rows: DataFrame, path: str) -> None:
     """Append rendered rows to a run log; each written file carries the header."""
     rows.write.mode("append").option("header", True).csv(path)
@@ -145,13 +166,14 @@ def read_restarts(spark, path: str, extra: str = "") -> DataFrame:
 
 
 def _read_log(spark, path: str, schema: str, extra: str, missing: str) -> DataFrame:
+    files = live_files(spark, path)
     return (
         spark.read.schema(f"{schema}, {extra}" if extra else schema)
         .option("header", True)
         .option("enforceSchema", False)
         .option("nullValue", missing)
         .option("timestampFormat", "yyyy-MM-dd HH:mm:ss.SSSSSS")
-        .csv(path)
+        .csv(files or path)
     )
 
 

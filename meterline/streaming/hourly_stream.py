@@ -10,11 +10,12 @@ from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 from meterline.operators.hourly import DEFAULT_WIDTH, hourly_income, hourly_lines
 from meterline.operators.parse import counted_trips
 from meterline.session import use_rocksdb, prepare
-from meterline.sources.sinks import line_sink
+from meterline.sources.sinks import line_sink, write_rolled
 
 # Fixed values.
 DEFAULT_DELAY = "1 minute"
 DEFAULT_INTERVAL = "30 seconds"
+DEFAULT_ROLL_BYTES = 128 << 20
 
 
 def stream_income(
@@ -95,6 +96,29 @@ def run_hourly_lines(
     return paced(line_sink(out, path, checkpoint, hourly_folders, files, max_rows), interval).start()
 
 
+def run_rolled_lines(
+    lines: DataFrame,
+    path: str,
+    checkpoint: str,
+    interval: str | None = DEFAULT_INTERVAL,
+    max_bytes: int = DEFAULT_ROLL_BYTES,
+    **options,
+) -> StreamingQuery:
+    """Result lines in files that are rolled by bytes and, with the interval, by time.
+
+    Each micro-batch has a folder of its own under ``path``, so no file is longer open
+    than an interval. A batch cut short is written again in place, so each line is there
+    exactly once.
+    """
+    _ready(lines)
+
+    def write(batch: DataFrame, number: int) -> None:
+        write_rolled(batch, f"{path}/batch={number}", max_bytes)
+
+    writer = hourly_lines(stream_income(lines, **options)).writeStream.foreachBatch(write)
+    return paced(writer.option("checkpointLocation", checkpoint), interval).start()
+
+
 def run_hourly_table(
     lines: DataFrame | Sequence[DataFrame],
     path: str,
