@@ -125,14 +125,16 @@ def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
 def fitted(docs: DataFrame, labels: DataFrame, *, positives: int = 4000, unlabelled: int = 8000) -> PUModel | None:
     """A model from at most so many trusted positives and unlabelled documents of ``docs``.
 
-    Both are chosen by a hash of the id; only their feature rows reach the driver. With
-    fewer than 8 of either there is no model.
+    Both are chosen by a hash of the id; only their feature rows reach the driver. The
+    unlabelled side is drawn from all documents that are not held out, whether labelled or
+    not, as the risk takes it for a sample of the whole. With fewer than 8 of either there
+    is no model.
     """
     docs = plain(docs)
     known = labels.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     free = docs.where("doc_id is not null").where(~is_held_out()).select("doc_id")
     good = sampled(known.where("quality = 1").where(~is_held_out()).select("doc_id"), positives)
-    rest = sampled(free.join(known.select("doc_id"), "doc_id", "left_anti"), unlabelled)
+    rest = sampled(free, unlabelled)
     picks = good.withColumn("kind", F.lit(1)).unionByName(rest.withColumn("kind", F.lit(0)))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,7 +165,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.7
     """(doc_id, held_out, score, predicted) for every row of ``docs``; higher is better.
 
     Trusted positives are documents labelled quality 1, the rest of the evidence is
-    unlabelled text; labels of 0 are not used. Rows that are held out (crc32 of the id,
+    text whose labels are not read; labels of 0 are not used. Rows that are held out (crc32 of the id,
     modulo 4, is 2) train nothing. The class prior is estimated from the same samples,
     see ``fitted`` for their bounds.
 

@@ -20,7 +20,8 @@ RULES = (
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 # Sub-domains that serve the same pages, and parameters that only say where a visit came from.
-SAME_SITE = r"^(?:www|m|mobile|amp)\."
+# Such a name in front goes only where a name and a domain are left behind it.
+SAME_SITE = r"^(?:www|m|mobile|amp)\.(?=[^.]+\.[^.])"
 ORIGIN = r"^(?:ref|source|utm_[a-z]+|fbclid|gclid)="
 TARGET = r"[?&](?:url|u|to|target|redirect|redirect_uri|next)=(https?(?::|%3[aA])[^&#]*)"
 CANONICAL = r"(?is)<link\b(?=[^>]*\brel\s*=\s*[\"']?canonical\b)[^>]*?\bhref\s*=\s*[\"']?([^\"'\s>]+)"
