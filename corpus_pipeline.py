@@ -15,36 +15,63 @@ from meterline.llm.scratch import Scratch
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go."""
+    """Documents that the quality classifier rejects go.
+
+    Null and empty texts are scored as empty; repeated rows score alike and null ids like
+    any. Without enough labels for a model all rows stay. Further columns stay as they are.
+    """
     return good_rows(docs, table(spark, sf_dir, "labels"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated lines go; so do documents of which no word is left. ``n_chars`` follows the text."""
-    removed = repeated_lines(docs, Scratch(spark, "lines"), least=1)
-    changed = without_lines(docs.withColumn("_old", F.length("text")), removed)
+    """Repeated lines go; so do documents of which no word is left. ``n_chars`` follows the text.
+
+    Rows of a null id or text keep all lines, and a document that had no word to begin with
+    stays. Rows of one id are one document, so each row loses the same line numbers.
+    """
+    removed = repeated_lines(docs, Scratch(spark, "lines"))
+    changed = without_lines(docs.withColumn(_BEFORE, F.length("text")), removed)
     blank = F.btrim("text", F.lit(" \t\n\u000b\f\r")) == ""
-    kept = changed.where(F.coalesce(~blank | (F.col("_old") == F.length("text")), F.lit(True))).drop("_old")
+    kept = changed.where(F.coalesce(~blank | (F.col(_BEFORE) == F.length("text")), F.lit(True))).drop(_BEFORE)
     if "n_chars" in docs.columns:
         kept = kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return kept.select(*docs.columns)
 
 
+_BEFORE = "_characters_before_line_dedup"
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, 0.8) stays."""
+    """One document of each group of near copies (five-word shingles, 0.8) stays.
+
+    Of rows with equal id and text one stays as well. Wordless documents and rows of a null
+    id are linked with nothing and stay, equal or not; rows of one id with different texts
+    are one document.
+    """
     gone = near_duplicates(docs, Scratch(spark, "near")).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    # Few ids have several rows; only those are shuffled with their texts.
+    several = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    once = left.join(several, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"])
+    return left.join(several, "doc_id", "left_anti").select(*docs.columns).unionByName(once)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents contaminated by benchmark items go."""
+    """Documents contaminated by benchmark items go.
+
+    Null and empty texts hold no item and stay, as do rows of a null id. Of rows with one
+    id all go if one of them is contaminated.
+    """
     found = contamination(docs, table(spark, sf_dir, "benchmark"), Scratch(spark, "bench"))
     gone = found.where("contaminated").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document left, with a check that they decode to its text."""
+    """Token ids of every document left, with a check that they decode to its text.
+
+    Null and empty texts have no ids; there is one row for each row left.
+    """
     return encoded(docs, MODEL)
 
 
