@@ -17,6 +17,8 @@ from meterline.llm.scratch import Scratch
 from meterline.llm.words import SPACED, WordReader, characters, constants, mix, slices
 
 FOUND = "doc_id long, line_no int, id long, bands array<long>"
+#: Lines that a task remembers; a line met again later gives equal bucket rows, which are merged.
+SEEN_LINES = 100_000
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -79,12 +81,14 @@ def _signatures(found: np.ndarray, span: np.ndarray, n: int, hasher: OnePermutat
 def _read(k: int, bands: int, rows: int, least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader, hasher = WordReader(SPACED, fold=False), OnePermutation(bands, rows)
-        seen: set[int] = set()  # a line's bands leave a task once
+        seen: set[int] = set()  # a line's bands leave a task once, or once for so many lines
         for batch in batches:
             for first, _, data, offsets in slices(batch.column(1)):
                 lines = read_lines(data, offsets, reader, least)
                 if not len(lines.id):
                     continue
+                if len(seen) > SEEN_LINES:
+                    seen.clear()
                 fresh = np.zeros(len(lines.id), bool)
                 for i, name in enumerate(lines.id.tolist()):
                     if name not in seen:
@@ -181,7 +185,7 @@ def repeated_lines(
     percent: int = 80,
     bands: int = 12,
     rows: int = 4,
-    least: int = 25,
+    least: int = 1,
 ) -> DataFrame:
     """(doc_id, removed): for each document that repeats lines, the numbers of those to remove.
 
@@ -196,7 +200,7 @@ def repeated_lines(
     With 12 bands of 4 rows a pair at similarity 0.8 shares no bucket with probability
     2e-3, one at 0.9 with 2e-6. A bucket links its members to its smallest line, and
     members of buckets with several components go through the exact join on their
-    rarest shingles. Equal lines are one node; a line enters buckets once per task.
+    rarest shingles. Equal lines are one node; a line enters buckets about once per task.
 
     Null or empty texts have no lines. Rows of a null doc_id keep all lines and are
     compared with none; rows of equal doc_id are one document. Further columns are
@@ -235,10 +239,14 @@ def repeated_lines(
 
 
 def without_lines(docs: DataFrame, removed: DataFrame) -> DataFrame:
-    """``docs`` with the lines numbered in ``removed`` taken out of ``text``."""
-    lines = F.split("text", "\n", -1)
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "removed")
-    joined = F.array_join(F.transform(kept, lambda i: F.get(F.col("_lines"), i)), "\n")
-    out = docs.join(removed, "doc_id", "left").withColumn("_lines", lines)
-    out = out.withColumn("text", F.when(F.col("removed").isNull(), F.col("text")).otherwise(joined))
-    return out.select(*docs.columns)
+    """``docs`` with the lines numbered in ``removed`` (doc_id, removed) taken out of ``text``.
+
+    Other columns stay, whatever their names; rows of a null doc_id or text stay as they are.
+    """
+    rows = docs.select(F.struct("*").alias("row"))
+    gone = removed.select(F.col("doc_id").alias("of"), "removed")
+    out = rows.join(gone, F.col("row.doc_id") == F.col("of"), "left").withColumn("lines", F.split("row.text", "\n", -1))
+    kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "removed")
+    joined = F.array_join(F.transform(kept, lambda i: F.get(F.col("lines"), i)), "\n")
+    text = F.when(F.col("removed").isNull(), F.col("row.text")).otherwise(joined)
+    return out.select(*[text.alias(name) if name == "text" else F.col("row").getField(name).alias(name) for name in docs.columns])

@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from meterline.llm.words import slices
 
 MARK = "▁"
-CACHED_WORDS = 400_000
-TEXT_BYTES = 1 << 21
+#: Words, of this many characters each at most, whose ids a task remembers.
+CACHED_WORDS, CACHED_CHARS = 50_000, 64
+TEXT_BYTES = 1 << 19
 
 
 def load_model(path: str) -> dict:
@@ -153,28 +154,23 @@ class _Words:
 
     def clear(self) -> None:
         self.place: dict[str, int] = {}
-        self.flat, self.size = [], 0
-        self.at = [0]
+        self.flat, self.at = np.empty(0, np.int32), np.zeros(1, np.int64)
 
     def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.place) > CACHED_WORDS:
+        if len(self.place) > CACHED_WORDS or len(self.flat) > 16 * CACHED_WORDS:
             self.clear()
         split = [self.encoder.split(t) for t in texts]
         fresh = sorted({w for words in split for w in words if w not in self.place})
-        parts = []
-        for word, ids in zip(fresh, self.encoder.encode(fresh), strict=True):
-            self.place[word] = len(self.at) - 1
-            parts.extend(ids)
-            self.at.append(self.at[-1] + len(ids))
-        self.flat.append(np.array(parts, np.int32))
-        if len(self.flat) > 1:
-            self.flat = [np.concatenate(self.flat)]
-        place = self.place
-        index = np.array([place[w] for words in split for w in words], np.int64)
-        at = np.array(self.at)
-        size = at[index + 1] - at[index]
+        parts = [np.array(ids, np.int32) for ids in self.encoder.encode(fresh)]
+        known = len(self.at) - 1
+        place = dict(zip(fresh, range(known, known + len(fresh)), strict=True))
+        self.flat = np.concatenate([self.flat, *parts])
+        self.at = np.r_[self.at, self.at[-1] + np.cumsum([len(ids) for ids in parts], dtype=np.int64)]
+        index = np.array([place[w] if w in place else self.place[w] for words in split for w in words], np.int64)
+        self.place.update((word, i) for word, i in place.items() if len(word) <= CACHED_CHARS)
+        size = self.at[index + 1] - self.at[index]
         ends = np.r_[0, np.cumsum(size)]
-        flat = self.flat[0][np.arange(ends[-1]) + np.repeat(at[index] - ends[:-1], size)]
+        flat = self.flat[np.arange(ends[-1]) + np.repeat(self.at[index] - ends[:-1], size)]
         words = np.r_[0, np.cumsum([len(w) for w in split])]
         return flat, ends[words]
 
@@ -183,7 +179,7 @@ def encoded(docs: DataFrame, model_path: str) -> DataFrame:
     """(doc_id, ids, n_tokens, round_trip) for every row of ``docs`` (doc_id, text).
 
     Text is marked as the model file says (spaces become marks, one in front) and cut
-    into marked words, which no piece reaches over. The distinct words of some 2 MB of
+    into marked words, which no piece reaches over. The distinct words of some 512 KB of
     text at a time are sorted and walked as a trie, see ``Encoder.encode``. Scores add
     up as log-probabilities, so a BPE model's file is used as a unigram model with the
     same pieces and scores. Of equal paths the one whose last piece is longest wins.
