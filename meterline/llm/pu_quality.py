@@ -126,15 +126,15 @@ def fitted(docs: DataFrame, labels: DataFrame, *, positives: int = 4000, unlabel
     """A model from at most so many trusted positives and unlabelled documents of ``docs``.
 
     Both are chosen by a hash of the id; only their feature rows reach the driver. The
-    unlabelled side is drawn from all documents that are not held out, whether labelled or
-    not, as the risk takes it for a sample of the whole. With fewer than 8 of either there
-    is no model.
+    unlabelled side is drawn from all documents that are neither held out nor one of those
+    positives; labels that say otherwise are not read. With fewer than 8 of either there is
+    no model.
     """
     docs = plain(docs)
     known = labels.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     free = docs.where("doc_id is not null").where(~is_held_out()).select("doc_id")
     good = sampled(known.where("quality = 1").where(~is_held_out()).select("doc_id"), positives)
-    rest = sampled(free, unlabelled)
+    rest = sampled(free.join(good, "doc_id", "left_anti"), unlabelled)
     picks = good.withColumn("kind", F.lit(1)).unionByName(rest.withColumn("kind", F.lit(0)))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
