@@ -185,7 +185,7 @@ def repeated_lines(
     percent: int = 80,
     bands: int = 12,
     rows: int = 4,
-    least: int = 1,
+    least: int = 25,
 ) -> DataFrame:
     """(doc_id, removed): for each document that repeats lines, the numbers of those to remove.
 
