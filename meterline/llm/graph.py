@@ -27,7 +27,7 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """
     kind = edges.schema["a"].dataType
     edges = edges.select(F.col("a").cast(kind), F.col("b").cast(kind)).where("a is not null and b is not null")
-    labels = None
+    labels, given = None, True
     turn = 0
     while True:
         both = edges.select(F.col("a").alias("node"), F.col("b").alias("other"))
@@ -40,18 +40,22 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         else:
             moved = step.select(F.col("node").alias("root"), "to")
             labels = labels.join(moved, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
-        labels = scratch.table(labels)
+        before, labels = labels, scratch.table(labels)
         turn += 1
         left = step.select(F.col("node").alias("a"), F.col("to").alias("x"))
         right = step.select(F.col("node").alias("b"), F.col("to").alias("y"))
-        edges = scratch.table(
+        spent, edges = edges, scratch.table(
             edges.join(left, "a").join(right, "b").where("x <> y")
             .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         )
+        scratch.drop(step, before, None if given else spent)
+        given = False
         if edges.isEmpty():
             break
     least = labels.groupBy("root").agg(F.min("node").alias("component"))
-    return scratch.table(labels.join(least, "root").select("node", "component"))
+    out = scratch.table(labels.join(least, "root").select("node", "component"))
+    scratch.drop(labels, edges)
+    return out
 
 
 def merged(labels: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
@@ -79,7 +83,9 @@ def shared(rows: DataFrame, scratch: Scratch) -> DataFrame:
     dealt = rows.repartitionByRange(shuffle_width(rows.sparkSession), "key", "id").sortWithinPartitions("key", "id")
     near = scratch.table(dealt.mapInArrow(_neighbours, rows.schema))
     many = near.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
-    return scratch.table(near.join(many.select("key"), "key", "left_semi"))
+    out = scratch.table(near.join(many.select("key"), "key", "left_semi"))
+    scratch.drop(near)
+    return out
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meterline.llm.graph import components, merged, shared
-from meterline.llm.neardup import OnePermutation, _rare_pairs, unsettled
+from meterline.llm.neardup import SETS, OnePermutation, _rare_pairs, set_rows, unsettled
 from meterline.llm.neardup import _verified as verified_sets
 from meterline.llm.scratch import Scratch
 from meterline.llm.words import SPACED, WordReader, characters, constants, mix, slices
@@ -144,11 +144,9 @@ def _sets(k: int):
                 found, span = char_shingles(value, bounds[:-1], bounds[1:], k)
                 cut = np.searchsorted(span, np.arange(end - first + 1))
                 own = [np.unique(found[cut[i] : cut[i + 1]]) for i in range(end - first)]
-                ends = np.r_[0, np.cumsum([len(x) for x in own])].astype(np.int32)
-                flat = pa.array(np.concatenate(own).astype(np.int64))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, end - first), pa.ListArray.from_arrays(pa.array(ends), flat)], ["id", "shingles"]
-                )
+                for i in range(0, len(own), 4096):
+                    some = own[i : i + 4096]
+                    yield set_rows(batch.column(0).slice(first + i, len(some)), some)
 
     return run
 
@@ -210,27 +208,34 @@ def repeated_lines(
     found = scratch.table(docs.mapInArrow(_read(k, bands, rows, least), FOUND))
     flat = found.where("bands is not null").select(F.explode("bands").alias("key"), "id")
     buckets = shared(flat, scratch)
+    places = scratch.table(found.select("doc_id", "line_no", "id"))
+    scratch.drop(found)
     hubs = buckets.groupBy("key").agg(F.min("id").alias("a"))
     pairs = scratch.table(buckets.join(hubs, "key").where("id <> a").select("a", F.col("id").alias("b")).distinct())
 
     wanted = scratch.table(buckets.select("id").distinct())
-    first = found.select("id", "doc_id").join(wanted, "id").groupBy("id").agg(F.min("doc_id").alias("doc_id"))
+    first = places.select("id", "doc_id").join(wanted, "id").groupBy("id").agg(F.min("doc_id").alias("doc_id"))
     per_doc = first.groupBy("doc_id").agg(F.collect_list("id").alias("ids"))
     picked = docs.join(per_doc, "doc_id").select("doc_id", "text", "ids").mapInArrow(_pick(least), "id long, line binary")
     texts = scratch.table(picked.dropDuplicates(["id"]))
     both = pairs.join(texts.select(F.col("id").alias("b"), F.col("line").alias("y")), "b")
     both = both.join(texts.select(F.col("id").alias("a"), F.col("line").alias("x")), "a").select("a", "b", "x", "y")
     links = scratch.table(both.mapInArrow(_close(k, percent), "a long, b long"))
+    scratch.drop(pairs, wanted)
     labels = components(links, scratch)
 
     open_ids = unsettled(buckets, labels, scratch)
+    scratch.drop(buckets)
     if not open_ids.isEmpty():
-        sets = scratch.table(texts.join(open_ids.select("id"), "id", "left_semi").mapInArrow(_sets(k), "id long, shingles array<long>"))
-        rest = scratch.table(verified_sets(sets, _rare_pairs(sets.join(open_ids, "id"), percent, scratch), percent))
+        sets = scratch.table(texts.join(open_ids.select("id"), "id", "left_semi").mapInArrow(_sets(k), SETS))
+        scratch.drop(texts)
+        pairs = scratch.table(_rare_pairs(sets.join(open_ids, "id"), percent, scratch))
+        rest = scratch.table(verified_sets(sets, pairs, percent))
+        scratch.drop(sets, pairs)
         if not rest.isEmpty():
             labels = merged(labels, rest, scratch)
 
-    lines = found.select("doc_id", "line_no", "id").join(labels.withColumnRenamed("node", "id"), "id", "left")
+    lines = places.join(labels.withColumnRenamed("node", "id"), "id", "left")
     lines = lines.select("doc_id", "line_no", F.coalesce("component", "id").alias("c"))
     stays = lines.groupBy("c").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.max(F.struct("doc_id", "line_no")).alias("last"))
     stays = stays.where("first <> last").select("c", "first")

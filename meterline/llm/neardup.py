@@ -15,6 +15,8 @@ from meterline.llm.scratch import Scratch
 from meterline.llm.words import SPACED, WordReader, constants, mix, runs, slices
 
 SIGNED = "doc_id long, set_key binary, n long, bands array<long>"
+SETS = "id long, shingles array<long>, marks array<long>"
+MARKS = 8  # words of 64 bits
 
 
 class OnePermutation:
@@ -111,23 +113,37 @@ def _sets(k: int):
                 ids.append(name)
                 held.append(found)
                 size += len(found)
-                if size > 1 << 19:
-                    yield _lists(ids, held)
+                if size > 1 << 19 or len(ids) >= 4096:
+                    yield set_rows(pa.array(ids, pa.int64()), held)
                     held, ids, size = [], [], 0
             if ids:
-                yield _lists(ids, held)
+                yield set_rows(pa.array(ids, pa.int64()), held)
 
     return run
 
 
-def _lists(ids: list, held: list[np.ndarray]) -> pa.RecordBatch:
+def set_rows(ids: pa.Array, held: list[np.ndarray]) -> pa.RecordBatch:
+    """Rows of ``SETS``: each set's distinct hashes, and its marks."""
     ends = np.r_[0, np.cumsum([len(x) for x in held])].astype(np.int32)
-    values = pa.array(np.concatenate(held).astype(np.int64))
+    flat = np.concatenate(held)
+    marks = pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1, dtype=np.int32) * MARKS), pa.array(marked(flat, ends).reshape(-1)))
     return pa.RecordBatch.from_arrays(
-        [pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), values)], ["id", "shingles"]
+        [ids, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.astype(np.int64))), marks], ["id", "shingles", "marks"]
     )
 
 
+def marked(flat: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """For each set ``MARKS`` words, whose bits tell if an odd number of its hashes falls there.
+
+    Shared hashes turn the same bits of both sets, so two sets differ in no more bits
+    than there are hashes in only one of them.
+    """
+    own = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
+    size = MARKS * 64
+    bits = np.bincount(own * size + (flat % np.uint64(size)).astype(np.int64), minlength=(len(ends) - 1) * size) & 1
+    return np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64).reshape(-1, MARKS)
+
+
 def near_duplicates(
     docs: DataFrame, scratch: Scratch, *, k: int = 5, percent: int = 80, bands: int = 50, rows: int = 7
 ) -> DataFrame:
@@ -158,7 +174,7 @@ def near_duplicates(
 
     members = scratch.table(buckets.groupBy("id").agg(F.max("n").alias("n")))
     texts = docs.join(members.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
-    sets = scratch.table(texts.mapInArrow(_sets(k), "id long, shingles array<long>"))
+    sets = scratch.table(texts.mapInArrow(_sets(k), SETS))
     hubs = buckets.groupBy("key").agg(F.min(F.struct("id", "n")).alias("hub"))
     pairs = (
         buckets.join(hubs, "key").where("id <> hub.id")
@@ -173,8 +189,10 @@ def near_duplicates(
 
     labels = components(links, scratch)
     open_ids = unsettled(buckets, labels, scratch)
+    scratch.drop(buckets, members)
     if not open_ids.isEmpty():
         rest = scratch.table(_verified(sets, _rare_pairs(sets.join(open_ids, "id"), percent, scratch), percent))
+        scratch.drop(sets)
         if not rest.isEmpty():
             labels = merged(labels, rest, scratch)
     place = same.join(labels.withColumnRenamed("node", "id"), "id", "left").select(
@@ -207,21 +225,24 @@ def unsettled(buckets: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFr
 def _rare_pairs(sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """Pairs (a, b) of different components ``c`` that may be linked; no link is missed.
 
-    In any order of shingles, two linked sets share one among the first
-    n - ceil(n * percent / 100) + 1 of each, and what follows the first shared one
-    leaves room for the overlap they need. The order is by rarity, so the prefix of a
-    set that is linked with nothing is made of its own edits and meets no other.
-    Shingles of the very same sets, such as those across one rare word, stand together
-    in that order, and the first shared shingle heads its run; so only the head of each
-    run is joined. Runs are told by a hash, and a clash of hashes only adds candidates.
-    Where a shingle joins several components, members of the largest are compared with
-    members of the others, and the others with each other, but no component with itself.
+    ``sets`` holds (id, shingles, marks, c). In any order of shingles, two linked sets
+    share one among the first n - ceil(n * percent / 100) + 1 of each, and what follows
+    the first shared one leaves room for the overlap they need. The order is by rarity,
+    so the prefix of a set that is linked with nothing is made of its own edits and
+    meets no other. Shingles of the very same sets, such as those across one rare word,
+    stand together in that order, and the first shared shingle heads its run; so only
+    the head of each run is joined. Runs are told by a hash, and a clash of hashes only
+    adds candidates. Where a shingle joins several components, members of the largest
+    are compared with members of the others, and the others with each other, but no
+    component with itself. Near misses fall in the join itself: bits in which the
+    ``marks`` of two sets differ are a lower bound of the shingles that one of them
+    lacks (``marked``), so hardly a pair but the links is made.
     """
-    flat = sets.select("id", "c", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
+    flat = sets.select("id", F.explode("shingles").alias("s"))
     times = flat.groupBy("s").agg(F.count("*").alias("times"), F.bit_xor(F.xxhash64("id")).alias("holders")).where("times > 1")
+    some = flat.join(times, "s").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("times", "holders"))).alias("some"))
     ranked = (
-        flat.join(times, "s").groupBy("id", "c", "n")
-        .agg(F.sort_array(F.collect_list(F.struct("times", "holders"))).alias("some"))
+        sets.select("id", "c", "marks", F.size("shingles").alias("n")).join(some, "id")
         .withColumn("own", F.expr("n - size(some)"))
         .withColumn("take", F.expr(f"n - (n * {percent} + 99) div 100 + 1 - own"))
         .where("take > 0")
@@ -229,14 +250,19 @@ def _rare_pairs(sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     )
     placed = F.transform("some", lambda p, i: F.struct(i.alias("i"), p["holders"].alias("s")))
     heads = F.filter(placed, lambda p: (p["i"] == 0) | (F.get("some", p["i"] - 1)["holders"] != p["s"]))
-    prefix = scratch.table(ranked.select("id", "c", "n", "own", F.explode(heads).alias("p")).select("id", "c", "n", F.expr("n - own - p.i").alias("room"), "p.s"))
+    prefix = scratch.table(
+        ranked.select("id", "c", "n", "own", "marks", F.explode(heads).alias("p"))
+        .select("id", "c", "n", "marks", F.expr("n - own - p.i").alias("room"), "p.s")
+    )
     share = prefix.groupBy("s", "c").agg(F.count("*").alias("m"))
     most = share.groupBy("s").agg(F.max(F.struct("m", "c")).alias("most"), F.count("*").alias("kinds")).where("kinds > 1")
     mixed = prefix.join(most.select("s", F.col("most.c").alias("main")), "s")
-    others = mixed.where("c <> main").select("s", "main", *(F.col(x).alias(f"{x}_a") for x in ("id", "c", "n", "room")))
+    others = mixed.where("c <> main").select("s", "main", *(F.col(x).alias(f"{x}_a") for x in ("id", "c", "n", "room", "marks")))
+    differing = " + ".join(f"bit_count(marks[{i}] ^ marks_a[{i}])" for i in range(MARKS))
     return (
         others.join(mixed.drop("main"), "s").where("c <> c_a and (c = main or id < id_a)")
         .where(f"{100 + percent} * least(room, room_a) >= {percent} * (n + n_a)")
+        .where(f"{100 + percent} * (n + n_a - ({differing})) >= {2 * percent} * (n + n_a)")
         .select(F.least("id_a", "id").alias("a"), F.greatest("id_a", "id").alias("b")).distinct()
     )
 

@@ -14,16 +14,19 @@ class Scratch:
         self.spark = spark
         self.folder = scratch_dir(spark, label)
         self.made = 0
+        self.paths: dict[int, tuple[str, DataFrame]] = {}
 
     def table(self, df: DataFrame) -> DataFrame:
         """Write ``df`` once and read it back; what is built on it starts from files."""
         path = f"{self.folder}/{self.made}"
         self.made += 1
         df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        written = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(written)] = (path, written)
+        return written
 
-    def drop(self, df: DataFrame) -> None:
-        """Remove the files of a table that nothing later reads."""
-        for path in {name.rpartition("/")[0] for name in df.inputFiles()}:
+    def drop(self, *tables: DataFrame | None) -> None:
+        """Remove the files of tables written here that nothing later reads."""
+        for path in [self.paths.pop(id(df))[0] for df in tables if id(df) in self.paths]:
             place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
             place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
