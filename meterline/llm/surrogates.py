@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from meterline.functions.once import once
 from meterline.llm.scratch import Scratch
 
-MALE = "Mr|Herr|Señor|Sr|Monsieur|M|г-н"
+# Short titles that are also common abbreviations do not stand before words in capitals.
+MALE = r"Mr|Herr|Señor|(?:Sr|M)(?=\.? \p{Lu}['’\p{Ll}])|Monsieur|г-н"
 FEMALE = "Mrs|Ms|Miss|Frau|Señora|Sra|Madame|Mme|г-жа"
+EITHER = "Dr|Prof"
+# Words of a name: Berg, O'Neil, Jean-Luc, McLean; or all in capitals.
+MIXED = r"\p{Lu}(?:['’]\p{Lu})?\p{Ll}+(?:['’-]?\p{Lu}\p{Ll}+|-\p{Ll}+)*"
+UPPER = r"\p{Lu}['’]?\p{Lu}+(?:['’-]\p{Lu}{2,})*"
+GROUP = "[0-9A-Fa-f]{1,4}"
 
 # In order of precedence where two could start at one place.
 KINDS = {
@@ -16,11 +23,12 @@ KINDS = {
     "secret": r"(?i:password|passwd|pwd|secret|token|api[_-]?key)\s?[=:]\s?\"?(?=[_\-./+]*[A-Za-z0-9])[A-Za-z0-9_\-./+]{6,}\"?",
     "aws": r"\bAKIA[0-9A-Z]{16}\b",
     "ip": r"\b(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)\b",
+    "ip6": rf"\b(?=[0-9A-Fa-f:]*[0-9])(?:(?:{GROUP}:){{7}}{GROUP}|(?:{GROUP}:){{1,6}}(?::{GROUP}){{1,6}})\b(?!:)",
     "phone": r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}\b|\(\d{3}\) ?\d{3}-\d{4}\b|\b\d{3}-\d{3}-\d{4}\b",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
     "ssn": r"\b\d{3}-\d{2}-\d{4}\b",
     "card": r"\b\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}\b",
-    "name": rf"\b(?:{MALE}|{FEMALE})\.? \p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+)?",
+    "name": rf"\b(?:{MALE}|{FEMALE}|{EITHER})\.? (?:{MIXED}(?: {MIXED})?|{UPPER}(?: {UPPER})?)",
 }
 ANY = "|".join(f"(?:{pattern})" for pattern in KINDS.values())
 
@@ -28,8 +36,10 @@ ANY = "|".join(f"(?:{pattern})" for pattern in KINDS.values())
 GIVEN = {
     ("latin", "m"): "Adrian Bruno Carl Daniel Emil Felix Hugo Ivan Jonas Karim Leon Martin Nils Oscar Paul Robin",
     ("latin", "f"): "Alma Bianca Clara Diana Elena Fanny Greta Helena Irene Julia Karin Lina Maria Nora Olivia Paula",
+    ("latin", "x"): "Alex Chris Dana Eli Jamie Kim Lee Luca Noel Pat Quinn Robin Sam Sasha Taylor Toni",
     ("cyrillic", "m"): "Антон Борис Виктор Глеб Денис Егор Иван Кирилл Лев Максим Никита Олег Павел Роман Семён Фёдор",
     ("cyrillic", "f"): "Алина Вера Галина Дарья Елена Жанна Инна Кира Лидия Мария Нина Ольга Полина Раиса Софья Юлия",
+    ("cyrillic", "x"): "Валя Женя Саша Слава Шура",
 }
 SYLLABLES = {
     "latin": "ba ce di fo gu ha jo ka le mi no pa ra so tu va".split(),
@@ -86,19 +96,48 @@ def _luhn(number: Column) -> Column:
     return F.concat(F.substr(number, F.lit(1), F.length(number) - 1), check.cast("string"))
 
 
-def parts_of(kind: Column, entity: Column) -> Column:
+HEAD = r"^([A-Za-z_-]+\s?[=:]\s?\"?)"  # what leads a secret
+
+
+def family_of(name: Column) -> Column:
+    return F.element_at(F.split(name, " "), -1)
+
+
+def gender_of(name: Column) -> Column:
+    """What the title of a name says: f, m, or null for titles of either."""
+    title = F.substring_index(name, " ", 1)
+    return F.when(title.rlike(f"^(?:{FEMALE})\\.?$"), "f").when(~title.rlike(f"^(?:{EITHER})\\.?$"), "m")
+
+
+def secret_value(entity: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(entity, HEAD, ""), '"$', "")
+
+
+def whole_address(entity: Column) -> Column:
+    """The eight groups of an IPv6 address, lower-case, without leading zeros."""
+    groups = lambda text: F.transform(F.filter(F.split(F.lower(text), ":"), lambda g: g != ""), lambda g: F.regexp_replace(g, "^0+(?=.)", ""))
+    low, high = groups(F.substring_index(entity, "::", 1)), groups(F.substring_index(entity, "::", -1))
+    short = F.concat(low, F.array_repeat(F.lit("0"), F.lit(8) - F.size(low) - F.size(high)), high)
+    return F.array_join(F.when(entity.contains("::"), short).otherwise(low), ":")
+
+
+def parts_of(kind: Column, entity: Column, gender: Column) -> Column:
     """What an entity is told by: an array of (kind, within, norm).
 
-    Numbers go without their format. A name is its family name, and a given name within
-    family and gender, so the title's spelling says nothing; all else is told by its text.
+    Numbers go without their format, mail addresses by their domain in lower case, secrets by
+    their value, IPv6 addresses by all groups. A name is its family name, and a given name
+    within family and gender, in lower case, so the title's spelling says nothing.
     """
     part = lambda kind, within, norm: F.struct(kind.alias("kind"), within.alias("within"), norm.alias("norm"))
-    words = F.split(entity, " ")
+    words = F.split(F.lower(entity), " ")
     family = F.element_at(words, -1)
-    gender = F.when(F.get(words, 0).rlike(f"^(?:{FEMALE})\\.?$"), "f").otherwise("m")
     names = F.array(part(F.lit("family"), F.lit(""), family))
     both = F.concat(names, F.array(part(F.lit("given"), F.concat_ws(" ", gender, family), F.get(words, 1))))
-    norm = F.when(kind.isin(*NUMBERS), F.regexp_replace(entity, SIGN.replace("[", "[^"), "")).otherwise(entity)
+    norm = (
+        F.when(kind.isin(*NUMBERS), F.regexp_replace(entity, SIGN.replace("[", "[^"), ""))
+        .when(kind == "email", F.concat(F.substring_index(entity, "@", 1), F.lit("@"), F.lower(F.substring_index(entity, "@", -1))))
+        .when(kind == "secret", secret_value(entity)).when(kind == "ip6", whole_address(entity)).otherwise(entity)
+    )
     return F.when(kind == "name", F.when(F.size(words) == 3, both).otherwise(names)).otherwise(F.array(part(kind, F.lit(""), norm)))
 
 
@@ -117,13 +156,13 @@ def surrogate(kind: Column, within: Column, norm: Column, attempt: Column, key:
         _shaped(F.substring_index(norm, "@", 1), key, seed, no), more("a"), F.lit("@"),
         _shaped(F.regexp_extract(norm, "@([^.]+)", 1), key, F.concat(seed, F.lit("d")), no), F.regexp_extract(norm, r"@[^.]+(\..*)$", 1),
     )
-    head = F.regexp_extract(norm, r"^([A-Za-z_-]+\s?[=:]\s?\"?)", 1)
-    quote = F.regexp_extract(norm, "(\"?)$", 1)
-    body = F.substr(norm, F.length(head) + 1, F.length(norm) - F.length(head) - F.length(quote))
-    is_hex = body.rlike("^[0-9a-f]+$")
-    secret = F.concat(head, _shaped(body, key, seed, is_hex), more("a", is_hex), quote)
+    is_hex = norm.rlike("^[0-9a-f]+$")
+    secret = F.concat(_shaped(norm, key, seed, is_hex), more("a", is_hex))
     aws = F.concat(F.lit("AKIA"), _shaped(F.substr(norm, F.lit(5), F.lit(16)), key, seed, no), more("A"))
     ip = F.concat_ws(".", F.pmod(draw(0), F.lit(223)) + 1, *(F.pmod(draw(i), F.lit(254)) + 1 for i in (1, 2, 3)))
+    # groups of zero stay, so a short form stays one; later attempts fill them from the end
+    group = lambda g, i: F.when((g != "0") | (i >= F.lit(7) - extra), F.lower(F.conv((F.pmod(_drawn(key, seed, i), F.lit(65535)) + 1).cast("string"), 10, 16))).otherwise(g)
+    ip6 = F.array_join(F.transform(F.split(norm, ":"), group), ":")
     code = F.regexp_extract(norm, COUNTRY, 1)
     phone = F.concat(code, _shaped(F.substr(norm, F.length(code) + 1, F.length(norm)), key, seed, no), more("0"))
     iban = F.concat(F.substr(norm, F.lit(1), F.lit(2)), _shaped(F.substr(norm, F.lit(3), F.length(norm)), key, seed, no), more("0"))
@@ -131,12 +170,13 @@ def surrogate(kind: Column, within: Column, norm: Column, attempt: Column, key:
     card = _luhn(F.concat(first, _shaped(F.substr(norm, F.lit(2), F.length(norm)), key, seed, no), more("0")))
     cyrillic = norm.rlike(r"\p{IsCyrillic}")
     word = lambda script, n: F.array_join(F.transform(F.sequence(F.lit(1), n), lambda i: _pick(SYLLABLES[script], _drawn(key, seed, i))), "")
-    family = F.initcap(F.when(cyrillic, word("cyrillic", extra + 4)).otherwise(word("latin", extra + 4)))
-    names = lambda script: F.when(within.startswith("f "), _pick(GIVEN[script, "f"].split(), draw(1))).otherwise(_pick(GIVEN[script, "m"].split(), draw(1)))
+    family = F.when(cyrillic, word("cyrillic", extra + 4)).otherwise(word("latin", extra + 4))
+    drawn = lambda script, gender: F.lower(_pick(GIVEN[script, gender].split(), draw(1)))
+    names = lambda script: F.when(within.startswith("f "), drawn(script, "f")).when(within.startswith("m "), drawn(script, "m")).otherwise(drawn(script, "x"))
     tail = lambda script: F.when(extra > 0, word(script, F.greatest(extra, F.lit(1)))).otherwise("")
     given = F.when(cyrillic, F.concat(names("cyrillic"), tail("cyrillic"))).otherwise(F.concat(names("latin"), tail("latin")))
     out = (
-        F.when(kind == "email", email).when(kind == "secret", secret).when(kind == "aws", aws).when(kind == "ip", ip)
+        F.when(kind == "email", email).when(kind == "secret", secret).when(kind == "aws", aws).when(kind == "ip", ip).when(kind == "ip6", ip6)
         .when(kind == "phone", phone).when(kind == "iban", iban).when(kind == "card", card)
         .when(kind == "family", family).when(kind == "given", given)
     )
@@ -149,8 +189,31 @@ def rendered(kind: Column, entity: Column, main: Column, given: Column) -> Colum
     count = lambda text: F.length(F.regexp_replace(text, SIGN.replace("[", "[^"), ""))
     filled = F.transform(letters, lambda c, i: F.when(c.rlike(SIGN), F.substr(main, count(F.substr(entity, F.lit(1), i + 1)), F.lit(1))).otherwise(c))
     number = F.concat(F.array_join(filled, ""), F.substr(main, count(entity) + 1, F.length(main)))
-    name = F.concat_ws(" ", F.substring_index(entity, " ", 1), given, main)  # null parts are left out
-    return F.when(kind.isin(*NUMBERS), number).when(kind == "name", name).otherwise(main)
+    family = family_of(entity)
+    styled = lambda part: F.when(family == F.upper(family), F.upper(part)).otherwise(F.initcap(part))
+    name = F.concat_ws(" ", F.substring_index(entity, " ", 1), styled(given), styled(main))  # null parts are left out
+    secret = F.concat(F.regexp_extract(entity, HEAD, 1), main, F.regexp_extract(entity, '("?)$', 1))
+    groups = F.split(main, ":")
+    low, high = (F.size(F.split(F.substring_index(entity, "::", n), ":")) for n in (1, -1))
+    hidden = F.slice(groups, low + 1, F.lit(8) - low - high)
+    short = F.concat(F.array_join(F.slice(groups, F.lit(1), low), ":"), F.lit("::"), F.array_join(F.slice(groups, F.lit(9) - high, high), ":"))
+    ip6 = F.when(entity.contains("::") & ~F.exists(hidden, lambda g: g != "0"), short).otherwise(main)
+    ip6 = F.when(entity.rlike("[A-F]"), F.upper(ip6)).otherwise(ip6)
+    return (
+        F.when(kind.isin(*NUMBERS), number).when(kind == "name", name).when(kind == "secret", secret).when(kind == "ip6", ip6).otherwise(main)
+    )
+
+
+def with_untitled(names: Column) -> Column:
+    """The pattern of all entities of a document that has ``names`` behind titles.
+
+    Once a title has shown a name, the name without it, or its family name alone, is an
+    entity too, in any spelling that begins with a capital.
+    """
+    tails = F.array_distinct(F.flatten(F.transform(names, lambda n: F.array(F.lower(F.regexp_replace(n, "^[^ ]+ ", "")), F.lower(family_of(n))))))
+    longest_first = F.transform(F.array_sort(F.transform(tails, lambda t: F.struct(-F.length(t), t.alias("t")))), lambda x: x["t"])
+    untitled = F.concat(F.lit(rf"{ANY}|(?<![\p{{L}}\p{{N}}])(?=\p{{Lu}})(?iu:"), F.array_join(longest_first, "|"), F.lit(r")(?![\p{L}\p{N}])"))
+    return F.when(F.size(names) > 0, untitled).otherwise(F.lit(ANY))
 
 
 def drawn_parts(parts: DataFrame, scratch: Scratch, key: str) -> DataFrame:
@@ -181,7 +244,10 @@ def drawn_parts(parts: DataFrame, scratch: Scratch, key: str) -> DataFrame:
 
 def assigned(entities: DataFrame, scratch: Scratch, key: str) -> DataFrame:
     """(kind, entity, surrogate): mentions of one entity get one surrogate, each in its own format."""
-    known = scratch.table(entities.withColumn("parts", parts_of(F.col("kind"), F.col("entity"))))
+    # a title of either gender takes what another title says of the same name
+    name = F.when(F.col("kind") == "name", F.lower(F.regexp_replace("entity", "^[^ ]+ ", ""))).otherwise(F.col("entity"))
+    gender = F.coalesce(gender_of(F.col("entity")), F.min(gender_of(F.col("entity"))).over(Window.partitionBy("kind", name)), F.lit("x"))
+    known = scratch.table(entities.withColumn("gender", gender).withColumn("parts", parts_of(*map(F.col, ("kind", "entity", "gender")))).drop("gender"))
     done = drawn_parts(known.select(F.explode("parts").alias("p")).select("p.*").distinct(), scratch, key)
     told = done.select(F.struct("kind", "within", "norm").alias("part"), "surrogate")
     rows = known.select("kind", "entity", F.get("parts", 0).alias("main"), F.get("parts", 1).alias("given"))
@@ -194,7 +260,8 @@ def pseudonymised(docs: DataFrame, scratch: Scratch, *, key: str) -> DataFrame:
     """(doc_id, n_entities, text) for every row of ``docs``: entities replaced by surrogates.
 
     Entities are matched by ``KINDS``: addresses, secrets, keys, numbers, and names
-    behind a title, which gives the gender; the script is the name's own. An entity
+    behind a title, which gives the gender; the script is the name's own. A name so found
+    is replaced in the same document without its title too (see ``with_untitled``). An entity
     has one surrogate in all documents, different ones have different ones: numbers are
     told by their signs without the format, names by family and given name (see ``parts_of``).
 
@@ -205,15 +272,29 @@ def pseudonymised(docs: DataFrame, scratch: Scratch, *, key: str) -> DataFrame:
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     copy = F.xxhash64("text").alias("copy")
-    some = docs.select("doc_id", copy, F.regexp_extract_all("text", F.lit(ANY), 0).alias("found")).where("size(found) > 0")
-    flat = scratch.table(some.select("doc_id", "copy", F.posexplode("found").alias("pos", "entity")))
+    titled = lambda found: F.array_sort(F.array_distinct(F.filter(found, lambda e: e.rlike(f"^(?:{KINDS['name']})$"))))
+    first = docs.select("doc_id", copy, "text", once(F.regexp_extract_all("text", F.lit(ANY), 0), "found")).where("size(found) > 0")
+    first = first.select("*", once(titled(F.col("found")), "names"))
+    again = F.when(F.size("names") > 0, F.regexp_extract_all("text", with_untitled(F.col("names")), 0)).otherwise(F.col("found"))
+    shown = first.select("doc_id", "copy", "names", F.posexplode(again).alias("pos", "mention"))
+    # an untitled mention goes by the name whose end it is
+    owner = F.array_min(F.filter("names", lambda n: F.lower(n).endswith(F.concat(F.lit(" "), F.lower("mention")))))
+    owner = F.when(~F.array_contains("names", F.col("mention")), owner)
+    flat = scratch.table(shown.select("doc_id", "copy", "pos", "mention", F.coalesce(owner, F.col("mention")).alias("entity"), owner.isNotNull().alias("bare")))
     names = assigned(flat.select("entity").distinct().select(kind_of(F.col("entity")).alias("kind"), "entity"), scratch, key)
-    told = flat.join(names.select("entity", "surrogate"), "entity")
-    by_doc = told.groupBy("doc_id", "copy").agg(F.sort_array(F.collect_set(F.struct("pos", "surrogate"))).alias("told"))
-    by_doc = by_doc.select(F.col("doc_id").alias("_id"), F.col("copy").alias("_copy"), F.col("told.surrogate").alias("told"))
+    count = F.size(F.split("mention", " "))
+    words = F.split("surrogate", " ")
+    ending = F.initcap(F.array_join(F.slice(words, F.size(words) - count + 1, count), " "))
+    ending = F.when(F.col("mention") == F.upper("mention"), F.upper(ending)).otherwise(ending)
+    told = flat.join(names, "entity").withColumn("surrogate", F.when(F.col("bare"), ending).otherwise(F.col("surrogate")))
+    by_doc = told.groupBy("doc_id", "copy").agg(
+        F.sort_array(F.collect_set(F.struct("pos", "surrogate"))).alias("told"),
+        F.array_sort(F.collect_set(F.when(F.expr("kind = 'name' and not bare"), F.col("entity")))).alias("names"),
+    )
+    by_doc = by_doc.select(F.col("doc_id").alias("_id"), F.col("copy").alias("_copy"), F.col("told.surrogate").alias("told"), "names")
     rows = docs.select("doc_id", "text", copy)
     joined = rows.join(by_doc, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("copy") == F.col("_copy")), "left")
-    parts = F.split("text", ANY, -1)
+    parts = F.split("text", with_untitled(F.col("names")), -1)
     woven = F.zip_with(parts, "told", lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
     return joined.select(
         "doc_id",

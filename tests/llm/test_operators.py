@@ -1,10 +1,12 @@
 """Round trips, held-out accuracy, small fixtures, and the registered queries."""
 
+import ipaddress
 import os
 import re
 
 import numpy as np
 import pytest
+import regex
 
 import __spark_entry__ as entry_module
 import corpus_pipeline
@@ -14,7 +16,7 @@ from meterline.llm.pieces import Encoder, decoded, encoded, load_model
 from meterline.llm.pu_quality import good_rows, quality_scores
 from meterline.llm.queries import MODEL
 from meterline.llm.redirects import page_verdicts
-from meterline.llm.surrogates import ANY, pseudonymised
+from meterline.llm.surrogates import ANY, KINDS, pseudonymised
 from meterline.llm.toxicity import toxicity_scores
 from tests.compare import oracle, oracle_rows, spark_rows
 
@@ -93,6 +95,61 @@ def test_surrogates_of_one_entity_in_several_formats(spark, scratch):
     assert len(set(got[9].text.split(" ; "))) == 8
 
 
+def test_names_without_their_title(spark, scratch):
+    rows = [
+        (1, "Anna Berg ; Mrs Anna Berg ; ANNA BERG ; Berg ; Bergen ; Dr. Anna Berg ; a berg"), (2, "Anna Berg and Berg, untitled"),
+        (3, "Mr Jean-Luc Picard ; Ms O'Neil ; Mrs ANNA BERG ; Picard's ; O'Neil"), (4, "Prof Wu Li ; 5 M USD ; Sr. ENGINEER"), (5, None),
+    ]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'n' as names", "1 as bare")
+    got = {r.doc_id: r for r in pseudonymised(frame, scratch, key="k").collect()}
+    fresh = got[1].text.split(" ; ")
+    given, family = fresh[0].split(" ")
+    assert fresh == [f"{given} {family}", f"Mrs {given} {family}", f"{given} {family}".upper(), family, "Bergen", f"Dr. {given} {family}", "a berg"]
+    assert {given, family} & {"Anna", "Berg"} == set() and got[1].n_entities == 5
+    assert (got[2].text, got[2].n_entities) == (rows[1][1], 0)
+    picard, neil, anna, again, neil_again = got[3].text.split(" ; ")
+    assert not re.search("Luc|Jean|Picard|Neil|Socen.*-", got[3].text) and again == picard.split(" ")[2] + "'s"
+    assert neil == "Ms " + neil_again and anna == "Mrs " + f"{given} {family}".upper()
+    assert got[4].text.endswith(" ; 5 M USD ; Sr. ENGINEER") and got[4].n_entities == 1 and "Li" not in got[4].text.split(" ")
+
+
+def test_secrets_by_value_and_addresses_by_meaning(spark, scratch):
+    rows = [
+        (1, 'password=hunter22 ; pwd: hunter22 ; Password = "hunter22" ; token=hunter23'), (2, "A.B@X1.org ; A.B@x1.org ; a.b@x1.org"),
+        (3, "2001:db8::1 ; 2001:0DB8:0:0:0:0:0:1 ; 2001:db8::2 ; fe80::a:b ; at 10:20:30 ; std::cd ; a::b"),
+    ]
+    got = {r.doc_id: r for r in pseudonymised(spark.createDataFrame(rows, "doc_id long, text string"), scratch, key="k").collect()}
+    a, b, c, d = (re.sub(r'^[A-Za-z]+ ?[=:] ?"?|"$', "", x) for x in got[1].text.split(" ; "))
+    assert a == b == c != d and "hunter" not in got[1].text and got[1].text.startswith("password=") and ' ; Password = "' in got[1].text
+    one, two, three = got[2].text.split(" ; ")
+    assert one == two != three and "X1" not in one
+    v6 = got[3].text.split(" ; ")
+    assert ipaddress.ip_address(v6[0]) == ipaddress.ip_address(v6[1]) != ipaddress.ip_address(v6[2]) and "::" in v6[0] and "::" not in v6[1]
+    assert len({*v6[:4]} | {*rows[2][1].split(" ; ")[:4]}) == 8 and v6[4:] == ["at 10:20:30", "std::cd", "a::b"]
+
+
+def test_surrogates_over_a_whole_table(spark, scratch):
+    """No entity stays, one surrogate for each entity, different ones for different entities."""
+    rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    new = {r.doc_id: r for r in pseudonymised(rows, scratch, key="k").collect()}
+    told = {}
+    for row in rows.collect():
+        found = [m[0] for m in regex.finditer(ANY.replace("IsCyrillic", "Cyrillic"), row.text or "")]
+        if not any(regex.match(KINDS["name"], m) for m in found):
+            assert new[row.doc_id].n_entities == len(found)
+            at, text = 0, new[row.doc_id].text
+            for around, m in zip(regex.split(ANY, row.text or ""), [*found, ""], strict=True):
+                assert text.startswith(around, at)
+                at += len(around)
+                fresh = regex.compile(ANY).match(text, at)
+                if m:
+                    assert fresh and fresh[0] != m
+                    told.setdefault(m, set()).add(fresh[0])
+                    at = fresh.end()
+    assert told and all(len(x) == 1 for x in told.values())
+    assert len({next(iter(x)) for x in told.values()}) == len(told)
+
+
 def test_surrogates_of_a_used_up_space(spark, scratch):
     names = [(1, f"token=_____{c}") for c in "abcdefghijklmnopqrstuvwxyz"] + [(1, f"Mr {a} Berg") for a in ("Aa Bb Cc Dd Ee Ff Gg Hh Ii Jj Kk Ll Mm Nn Oo Pp Qq Rr").split()]
     text = " ; ".join(n for _, n in names)
