@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 
 from meterline.llm.scratch import Scratch
 from meterline.llm.words import ALNUM, WordReader, runs, slices
+from meterline.session import shuffle_width
 
 WINDOWS = "item string, words array<long>, shingles array<long>, k int"
-FOUND = "doc_id long, copy long, n_words long, n_hit long, spans array<struct<s:int,e:int>>, items array<string>"
+FOUND = "doc_id long, copy long, n_words long, n_hit long, spans array<struct<s:int,e:int>>, classes array<long>"
 
 
 def _windows(length: int, k: int):
@@ -22,8 +23,15 @@ def _windows(length: int, k: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = WordReader(ALNUM, fold=True)
+        kinds = [pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int32()]
+
+        def table(rows):
+            return pa.RecordBatch.from_arrays(
+                [pa.array(list(x), t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["item", "words", "shingles", "k"]
+            )
+
+        rows = []
         for batch in batches:
-            rows = []
             names = batch.column(0).to_pylist()
             for first, _, data, offsets in slices(batch.column(1)):
                 words = reader.read(data, offsets)
@@ -37,12 +45,11 @@ def _windows(length: int, k: int):
                     own = own.astype(np.int64)
                     for at in range(len(own) - size + 1):
                         rows.append((names[first + i], own[at : at + size], found[at : at + size - kk + 1], kk))
-            for at in range(0, len(rows), 4096):
-                part = list(zip(*rows[at : at + 4096], strict=True))
-                kinds = [pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int32()]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(list(x), t) for x, t in zip(part, kinds, strict=True)], ["item", "words", "shingles", "k"]
-                )
+                        if len(rows) == 4096:
+                            yield table(rows)
+                            rows = []
+        if rows:
+            yield table(rows)
 
     return run
 
@@ -86,16 +93,15 @@ def _counts(wanted):
 
 
 def _hits(index):
-    """Per document the spans of item windows in it and the items they belong to."""
+    """Per document the spans of item windows in it and the classes of those windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = WordReader(ALNUM, fold=True)
         tables = {k: (_Lookup(t["shingle"]), t) for k, t in index.value["by_k"].items()}
-        names = index.value["items"]
         for batch in batches:
             n_words, n_hit = np.zeros(len(batch), np.int64), np.zeros(len(batch), np.int64)
             spans: list = [[] for _ in range(len(batch))]
-            items: list = [[] for _ in range(len(batch))]
+            classes: list = [[] for _ in range(len(batch))]
             for first, end, data, offsets in slices(batch.column(1)):
                 words = reader.read(data, offsets)
                 n_words[first:end] = np.bincount(words.row, minlength=end - first)
@@ -118,15 +124,15 @@ def _hits(index):
                         stop = min(e, np.searchsorted(words.row, row, "right"))
                         spans[first + row].append({"s": int(s - cut[row]), "e": int(stop - cut[row])})
                         s = stop
-                for row, item in np.unique(np.concatenate(marks), axis=0):
-                    items[first + row].append(names[item])
+                for row, kind in np.unique(np.concatenate(marks), axis=0):
+                    classes[first + row].append(kind)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), pa.array(n_words), pa.array(n_hit)]
                 + [
                     pa.array(spans, pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))),
-                    pa.array([sorted(set(x)) for x in items], pa.list_(pa.string())),
+                    pa.array([sorted(set(x)) for x in classes], pa.list_(pa.int64())),
                 ],
-                ["doc_id", "copy", "n_words", "n_hit", "spans", "items"],
+                ["doc_id", "copy", "n_words", "n_hit", "spans", "classes"],
             )
 
     return run
@@ -136,7 +142,7 @@ def _verified(words, at: np.ndarray, where: np.ndarray, t: dict, edge: np.ndarra
     """Check the windows whose prefix shingle stands at ``at``; mark their words in ``edge``.
 
     The window has to lie inside its document (positional and length bounds), and all
-    its words have to agree. Returns (row, item) of those found.
+    its words have to agree. Returns (row, class) of those found.
     """
     many = t["to"][where] - t["from"][where]
     window = np.repeat(t["from"][where], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
@@ -153,9 +159,7 @@ def _verified(words, at: np.ndarray, where: np.ndarray, t: dict, edge: np.ndarra
         start, window, size = start[ok], window[ok], size[ok]
     np.add.at(edge, start, 1)
     np.add.at(edge, start + size, -1)
-    many = t["item_to"][window] - t["item_from"][window]
-    flat = np.repeat(t["item_from"][window], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-    return np.unique(np.stack([np.repeat(words.row[start], many), t["items"][flat]], axis=1).reshape(-1, 2), axis=0)
+    return np.unique(np.stack([words.row[start], t["class"][window]], axis=1).reshape(-1, 2), axis=0)
 
 
 def contamination(
@@ -181,7 +185,8 @@ def contamination(
     shingles only, bounded by position and length, and verified word by word. Windows
     are sent to the tasks in blocks of at most ``block_windows`` (about 150 bytes
     each), one after another, so a larger benchmark takes more passes and no more
-    memory.
+    memory. Windows of the same items are one class; tasks see classes alone, and item
+    ids are joined once for each set of classes that some document holds.
 
     Null or wordless texts have no words and are not contaminated; items without words
     or without an id are left out; items of equal id count once. Further columns are
@@ -190,24 +195,34 @@ def contamination(
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     docs = docs.withColumn("copy", F.xxhash64("text"))
     items = benchmark.where("item_id is not null").select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text"))
-    windows = scratch.table(items.repartition(8).mapInArrow(_windows(window, shingle), WINDOWS))
+    windows = scratch.table(items.repartition(shuffle_width(items.sparkSession)).mapInArrow(_windows(window, shingle), WINDOWS))
+    # a window's class: its items, told by sums of their hashes, so no list of them is gathered
+    sums = [F.count("*"), F.bit_xor(F.xxhash64("item")), F.bit_xor(F.xxhash64(F.lit(1), "item")), F.sum(F.pmod(F.xxhash64(F.lit(2), "item"), F.lit(1 << 31)))]
     distinct = scratch.table(
-        windows.groupBy("words").agg(F.first("shingles").alias("shingles"), F.first("k").alias("k"), F.sort_array(F.collect_set("item")).alias("items"))
-    )
+        windows.dropDuplicates(["words", "item"]).groupBy("words")
+        .agg(F.first("shingles").alias("shingles"), F.first("k").alias("k"), F.xxhash64(*sums).alias("class"))
+    )
+    least = distinct.groupBy("class").agg(F.min("words").alias("words"))
+    members = windows.select("words", "item").join(least, "words").select("class", "item").distinct()
     blocks = -(-distinct.count() // block_windows) or 1
     parts = []
     for block in range(blocks):
         own = distinct.where(F.pmod(F.xxhash64("words"), F.lit(blocks)) == block)
         parts.append(_block(docs, own, window))
-    found = parts[0] if blocks == 1 else _merged(docs, parts, scratch)
-    names = F.array_sort(F.array_distinct("items"))
-    return found.select(
+    found = scratch.table(parts[0]) if blocks == 1 else scratch.table(_merged(docs, parts, scratch))
+    sets = found.where("size(classes) > 0").select("classes").distinct()
+    flat = sets.select("classes", F.explode("classes").alias("class")).join(members, "class")
+    named = flat.groupBy("classes").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    # most documents hold none; they stay out of the join
+    none = found.where("size(classes) = 0").withColumn("items", F.array().cast("array<string>"))
+    told = found.where("size(classes) > 0").join(named, "classes").unionByName(none)
+    return told.select(
         "doc_id",
         "n_words",
         "n_hit",
-        F.size(names).cast("long").alias("n_items"),
-        names.alias("items"),
-        F.sha2(F.array_join(names, ","), 256).alias("items_sha256"),
+        F.size("items").cast("long").alias("n_items"),
+        "items",
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         "spans",
         F.expr(f"n_hit > 0 and {share} * n_hit >= n_words").alias("contaminated"),
     )
@@ -216,16 +231,15 @@ def contamination(
 def _block(docs: DataFrame, own: DataFrame, window: int) -> DataFrame:
     """The pass over all documents for one block of windows."""
     context = docs.sparkSession.sparkContext
-    flat = own.select("k", F.posexplode("shingles").alias("offset", "shingle"), "words", "items")
+    flat = own.select("k", F.posexplode("shingles").alias("offset", "shingle"), "words", "class")
     wanted = flat.select("k", "shingle").distinct().toPandas()
     members = {int(k): np.sort(x["shingle"].to_numpy().astype(np.uint64)) for k, x in wanted.groupby("k")}
     counted = docs.mapInArrow(_counts(context.broadcast(members)), "shingle long, times long")
     times = counted.groupBy("shingle").agg(F.sum("times").alias("times"))
     rarest = F.min(F.struct(F.coalesce("times", F.lit(0)).alias("times"), "shingle", "offset"))
-    prefix = flat.join(times, "shingle", "left").groupBy("words", "k", "items").agg(rarest.alias("p"))
-    table = prefix.where("p.times > 0").select("k", "words", "items", "p.shingle", "p.offset").toPandas()
-    names, by_k = sorted({x for some in table["items"] for x in some}), {}
-    place = {x: i for i, x in enumerate(names)}
+    prefix = flat.join(times, "shingle", "left").groupBy("words", "k", "class").agg(rarest.alias("p"))
+    table = prefix.where("p.times > 0").select("k", "words", "class", "p.shingle", "p.offset").toPandas()
+    by_k = {}
     for k, t in table.groupby("k"):
         keys = t["shingle"].to_numpy().astype(np.uint64)
         order = np.argsort(keys, kind="stable")
@@ -234,24 +248,23 @@ def _block(docs: DataFrame, own: DataFrame, window: int) -> DataFrame:
         padded = np.zeros((len(t), window), np.uint64)
         for i, some in enumerate(t["words"]):
             padded[i, : len(some)] = np.asarray(some, np.int64).astype(np.uint64)
-        ends = np.cumsum([len(x) for x in t["items"]])
         by_k[int(k)] = {
             "shingle": keys[first], "from": first, "to": np.r_[first[1:], len(t)], "words": padded,
             "offset": t["offset"].to_numpy().astype(np.int64), "size": np.array([len(x) for x in t["words"]]),
-            "items": np.array([place[x] for some in t["items"] for x in some]), "item_to": ends, "item_from": np.r_[0, ends[:-1]],
+            "class": t["class"].to_numpy().astype(np.int64),
         }
-    index = context.broadcast({"by_k": by_k, "items": names})
+    index = context.broadcast({"by_k": by_k})
     return docs.mapInArrow(_hits(index), FOUND)
 
 
 def _merged(docs: DataFrame, parts: list[DataFrame], scratch: Scratch) -> DataFrame:
-    """Union of the spans and items that several blocks found in each document.
+    """Union of the spans and classes that several blocks found in each document.
 
     Rows of equal id and text have equal results and are one row until the end.
     """
     found = scratch.table(reduce(DataFrame.unionByName, [part.distinct() for part in parts]))
     merged = found.groupBy("doc_id", "copy", "n_words").agg(
-        F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.flatten(F.collect_list("items")).alias("items")
+        F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("classes")))).alias("classes")
     )
     grown = F.aggregate(
         "spans",
@@ -263,4 +276,4 @@ def _merged(docs: DataFrame, parts: list[DataFrame], scratch: Scratch) -> DataFr
     merged = merged.withColumn("n_hit", grown["n"].cast("long"))
     rows = docs.select("doc_id", "copy").alias("d")
     same = F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")) & F.col("d.copy").eqNullSafe(F.col("m.copy"))
-    return rows.join(merged.alias("m"), same).select("d.doc_id", "n_words", "n_hit", "spans", "items")
+    return rows.join(merged.alias("m"), same).select("d.doc_id", "n_words", "n_hit", "spans", "classes")
