@@ -130,8 +130,8 @@ def _sample_bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     reader = WordReader(ALNUM, fold=True)
     for batch in batches:
         ids, weights = _bags(batch.column(2), reader)
-        lists = [pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32())), pa.array([x.astype(np.float32) for x in weights], pa.list_(pa.float32()))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], ["doc_id", "kind", "ids", "weights"])
+        packed = [pa.array([x.astype(kind).tobytes() for x in column], pa.binary()) for column, kind in ((ids, "<i4"), (weights, "<f4"))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *packed], ["doc_id", "kind", "ids", "weights"])
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, *, per_class: int = 1500, threshold: float = 0.3) -> DataFrame:
@@ -158,11 +158,13 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, *, per_class: int = 1500
     picks = picks.unionByName(sampled(known.where("toxic = 0").select("doc_id"), per_class).withColumn("kind", F.lit(0)))
     share = known.agg(F.avg("toxic")).first()[0] or 0.0
     sample = docs.join(F.broadcast(picks), "doc_id").groupBy("doc_id", "kind").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
-    bags = sample.mapInArrow(_sample_bags, "doc_id long, kind int, ids array<int>, weights array<float>").toPandas().sort_values("doc_id")
-    kind = bags["kind"].to_numpy()
+    bags = sample.mapInArrow(_sample_bags, "doc_id long, kind int, ids binary, weights binary")
+    # one partition at a time, so the driver's JVM never holds all of them
+    bags = sorted(bags.toLocalIterator(), key=lambda row: row.doc_id)
+    kind = np.array([row.kind for row in bags], np.int64)
     linear = None
     if (kind == 1).sum() >= 4 and (kind == 0).sum() >= 4:
-        texts, weights = bags["ids"].tolist(), bags["weights"].tolist()
+        texts, weights = [np.frombuffer(row.ids, "<i4") for row in bags], [np.frombuffer(row.weights, "<f4") for row in bags]
         some = np.flatnonzero([len(x) > 0 for x in texts])
         value, bias = SubwordModel([texts[i] for i in some], kind[some], [weights[i] for i in some]).linear()
         drawn = kind[some].mean()
