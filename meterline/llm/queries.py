@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meterline.llm.decontam import contamination
-from meterline.llm.ledger import BASE, POLICY, ledger, mask, passes
+from meterline.llm.ledger import BASE, POLICY, ablation, ledger, mask, passes
 from meterline.llm.lines import repeated_lines
 from meterline.llm.neardup import near_duplicates
 from meterline.llm.notices import license_notices
@@ -43,6 +43,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def rule_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ablation(ledger(table(spark, sf_dir, "documents")), POLICY)
+
+
 def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonymised(table(spark, sf_dir, "documents"), Scratch(spark, "op2"), key=KEY)
 
@@ -109,6 +113,6 @@ QUERIES = {
     for query in (
         op1_quality_rules, op2_pii_surrogates, op3_sentencepiece, op4_decontamination, op5_near_duplicates,
         op6_quality_classifier, op7_line_dedup, op8_url_filter, op9_toxicity, op10_license_notices,
-        op11_prefix_tree, op12_ranked_search, op13_token_files,
+        op11_prefix_tree, op12_ranked_search, op13_token_files, rule_ablation,
     )
 }

@@ -1,10 +1,6 @@
 """DuckDB SQL for the queries that SQL can express on whole tables."""
 
-from meterline.llm.ledger import BASE, POLICIES, POLICY, RULES, mask
-
-_BITS = " + ".join(f"CASE WHEN {rule} THEN {1 << i} ELSE 0 END" for i, rule in enumerate(RULES.values()))
-
-OP1 = rf"""
+OP1 = r"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS text, row_number() OVER () AS r FROM documents
 ), w AS (
@@ -28,8 +24,70 @@ WITH d AS (
     coalesce(l.n - l.kinds, 0)::BIGINT AS n_dup_lines, coalesce(n.n, 0)::BIGINT AS n_repeat_words,
     coalesce(l.n, 0)::BIGINT AS n_lines, length(regexp_replace(text, '[^A-Z]', '', 'g'))::BIGINT AS n_capitals
   FROM d LEFT JOIN s USING (r) LEFT JOIN l USING (r) LEFT JOIN n USING (r)
-), b AS (SELECT *, ({_BITS})::BIGINT AS failed FROM m)
-SELECT *, failed & {mask(BASE)} <> 0 AS base_failed, failed & {mask(BASE) | mask(POLICIES[POLICY])} = 0 AS kept FROM b
+), b AS (
+  SELECT *, ((n_words < 50)::INT + 2 * (n_repeat_words * 2 > n_words)::INT + 4 * (n_symbols * 2 > n_words)::INT + 8 * (n_dup_lines * 2 > n_lines)::INT
+    + 16 * (word_chars < 2 * n_words OR word_chars > 15 * n_words)::INT + 32 * (n_capitals * 2 > word_chars)::INT)::BIGINT AS failed
+  FROM m
+)
+SELECT *, failed % 4 <> 0 AS base_failed, failed = 0 AS kept FROM b
+"""
+
+ABLATION = f"""
+WITH book AS ({OP1}), rules(rule, bit) AS (
+  VALUES ('few_words', 1), ('repeated_words', 2), ('symbols', 4), ('repeated_lines', 8), ('word_length', 16), ('shouting', 32)
+)
+SELECT rule, count(*) FILTER (WHERE failed & bit <> 0) AS n_failed, count(*) FILTER (WHERE failed = bit) AS n_only,
+  count(*) FILTER (WHERE failed = 0) AS n_kept, count(*) FILTER (WHERE failed = 0 OR failed = bit) AS n_kept_without
+FROM book, rules GROUP BY rule
+"""
+
+OP4 = r"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS r, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS ws
+  FROM documents
+), i AS (
+  SELECT item_id::VARCHAR AS item, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+  FROM benchmark WHERE item_id IS NOT NULL
+), windows AS (
+  SELECT DISTINCT item, size, array_to_string(ws[p : p + size - 1], ' ') AS key
+  FROM (SELECT item, ws, least(13, len(ws)) AS size, unnest(range(1, len(ws) - least(13, len(ws)) + 2)) AS p FROM i WHERE len(ws) > 0)
+), places AS (
+  SELECT r, size, unnest(range(1, len(ws) - size + 2)) AS p, ws FROM d, (SELECT DISTINCT size FROM windows) WHERE len(ws) >= size
+), found AS (
+  SELECT DISTINCT r, p, size, item FROM (SELECT r, p, size, array_to_string(ws[p : p + size - 1], ' ') AS key FROM places) JOIN windows USING (size, key)
+), hit AS (
+  SELECT r, count(DISTINCT w) AS n FROM (SELECT r, unnest(range(p, p + size)) AS w FROM (SELECT DISTINCT r, p, size FROM found)) GROUP BY r
+), held AS (
+  SELECT r, count(*) AS n, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT r, item FROM found) GROUP BY r
+)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(hit.n, 0)::BIGINT AS n_hit, coalesce(held.n, 0)::BIGINT AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(hit.n > 0 AND 20 * hit.n >= len(ws), FALSE) AS contaminated
+FROM d LEFT JOIN hit USING (r) LEFT JOIN held USING (r)
+"""
+
+OP5 = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS ws
+  FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(ws[p : p + 3], ' ') AS g
+  FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 1) + 1)) AS p FROM d WHERE len(ws) > 0)
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), pairs AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS m FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL
+), links AS (
+  SELECT x, y FROM pairs JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * m >= 80 * (a.n + b.n - m)
+), edges AS (
+  SELECT x, y FROM links UNION ALL SELECT y, x FROM links
+), reach(x, y) AS (
+  SELECT x, y FROM edges UNION SELECT reach.x, edges.y FROM reach JOIN edges ON edges.x = reach.y
+), lowest AS (
+  SELECT x, min(y) AS y FROM reach GROUP BY x
+)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(least(d.doc_id, lowest.y), d.doc_id) AS component_id,
+  d.doc_id <= coalesce(lowest.y, d.doc_id) AS kept
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN lowest ON lowest.x = d.doc_id
 """
 
 
@@ -104,5 +162,7 @@ FROM scores WHERE score > 0
 QUALIFY rank <= 10
 """
 
-#: Linking by redirects changes no verdict where no page names another (see the tests for those).
-ORACLE_SQL = {"op1_quality_rules": OP1, "op11_prefix_tree": OP11, "op12_ranked_search": OP12}
+ORACLE_SQL = {
+    "op1_quality_rules": OP1, "rule_ablation": ABLATION, "op4_decontamination": OP4, "op5_near_duplicates": OP5,
+    "op11_prefix_tree": OP11, "op12_ranked_search": OP12,
+}

@@ -215,7 +215,7 @@ def test_notices_on_both_sides_of_the_best_match():
     assert sorted(m[4] for m in found) == [0, 1, 1]
 
 
-@pytest.mark.parametrize("name", sorted(n for n in entry_module.oracle_sql() if n.startswith("op")))
+@pytest.mark.parametrize("name", sorted(n for n in entry_module.oracle_sql() if n.startswith(("op", "rule_"))))
 def test_query_matches_sql(spark, name):
     with oracle("sf0.01") as connection:
         want = oracle_rows(connection, entry_module.oracle_sql()[name])
