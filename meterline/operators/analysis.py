@@ -110,7 +110,7 @@ def best_interval_exact(
     found = found.withColumn("_y", F.when(F.col("_a") > 0, F.sqrt(2 * F.col("_a"))))
     for _ in range(NEWTON_STEPS):
         y = F.col("_y")
-        found = found.withColumn("_y", y - (y - F.col("_a") - 1 + F.exp(-y)) / (1 - F.exp(-y)))
+        found = found.withColumn("_y", y + (y - F.col("_a") + F.expm1(-y)) / F.expm1(-y))
     interval = F.col("_y") / F.lit(failure_rate)
     use = utilization(interval, F.col("checkpoint_s"), F.col("recovery_s"), failure_rate, delta, stages)
     return found.select(*costs.columns, interval.alias("best_interval_s"), use.alias("best_utilization"))
