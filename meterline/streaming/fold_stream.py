@@ -25,26 +25,31 @@ from meterline.session import prepare, use_rocksdb
 from meterline.streaming.hourly_stream import DEFAULT_DELAY
 
 
+#: Zones are dealt into so many groups, the same after a restart: state is kept by group and window.
+GROUPS = 4
+GROUP = "zone_group"
+
+
 class FoldProcessor(StatefulProcessor):
-    """Keeps a window's condensed rows until the watermark passes its end."""
+    """Keeps the condensed rows of a window's group of zones until the watermark passes its end."""
 
     def __init__(self, fold: WindowFold):
         self._fold = fold
-        self._names = names_in(fold.part_ddl)
+        self._names = [KEYS[0], *names_in(fold.part_ddl)]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
-        self._parts = handle.getListState("parts", self._fold.part_ddl)
+        self._parts = handle.getListState("parts", f"{KEY_DDL.partition(',')[0]}, {self._fold.part_ddl}")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         # Late rows do not come here. Timers fire after a batch's rows, also those of windows
         # that open and close with it.
-        is_open = self._parts.exists()
-        held = [self._held(key)] if is_open else []
-        new = [part[[*KEYS, *self._names]] for part in rows]
-        parts = self._fold.combine(pd.concat([*held, *new], ignore_index=True))
-        if not is_open:
+        held = self._held(key)
+        if not len(held):
             self._handle.registerTimer(_millis(key[2]))
+        frames = [part[[*KEYS, *self._names[1:]]] for part in rows]
+        frames += [held] if len(held) else []
+        parts = self._fold.combine(pd.concat(frames, ignore_index=True) if len(frames) > 1 else frames[0].reset_index(drop=True))
         self._parts.put(list(parts[self._names].itertuples(index=False, name=None)))
         yield from ()
 
@@ -60,7 +65,7 @@ class FoldProcessor(StatefulProcessor):
 
     def _held(self, key) -> pd.DataFrame:
         parts = pd.DataFrame([tuple(row) for row in self._parts.get()], columns=self._names)
-        for place, name in enumerate(KEYS):
+        for place, name in enumerate(KEYS[1:], 1):
             parts.insert(place, name, key[place])
         return parts
 
@@ -84,6 +89,9 @@ def stream_fold(
     Rows are condensed before the shuffle, and state holds condensed rows only. The
     delay counts from the latest pickup among rows that were condensed to something;
     that time goes along with them, so rows are late here where they are late there.
+
+    Calls into Python and state go by window and group of zones, not by zone, and the
+    fold's functions get the rows of all of a group's zones at once.
     """
     use_rocksdb(prepare(lines.sparkSession))
     columns = tuple(dict.fromkeys((*fold.columns, "pickup_ts")))
@@ -95,7 +103,8 @@ def stream_fold(
         parts = condensed(with_window(trips, columns, width), fold, latest="pickup_ts")
         # Spark drops late rows by the window of a column that bears the watermark.
         parts = parts.withWatermark("pickup_ts", delay).withColumn("_window", F.window("pickup_ts", width)).drop("pickup_ts")
-        return parts.groupBy(*KEYS).transformWithStateInPandas(
+        parts = parts.withColumn(GROUP, F.pmod(F.xxhash64(KEYS[0]), F.lit(GROUPS)).cast("int"))
+        return parts.groupBy(GROUP, *KEYS[1:]).transformWithStateInPandas(
             statefulProcessor=FoldProcessor(fold),
             outputStructType=f"{KEY_DDL}, {fold.result_ddl}",
             outputMode="append",

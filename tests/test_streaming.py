@@ -264,6 +264,28 @@ def test_fold_counts_what_the_aggregate_counts(spark, folders):
     assert (1, 5) in _windows(spark, out)
 
 
+def test_fold_gets_many_zones_at_once(spark, folders):
+    """State and calls go by window and group of zones, also for a window met in two batches."""
+    fold = WindowFold(
+        columns=("trip_distance",),
+        part_ddl="n bigint",
+        result_ddl="n bigint, together bigint",
+        condense=lambda rows: rows.groupby(KEYS, as_index=False).agg(n=("trip_distance", "size")),
+        combine=lambda parts: parts.groupby(KEYS, as_index=False).agg({"n": "sum"}),
+        finish=lambda parts: parts.assign(together=len(parts)),
+    )
+    source, out, log = folders
+    _write(source, "0.txt", [("00:10:00", zone, 1) for zone in range(40)])
+    _write(source, "1.txt", [("00:20:00", zone, 1) for zone in range(20, 60)])
+    _write(source, "2.txt", [("03:00:00", 1, 1)])
+    windows = stream_fold(sources.stream_lines(spark, source, max_files=1), fold)
+    writer = windows.writeStream.format("parquet").option("path", out).option("checkpointLocation", log)
+    writer.trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.parquet(out).collect()
+    assert {r.pu_location_id: r.n for r in rows} == {zone: 1 + (20 <= zone < 40) for zone in range(60)}
+    assert len(rows) == 60 and min(r.together for r in rows) > 1
+
+
 def test_fold_from_another_folder(tmp_path):
     """Workers of a stream need no installed package."""
     (tmp_path / "in").mkdir()
