@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -13,8 +14,8 @@ from pyspark.sql import functions as F
 from meterline.llm.words import slices
 
 MARK = "▁"
-#: Words, of this many characters each at most, whose ids a task remembers.
-CACHED_WORDS, CACHED_CHARS = 50_000, 64
+#: Words, of this many characters each at most, whose ids a task remembers; as many older ones stay while asked for.
+CACHED_WORDS, CACHED_CHARS = 100_000, 64
 TEXT_BYTES = 1 << 19
 
 
@@ -74,7 +75,7 @@ class Encoder:
         in common is the path down to where they part. The forward scores on that path
         stay on the stack, only those below it are worked out anew.
         """
-        entries, unknown = self.entries, self.unknown_score
+        find, missing, unknown = self.entries.get, (), self.unknown_score
         best, back = [0.0], [(0, 0)]  # by depth: score, (start, id) of the last piece
         open_at: list[list[int]] = [[]]  # by depth: starts from which a piece may go on
         last = ""
@@ -85,20 +86,25 @@ class Encoder:
             del best[depth + 1 :], back[depth + 1 :], open_at[depth + 1 :]
             for end in range(depth + 1, len(word) + 1):
                 top, step, going = None, None, []
-                for start in (*open_at[end - 1], end - 1):
-                    piece = word[start:end]
-                    if piece in entries:
+                for start in open_at[end - 1]:
+                    entry = find(word[start:end], missing)
+                    if entry is not missing:
                         going.append(start)
-                        entry = entries[piece]
                         if entry is not None:
                             score = best[start] + entry[0]
                             if top is None or score > top:
                                 top, step = score, (start, entry[1])
-                single = entries.get(word[end - 1])
-                if single is None:
+                entry = find(word[end - 1], missing)
+                if entry is not missing:
+                    going.append(end - 1)
+                if entry is None or entry is missing:
                     score = best[end - 1] + unknown
                     if top is None or score > top:
                         top, step = score, (end - 1, -1)
+                else:
+                    score = best[end - 1] + entry[0]
+                    if top is None or score > top:
+                        top, step = score, (end - 1, entry[1])
                 best.append(top)
                 back.append(step)
                 open_at.append(going)
@@ -146,7 +152,7 @@ class Decoder:
 
 
 class _Words:
-    """Ids of the words seen so far by one task; emptied when full."""
+    """Ids of the words met by one task. When full, words not asked for since the last time go."""
 
     def __init__(self, encoder: Encoder):
         self.encoder = encoder
@@ -155,26 +161,46 @@ class _Words:
     def clear(self) -> None:
         self.place: dict[str, int] = {}
         self.flat, self.at = np.empty(0, np.int32), np.zeros(1, np.int64)
+        self.older = self.place, self.flat, self.at
+
+    def _turn(self) -> None:
+        older = self.place, self.flat, self.at
+        self.clear()
+        self.older = older
 
     def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.place) > CACHED_WORDS or len(self.flat) > 16 * CACHED_WORDS:
-            self.clear()
+            self._turn()
         split = [self.encoder.split(t) for t in texts]
-        fresh = sorted({w for words in split for w in words if w not in self.place})
-        parts = [np.array(ids, np.int32) for ids in self.encoder.encode(fresh)]
-        known = len(self.at) - 1
-        place = dict(zip(fresh, range(known, known + len(fresh)), strict=True))
-        self.flat = np.concatenate([self.flat, *parts])
-        self.at = np.r_[self.at, self.at[-1] + np.cumsum([len(ids) for ids in parts], dtype=np.int64)]
-        index = np.array([place[w] if w in place else self.place[w] for words in split for w in words], np.int64)
-        self.place.update((word, i) for word, i in place.items() if len(word) <= CACHED_CHARS)
-        size = self.at[index + 1] - self.at[index]
+        place, known = self.place, len(self.at) - 1
+        missing = set(chain.from_iterable(split)).difference(place)
+        old_place, old_flat, old_at = self.older
+        kept = [w for w in missing if w in old_place]
+        fresh = sorted(missing.difference(kept))
+        again, sizes = _runs(old_flat, old_at, np.array([old_place[w] for w in kept], np.int64))
+        parts = list(self.encoder.encode(fresh))
+        new = np.fromiter(chain.from_iterable(parts), np.int32)
+        self.flat = np.concatenate([self.flat, again, new])
+        sizes = np.r_[sizes, np.fromiter(map(len, parts), np.int64, len(parts))]
+        self.at = np.r_[self.at, self.at[-1] + np.cumsum(sizes, dtype=np.int64)]
+        place.update(zip(chain(kept, fresh), range(known, known + len(missing)), strict=True))
+        index = np.fromiter(map(place.__getitem__, chain.from_iterable(split)), np.int64)
+        flat, size = _runs(self.flat, self.at, index)
+        for word in fresh:
+            if len(word) > CACHED_CHARS:
+                del place[word]
         ends = np.r_[0, np.cumsum(size)]
-        flat = self.flat[np.arange(ends[-1]) + np.repeat(self.at[index] - ends[:-1], size)]
         words = np.r_[0, np.cumsum([len(w) for w in split])]
         return flat, ends[words]
 
 
+def _runs(flat: np.ndarray, at: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs flat[at[i]:at[i + 1]] behind each other, for each i of ``index``, and their sizes."""
+    size = at[index + 1] - at[index]
+    ends = np.r_[0, np.cumsum(size)]
+    return flat[np.arange(ends[-1]) + np.repeat(at[index] - ends[:-1], size)], size
+
+
 def encoded(docs: DataFrame, model_path: str) -> DataFrame:
     """(doc_id, ids, n_tokens, round_trip) for every row of ``docs`` (doc_id, text).
 

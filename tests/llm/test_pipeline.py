@@ -89,3 +89,16 @@ def test_words_are_remembered_within_bounds(monkeypatch):
         for got, want in zip(words.ids(texts), fresh.ids(texts), strict=True):
             assert got.tolist() == want.tolist()
         assert len(words.place) < 60 and max(map(len, words.place)) <= CACHED_CHARS
+
+
+def test_words_asked_for_are_not_worked_out_again(monkeypatch):
+    import meterline.llm.pieces as pieces
+
+    monkeypatch.setattr(pieces, "CACHED_WORDS", 20)
+    words, seen = _Words(Encoder(load_model(MODEL))), []
+    search = words.encoder.encode
+    monkeypatch.setattr(words.encoder, "encode", lambda some: seen.extend(some) or search(some))
+    for i in range(40):
+        words.ids([f"common words and rare{i}{j}" for j in range(8)])
+    assert all(seen.count(word) == 1 for word in ("▁common", "▁words", "▁and"))
+    assert len(words.place) < 60
