@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from meterline.llm.words import SPACED, WordReader, slices
+from meterline.llm.words import SPACED, slices
 from meterline.operators.ordered import CHUNK, ordered_chunks
 from meterline.session import shuffle_width
 
@@ -28,7 +28,7 @@ FILE_DOCS = 1 << 16
 #: Bytes of distinct words, with their ids, that a task remembers.
 REMEMBERED = 3 << 24
 #: Bytes of text that are encoded at a time.
-SLICE = 1 << 19
+SLICE = 1 << 22
 #: Words that go to the tokenizer in one text, with this one between them.
 TOGETHER, BETWEEN = 256, "|"
 
@@ -49,7 +49,6 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_str(model)
         self.by_word = by_word
-        self.reader = WordReader(SPACED, fold=False)
         added = {ch for token in self.tokenizer.get_added_tokens_decoder().values() for ch in token.content}
         self.kind = np.zeros(256, np.uint8)
         self.kind[[*range(65, 91), *range(97, 123)]] = 1
@@ -112,18 +111,20 @@ class Encoder:
         return [known[word] for word in distinct]
 
     def _cut(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where words, or their parts, start, and the rows they are in."""
-        kind = self.kind[data]
-        cut = np.zeros(len(data), bool)
-        cut[self.reader.read(data, offsets).start] = True
+        """Where words, or their parts, start, and the first of them that is not before each offset."""
+        kind, inside = self.kind[data], SPACED[data]
+        cut = inside.copy()
+        cut[1:] &= ~inside[:-1]
         cut[1:] |= (kind[1:] | kind[:-1]) == 3  # a letter and a mark
+        heads = offsets[offsets < len(data)]
+        cut[heads] = inside[heads]
         starts = np.flatnonzero(cut)
-        return starts, np.searchsorted(offsets, starts, "right") - 1
+        return starts, np.searchsorted(starts, offsets)
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of some rows in a run, and how many each row has."""
         if self.by_word:
-            starts, row = self._cut(data, offsets)
+            starts, cuts = self._cut(data, offsets)
             if not len(starts):
                 return np.empty(0, "<u4"), np.zeros(len(offsets) - 1, np.int64)
             # From one start to the next, and then without the white space behind the word.
@@ -136,14 +137,14 @@ class Encoder:
         else:
             raw = data.tobytes()
             parts = self._ids([raw[low:high] for low, high in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)])
-            which = row = np.arange(len(parts))
+            which, cuts = np.arange(len(parts)), np.arange(len(parts) + 1)
         flat = np.frombuffer(b"".join(parts), "<u4")
         size = np.array([len(part) >> 2 for part in parts])
         first = np.cumsum(size) - size
         many = size[which]
-        ends = np.cumsum(many)
-        at = np.arange(ends[-1]) + np.repeat(first[which] - ends + many, many)
-        return flat[at], np.bincount(row, many, len(offsets) - 1).astype(np.int64)
+        ends = np.r_[0, np.cumsum(many)]
+        at = np.arange(ends[-1]) + np.repeat(first[which] - ends[:-1], many)
+        return flat[at], np.diff(ends[cuts])
 
 
 def _encoded(model: str, end_id: int, by_word: bool, marks: str):

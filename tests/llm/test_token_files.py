@@ -4,6 +4,7 @@ import glob
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from tokenizers import Tokenizer
@@ -101,3 +102,20 @@ def test_empty_table(spark):
     token_files.write_token_files(spark.createDataFrame([], "doc_id long, text string"), path, TOKENIZER)
     assert token_files.token_digests(token_files.token_lists(spark, path)).collect() == []
     assert token_files.token_span(spark, path, 0, 5).collect() == []
+
+
+def test_words_of_much_text_are_looked_up_once(monkeypatch):
+    """Cuts by arrays alone give the ids of whole texts; 2 MB of text are one slice."""
+    encoder = token_files.Encoder(open(TOKENIZER).read(), True, MARKS)
+    plain = token_files.Encoder(open(TOKENIZER).read(), False)
+    texts = ["", " ", "a.b,c", "end.", " the (the) ", ".", "naïve—x", "x\n\ny"]
+    raw = [text.encode() for text in texts]
+    data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.r_[0, np.cumsum([len(x) for x in raw])]
+    for got, want in zip(encoder.encode(data, offsets), plain.encode(data, offsets), strict=True):
+        assert got.tolist() == want.tolist()
+    asked, words = [], token_files.Encoder._words
+    monkeypatch.setattr(token_files.Encoder, "_words", lambda self, distinct: asked.append(len(distinct)) or words(self, distinct))
+    column = pa.array(["the same few words " * 50] * 2200)
+    batch = pa.RecordBatch.from_arrays([pa.array([0] * 2200, pa.int32()), pa.array(range(2200), pa.int64()), column], ["chunk", "doc_id", "text"])
+    out = list(token_files._encoded(open(TOKENIZER).read(), 1, True, MARKS)([batch]))
+    assert sum(x.num_rows for x in out) == 2200 and asked == [4]
