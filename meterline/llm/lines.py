@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meterline.llm.graph import components, merged, shared
-from meterline.llm.neardup import SETS, OnePermutation, _rare_pairs, set_rows, unsettled
+from meterline.llm.neardup import SETS, OnePermutation, _rare_pairs, marked, may_be_linked, set_rows, unsettled
 from meterline.llm.neardup import _verified as verified_sets
 from meterline.llm.scratch import Scratch
 from meterline.llm.words import SPACED, WordReader, characters, constants, mix, slices
@@ -19,6 +19,13 @@ from meterline.llm.words import SPACED, WordReader, characters, constants, mix,
 FOUND = "doc_id long, line_no int, id long, bands array<long>"
 #: Lines that a task remembers; a line met again later gives equal bucket rows, which are merged.
 SEEN_LINES = 100_000
+#: Buckets of so many lines at most are compared line by line.
+SMALL_BUCKET = 24
+#: Pairs that are checked at a time, and bytes of their lines.
+CLOSE_PAIRS, CLOSE_BYTES = 256, 1 << 19
+#: Stars, each about another member, by which larger buckets are linked before the exact join.
+STARS = 4
+PICKED = "id long, line binary, n int, marks array<long>"
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -113,8 +120,8 @@ def _read(k: int, bands: int, rows: int, least: int):
     return run
 
 
-def _pick(least: int):
-    """Texts of the wanted lines of each document: (id, line)."""
+def _pick(k: int, least: int):
+    """The wanted lines of each document: (id, line, n, marks), the last two of its runs of ``k`` characters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = WordReader(SPACED, fold=False)
@@ -124,14 +131,29 @@ def _pick(least: int):
                 lines = read_lines(data, offsets, reader, least)
                 own = set().union(*wanted[first:end])
                 place = np.r_[lines.place, len(data)]
-                ids, texts = [], []
+                at = []
                 for i, name in enumerate(lines.id.tolist()):
                     if name in own:
                         own.discard(name)
-                        ids.append(name)
-                        texts.append(data[place[lines.start[i]] : place[lines.end[i]]].tobytes())
-                if ids:
-                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.binary())], ["id", "line"])
+                        at.append(i)
+                for some in (at[i : i + 4096] for i in range(0, len(at), 4096)):
+                    starts, ends = lines.start[some], lines.end[some]
+                    found, span = char_shingles(lines.value, starts, ends, k)
+                    cut = np.searchsorted(span, np.arange(len(some) + 1))
+                    sets = [np.unique(found[low:high]) for low, high in zip(cut[:-1], cut[1:], strict=True)]
+                    size = np.array([len(x) for x in sets])
+                    marks = marked(np.concatenate(sets), np.r_[0, np.cumsum(size)])
+                    bounds = np.arange(len(some) + 1, dtype=np.int32) * marks.shape[1]
+                    texts = [data[low:high].tobytes() for low, high in zip(place[starts], place[ends], strict=True)]
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(lines.id[some], pa.int64()),
+                            pa.array(texts, pa.binary()),
+                            pa.array(size.astype(np.int32)),
+                            pa.ListArray.from_arrays(pa.array(bounds), pa.array(marks.reshape(-1))),
+                        ],
+                        ["id", "line", "n", "marks"],
+                    )
 
     return run
 
@@ -156,23 +178,49 @@ def _close(k: int, percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            x, y = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             keep = np.zeros(len(batch), bool)
-            last, ours = None, None
-            for i, (a, x, y) in enumerate(zip(*(batch.column(c).to_pylist() for c in (0, 2, 3)), strict=True)):
-                if a != last:
-                    last, ours = a, _set_of(x, k)
-                theirs = _set_of(y, k)
-                m = len(np.intersect1d(ours, theirs, assume_unique=True))
-                keep[i] = 100 * m >= percent * (len(ours) + len(theirs) - m)
+            size = np.cumsum([len(one) + len(other) for one, other in zip(x, y, strict=True)])
+            first = 0
+            while first < len(batch):
+                most = (size[first - 1] if first else 0) + CLOSE_BYTES
+                end = min(max(int(np.searchsorted(size, most, "right")), first + 1), first + CLOSE_PAIRS)
+                ours, theirs = _sets_of(x[first:end], k), _sets_of(y[first:end], k)
+                both = np.sort(np.concatenate([ours, theirs]))
+                shared_by = both[1:][both[1:] == both[:-1]]
+                total, m = (np.bincount((keys >> np.uint64(56)).astype(np.int64), minlength=end - first) for keys in (both, shared_by))
+                keep[first:end] = 100 * m >= percent * (total - m)
+                first = end
             yield batch.select([0, 1]).filter(pa.array(keep))
 
     return run
 
 
-def _set_of(line: bytes, k: int) -> np.ndarray:
-    data = np.frombuffer(line, np.uint8)
-    value, bounds, _ = characters(data, np.array([0, len(data)]))
-    return np.unique(char_shingles(value, bounds[:-1], bounds[1:], k)[0])
+def _sets_of(lines: list[bytes], k: int) -> np.ndarray:
+    """The distinct shingles of some lines, ascending: the line's place in 8 bits, then 56 bits of the hash."""
+    data = np.frombuffer(b"".join(lines), np.uint8)
+    value, bounds, _ = characters(data, np.r_[0, np.cumsum([len(line) for line in lines])])
+    found, span = char_shingles(value, bounds[:-1], bounds[1:], k)
+    keys = np.sort((found >> np.uint64(8)) | (span.astype(np.uint64) << np.uint64(56)))
+    return keys[np.r_[True, keys[1:] != keys[:-1]]]
+
+
+def _linked(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Of pairs (a, b) of lines those that are linked; near misses fall by the lines' marks."""
+    sketch = texts.select("id", "n", "marks")
+    left = sketch.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("marks").alias("marks_a"))
+    near = pairs.join(left, "a").join(sketch.withColumnRenamed("id", "b"), "b").where(may_be_linked(percent)).select("a", "b")
+    both = near.join(texts.select(F.col("id").alias("b"), F.col("line").alias("y")), "b")
+    both = both.join(texts.select(F.col("id").alias("a"), F.col("line").alias("x")), "a").select("a", "b", "x", "y")
+    return both.mapInArrow(_close(k, percent), "a long, b long")
+
+
+def _other_stars(buckets: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b) of a member drawn from each bucket of several components and its members of others."""
+    named = buckets.join(labels.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
+    draw = F.min(F.struct(F.xxhash64(F.lit(turn), "id").alias("draw"), F.col("id").alias("a"), F.col("c").alias("of"))).alias("hub")
+    hubs = named.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), draw).where("low < high").select("key", "hub.a", "hub.of")
+    return named.join(hubs, "key").where("c <> of").select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
 
 
 def repeated_lines(
@@ -196,9 +244,10 @@ def repeated_lines(
     line that holds more than white space is compared.
 
     With 12 bands of 4 rows a pair at similarity 0.8 shares no bucket with probability
-    2e-3, one at 0.9 with 2e-6. A bucket links its members to its smallest line, and
-    members of buckets with several components go through the exact join on their
-    rarest shingles. Equal lines are one node; a line enters buckets about once per task.
+    2e-3, one at 0.9 with 2e-6. Lines of a small bucket are all compared. A larger one
+    links its members to its smallest line, then those of other components to a few drawn
+    ones, and members of buckets that still have several components go through the exact
+    join on their rarest shingles. Equal lines are one node; a line enters buckets about once per task.
 
     Null or empty texts have no lines. Rows of a null doc_id keep all lines and are
     compared with none; rows of equal doc_id are one document. Further columns are
@@ -210,30 +259,39 @@ def repeated_lines(
     buckets = shared(flat, scratch)
     places = scratch.table(found.select("doc_id", "line_no", "id"))
     scratch.drop(found)
-    hubs = buckets.groupBy("key").agg(F.min("id").alias("a"))
-    pairs = scratch.table(buckets.join(hubs, "key").where("id <> a").select("a", F.col("id").alias("b")).distinct())
+    sizes = buckets.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("m"))
+    members = scratch.table(buckets.join(sizes, "key"))
+    scratch.drop(buckets)
+    small, wide = members.where(F.col("m") <= SMALL_BUCKET), members.where(F.col("m") > SMALL_BUCKET).select("key", "id")
+    every = small.select("key", F.col("id").alias("a")).join(small.select("key", F.col("id").alias("b")), "key").where("a < b")
+    stars = members.where((F.col("m") > SMALL_BUCKET) & (F.col("id") != F.col("a"))).select("a", F.col("id").alias("b"))
 
-    wanted = scratch.table(buckets.select("id").distinct())
+    wanted = members.select("id").distinct()
     first = places.select("id", "doc_id").join(wanted, "id").groupBy("id").agg(F.min("doc_id").alias("doc_id"))
     per_doc = first.groupBy("doc_id").agg(F.collect_list("id").alias("ids"))
-    picked = docs.join(per_doc, "doc_id").select("doc_id", "text", "ids").mapInArrow(_pick(least), "id long, line binary")
+    picked = docs.join(per_doc, "doc_id").select("doc_id", "text", "ids").mapInArrow(_pick(k, least), PICKED)
     texts = scratch.table(picked.dropDuplicates(["id"]))
-    both = pairs.join(texts.select(F.col("id").alias("b"), F.col("line").alias("y")), "b")
-    both = both.join(texts.select(F.col("id").alias("a"), F.col("line").alias("x")), "a").select("a", "b", "x", "y")
-    links = scratch.table(both.mapInArrow(_close(k, percent), "a long, b long"))
-    scratch.drop(pairs, wanted)
+    links = scratch.table(_linked(every.select("a", "b").unionByName(stars).distinct(), texts, k, percent))
     labels = components(links, scratch)
 
-    open_ids = unsettled(buckets, labels, scratch)
-    scratch.drop(buckets)
+    for turn in range(STARS - 1):
+        pairs = scratch.table(_other_stars(wide, labels, turn))
+        if pairs.isEmpty():
+            break
+        more = scratch.table(_linked(pairs, texts, k, percent))
+        if not more.isEmpty():
+            labels = merged(labels, more, scratch)
+        scratch.drop(pairs, more)
+    open_ids = unsettled(wide, labels, scratch)
+    scratch.drop(members)
     if not open_ids.isEmpty():
-        sets = scratch.table(texts.join(open_ids.select("id"), "id", "left_semi").mapInArrow(_sets(k), SETS))
-        scratch.drop(texts)
+        sets = scratch.table(texts.select("id", "line").join(open_ids.select("id"), "id", "left_semi").mapInArrow(_sets(k), SETS))
         pairs = scratch.table(_rare_pairs(sets.join(open_ids, "id"), percent, scratch))
         rest = scratch.table(verified_sets(sets, pairs, percent))
         scratch.drop(sets, pairs)
         if not rest.isEmpty():
             labels = merged(labels, rest, scratch)
+    scratch.drop(texts)
 
     lines = places.join(labels.withColumnRenamed("node", "id"), "id", "left")
     lines = lines.select("doc_id", "line_no", F.coalesce("component", "id").alias("c"))

@@ -144,6 +144,12 @@ def marked(flat: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64).reshape(-1, MARKS)
 
 
+def may_be_linked(percent: int) -> str:
+    """Whether ``marks`` and ``marks_a`` of two sets of ``n`` and ``n_a`` hashes allow a link; no link is missed."""
+    differing = " + ".join(f"bit_count(marks[{i}] ^ marks_a[{i}])" for i in range(MARKS))
+    return f"{100 + percent} * (n + n_a - ({differing})) >= {2 * percent} * (n + n_a)"
+
+
 def near_duplicates(
     docs: DataFrame, scratch: Scratch, *, k: int = 5, percent: int = 80, bands: int = 50, rows: int = 7
 ) -> DataFrame:
@@ -258,11 +264,10 @@ def _rare_pairs(sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     most = share.groupBy("s").agg(F.max(F.struct("m", "c")).alias("most"), F.count("*").alias("kinds")).where("kinds > 1")
     mixed = prefix.join(most.select("s", F.col("most.c").alias("main")), "s")
     others = mixed.where("c <> main").select("s", "main", *(F.col(x).alias(f"{x}_a") for x in ("id", "c", "n", "room", "marks")))
-    differing = " + ".join(f"bit_count(marks[{i}] ^ marks_a[{i}])" for i in range(MARKS))
     return (
         others.join(mixed.drop("main"), "s").where("c <> c_a and (c = main or id < id_a)")
         .where(f"{100 + percent} * least(room, room_a) >= {percent} * (n + n_a)")
-        .where(f"{100 + percent} * (n + n_a - ({differing})) >= {2 * percent} * (n + n_a)")
+        .where(may_be_linked(percent))
         .select(F.least("id_a", "id").alias("a"), F.greatest("id_a", "id").alias("b")).distinct()
     )
 

@@ -1,6 +1,7 @@
 """Operators against plain Python over small tables, odd rows included."""
 
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -158,3 +159,37 @@ def test_ledger_and_ablation(docs, plain_docs):
     for r in ablation(book, POLICY).collect():
         assert r.n_kept == sum(x.kept for x in rows)
         assert r.n_kept_without == r.n_kept + r.n_only
+
+
+def test_lines_of_a_large_group_are_not_all_paired(spark, scratch, monkeypatch):
+    """Lines of one large group in many components: few pairs go to the exact join, and none is lost."""
+    import meterline.llm.lines as lines
+
+    rng = random.Random(5)
+    base = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(200))
+
+    def edited():
+        at = rng.sample(range(len(base)), rng.randint(0, 4))
+        return "".join("#" if i in at else ch for i, ch in enumerate(base))
+
+    texts = [edited() for _ in range(150)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rare, made = lines._rare_pairs, []
+
+    def counted(sets, percent, folder):
+        pairs = rare(sets, percent, folder)
+        made.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(lines, "_rare_pairs", counted)
+    got = {r.doc_id for r in repeated_lines(docs, scratch).collect()}
+
+    sets = [{t.strip()[i : i + 8] for i in range(len(t.strip()) - 7)} for t in texts]
+    lowest = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                low, high = sorted((lowest[i], lowest[j]))
+                lowest = [low if x == high else x for x in lowest]
+    assert got == {i for i, low in enumerate(lowest) if low != i}
+    assert sum(made) < len(texts)
