@@ -12,11 +12,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from meterline.llm.scratch import Scratch
-from meterline.llm.words import ALNUM, WordReader, slices
+from meterline.llm.words import ALNUM, WordReader, slices, word_counts
 from meterline.session import shuffle_width
 
-#: Terms as a pattern; only A-Z are lower-cased.
-TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Term occurrences of a part of a stratum, about: what a task sorts at a time.
 PART_TERMS = 1 << 19
 #: Postings that a search holds at a time, about.
@@ -57,6 +55,14 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(n, docs): how many texts of a batch have n terms, for each n but 0."""
+    for batch in batches:
+        counts = [word_counts(ALNUM, data, offsets) for _, _, data, offsets in slices(batch.column(0))]
+        n, docs = np.unique(np.concatenate([np.empty(0, np.int64), *counts]), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(n[n > 0], pa.int64()), pa.array(docs[n > 0], pa.int64())], ["n", "docs"])
+
+
 def _stratum(part: pa.Table) -> pa.RecordBatch:
     """One index row: a part's terms, each with its documents by falling tf."""
     part = part.combine_chunks()
@@ -130,8 +136,8 @@ def length_index(docs: DataFrame, scratch: Scratch) -> Index:
     """
     name = F.coalesce(F.col("doc_id").cast("long"), F.lit(NOBODY))
     docs = docs.select(name.alias("doc_id"), F.col("text").cast("string").alias("text"))
-    count = F.regexp_count(F.col("text"), F.lit(TERM)).cast("long")
-    sizes = scratch.table(docs.groupBy(count.alias("n")).agg(F.count("*").alias("docs")).where("n > 0"))
+    lengths = docs.select("text").mapInArrow(_lengths, "n long, docs long")
+    sizes = scratch.table(lengths.groupBy("n").agg(F.sum("docs").alias("docs")))
     n_docs, n_terms = sizes.agg(F.coalesce(F.sum("docs"), F.lit(0)), F.coalesce(F.sum(F.col("n") * F.col("docs")), F.lit(0))).first()
     m = F.expr(f"10 + (90 * n * {n_docs}L) div {max(n_terms, 1)}L")
     width = shuffle_width(docs.sparkSession)

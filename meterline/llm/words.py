@@ -68,6 +68,16 @@ def slices(column: pa.Array, size: int = SLICE_BYTES) -> Iterator[tuple[int, int
         first = end
 
 
+def word_counts(word_bytes: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """How many words each row has; none reaches over the end of a row."""
+    starts = word_bytes[data]
+    heads = offsets[offsets < len(data)]
+    first = starts[heads]
+    starts[1:] &= ~starts[:-1]
+    starts[heads] = first
+    return np.diff(np.searchsorted(np.flatnonzero(starts), offsets))
+
+
 class Words(NamedTuple):
     start: np.ndarray
     end: np.ndarray

@@ -4,6 +4,7 @@ import math
 import re
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 
 import meterline.llm.ranked as ranked
@@ -72,3 +73,22 @@ def test_empty_tables(spark, scratch):
     assert found(spark, scratch, docs, items) == []
     assert found(spark, scratch, some, items.limit(0)) == []
     assert found(spark, scratch, some, items) == [("a", 1, 1, math.floor(1000 * math.log(4 / 3)) * (10**9 // 1800))]
+
+
+def test_lengths_are_counted_over_bytes():
+    """As many terms as plain loops find, whatever stands at the ends of rows and slices; null and empty texts have no length."""
+    texts = ["", None, "a", " a", "a ", "Zé9", "z", "[é]`x`@y", "\x00\x7f", "é" * 5, "a b " * 70000, "b", " ", "0/9:A", "漢 字-ß_"]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts).slice(1)], ["text"])
+    got = Counter()
+    for out in ranked._lengths([batch, batch.slice(3, 6), batch.slice(0, 0)]):
+        got.update(dict(zip(*(column.to_pylist() for column in out.columns), strict=True)))
+    want = Counter(len(words(text)) for text in texts[1:] + texts[4:10])
+    assert got == Counter({n: docs for n, docs in want.items() if n})
+
+
+def test_no_pattern_is_matched_over_the_texts(spark, scratch, docs, monkeypatch):
+    """A pattern over every text took more time than all the rest of the search."""
+    plans, table = [], scratch.table
+    monkeypatch.setattr(scratch, "table", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or table(df))
+    ranked.length_index(docs, scratch)
+    assert plans and not any("regexp" in plan for plan in plans)
