@@ -9,7 +9,9 @@ from __future__ import annotations
 import json
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +33,15 @@ REMEMBERED = 3 << 24
 SLICE = 1 << 22
 #: Words that go to the tokenizer in one text, with this one between them.
 TOGETHER, BETWEEN = 256, "|"
+#: Steps before a model that leave a word of ASCII letters whole, and as it is but for its case.
+FORMS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+CUTS = [
+    {
+        "type": "Split", "behavior": "Removed", "invert": True,
+        "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"},
+    },
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]
 
 
 class Encoder:
@@ -57,7 +68,12 @@ class Encoder:
         self.older: dict[bytes, bytes] = {}  # what was known before, as long as it is asked for
         self.size = 0
         self.between = self._arrays([BETWEEN])[0].tolist()
-        suffix = json.loads(model)["model"].get("end_of_word_suffix")
+        parts = json.loads(model)
+        forms, cuts = (parts[step] or {} for step in ("normalizer", "pre_tokenizer"))
+        # No added token stands in a word of letters, and the steps are known: the model gets the word in lower case.
+        self.is_lowered = forms.get("normalizers") == FORMS and cuts.get("pretokenizers") == CUTS
+        self.is_lowered &= not any(token.content.isalpha() for token in self.tokenizer.get_added_tokens_decoder().values())
+        suffix = parts["model"].get("end_of_word_suffix")
         names = {i: name for name, i in self.tokenizer.get_vocab().items()} if suffix else {}
         self.closes = np.zeros(max(names, default=-1) + 1, bool)  # ids that end a word
         self.closes[[i for i, name in names.items() if name.endswith(suffix)]] = True
@@ -74,14 +90,21 @@ class Encoder:
         Words of ASCII letters are parted behind each id that ends a word, if the
         tokenizer has such; others by the id of a mark put between any two, which no word
         without the mark's character has. Where the number of parts is not that of the
-        words, they are encoded one by one.
+        words, they are encoded one by one. If all that the steps before the tokenizer's
+        model do to a word of ASCII letters is to lower its case, the model gets it at once.
         """
+        out: dict[bytes, bytes] = {}
+        if self.is_lowered:
+            ids_of = self.tokenizer.model.tokenize
+            for word in words:
+                if word.isalpha():
+                    out[word] = array("I", [token.id for token in ids_of(word.lower().decode())]).tobytes()
+            words = [word for word in words if word not in out]
         plain = [word for word in words if word.isalpha()] if self.closes.any() else []
         other = [word for word in words if not word.isalpha()] if plain else words
         groups = [(plain[i : i + TOGETHER], b" ") for i in range(0, len(plain), TOGETHER)]
         groups += [(other[i : i + TOGETHER], f" {BETWEEN} ".encode()) for i in range(0, len(other), TOGETHER)]
         found = self._arrays([glue.join(group).decode("utf-8", "replace") for group, glue in groups])
-        out: dict[bytes, bytes] = {}
         for (group, glue), ids in zip(groups, found, strict=True):
             raw, end = ids.tobytes(), 4 * len(ids)
             if glue == b" ":
@@ -102,13 +125,17 @@ class Encoder:
         if self.size > REMEMBERED // 2:
             self.known, self.older, self.size = {}, self.known, 0
         known, older = self.known, self.older
-        fresh = list({word for word in distinct if word not in known})
-        found = [older.get(word) for word in fresh]
-        new = [word for word, ids in zip(fresh, found, strict=True) if ids is None]
-        known.update((word, ids) for word, ids in zip(fresh, found, strict=True) if ids is not None)
-        known.update(self._many(new))
-        self.size += 150 * len(fresh) + sum(len(word) + len(known[word]) for word in fresh)
-        return [known[word] for word in distinct]
+        found = [*map(known.get, distinct)]
+        missing = [i for i, ids in enumerate(found) if ids is None]
+        if missing:
+            asked = {distinct[i] for i in missing}
+            fresh = {word: older[word] for word in asked if word in older}
+            fresh.update(self._many([word for word in asked if word not in fresh]))
+            known.update(fresh)
+            self.size += 150 * len(fresh) + sum(map(len, fresh)) + sum(map(len, fresh.values()))
+            for i in missing:
+                found[i] = fresh[distinct[i]]
+        return found
 
     def _cut(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where words, or their parts, start, and the first of them that is not before each offset."""
@@ -139,7 +166,7 @@ class Encoder:
             parts = self._ids([raw[low:high] for low, high in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)])
             which, cuts = np.arange(len(parts)), np.arange(len(parts) + 1)
         flat = np.frombuffer(b"".join(parts), "<u4")
-        size = np.array([len(part) >> 2 for part in parts])
+        size = np.fromiter(map(len, parts), np.int64, len(parts)) >> 2
         first = np.cumsum(size) - size
         many = size[which]
         ends = np.r_[0, np.cumsum(many)]
@@ -147,11 +174,17 @@ class Encoder:
         return flat[at], np.diff(ends[cuts])
 
 
+@lru_cache(maxsize=1)
+def _encoder(model: str, by_word: bool, marks: str) -> Encoder:
+    """The encoder of this Python worker, which goes on to the worker's next task with the words it knows."""
+    return Encoder(model, by_word, marks)
+
+
 def _encoded(model: str, end_id: int, by_word: bool, marks: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, chunk, at = None, None, 0
         for batch in batches:
-            encoder = encoder or Encoder(model, by_word, marks)
+            encoder = encoder or _encoder(model, by_word, marks)
             chunks = batch.column(0).to_numpy()
             for first, end, data, offsets in slices(batch.column(2), SLICE):
                 ids, sizes = encoder.encode(data, offsets)

@@ -1,6 +1,7 @@
 """Token files against the tokenizers library on whole texts, read whole and in part."""
 
 import glob
+import json
 import zlib
 
 import numpy as np
@@ -119,3 +120,32 @@ def test_words_of_much_text_are_looked_up_once(monkeypatch):
     batch = pa.RecordBatch.from_arrays([pa.array([0] * 2200, pa.int32()), pa.array(range(2200), pa.int64()), column], ["chunk", "doc_id", "text"])
     out = list(token_files._encoded(open(TOKENIZER).read(), 1, True, MARKS)([batch]))
     assert sum(x.num_rows for x in out) == 2200 and asked == [4]
+
+
+def test_a_worker_goes_on_with_the_words_it_knows(monkeypatch):
+    """A task that follows another in one worker loads no tokenizer and encodes only new words."""
+    model = open(TOKENIZER).read() + " "
+    asked, many = [], token_files.Encoder._many
+    monkeypatch.setattr(token_files.Encoder, "_many", lambda self, words: asked.append(sorted(words)) or many(self, words))
+    want = token_files.Encoder(model, False)
+    for texts in (["one two"], ["two three one", None], ["three"]):
+        batch = pa.RecordBatch.from_arrays([pa.array([0] * len(texts), pa.int32()), pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["chunk", "doc_id", "text"])
+        (out,) = token_files._encoded(model, 1, True, MARKS)([batch])
+        assert out.column(5).to_pylist() == [want.tokenizer.encode(text or "").ids + [1] for text in texts]
+    assert asked == [[b"one", b"two"], [b"three"]]
+
+
+@pytest.mark.parametrize("change", [None, {"normalizer": None}, {"added": "wor"}, {"pre_tokenizer": {"type": "WhitespaceSplit"}}])
+def test_words_of_letters_by_the_model(change):
+    """The model alone gives the library's ids; with other steps before it, or an added token of letters, it is not asked alone."""
+    model = json.loads(open(TOKENIZER).read())
+    if change and "added" in change:
+        model["added_tokens"].append({**model["added_tokens"][0], "id": 49408, "content": change["added"]})
+    else:
+        model |= change or {}
+    encoder = token_files.Encoder(json.dumps(model), True)
+    assert encoder.is_lowered == (change is None)
+    words = [b"word", b"Word", b"WORDS", b"x" * 700, b"don", b"s", b"ll", "naïve".encode(), b"swords", b"<|endoftext|>", b"it's"]
+    library = Tokenizer.from_str(json.dumps(model))
+    got = encoder._many(words)
+    assert {word: np.frombuffer(ids, "<u4").tolist() for word, ids in got.items()} == {word: library.encode(word.decode(), add_special_tokens=False).ids for word in words}
