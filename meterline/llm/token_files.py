@@ -27,8 +27,8 @@ CHUNKS = "chunk int, base long, tokens long, docs long"
 
 #: Documents of a file, about.
 FILE_DOCS = 1 << 16
-#: Bytes of distinct words, with their ids, that a task remembers.
-REMEMBERED = 3 << 24
+#: Bytes of distinct words, with their ids, that a worker remembers.
+REMEMBERED = 8 << 24
 #: Bytes of text that are encoded at a time.
 SLICE = 1 << 22
 #: Words that go to the tokenizer in one text, with this one between them.
