@@ -8,10 +8,12 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from string import ascii_letters, punctuation
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +35,9 @@ REMEMBERED = 8 << 24
 SLICE = 1 << 22
 #: Words that go to the tokenizer in one text, with this one between them.
 TOGETHER, BETWEEN = 256, "|"
-#: Steps before a model that leave a word of ASCII letters whole, and as it is but for its case.
+#: Steps before a model that leave a word of letters whole, see them one by one if they are Latin, and cut it from symbols.
 FORMS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+LATIN = ascii_letters + "".join(chr(i) for i in range(0xC0, 0x100) if chr(i).isalpha())
 CUTS = [
     {
         "type": "Split", "behavior": "Removed", "invert": True,
@@ -70,9 +73,14 @@ class Encoder:
         self.between = self._arrays([BETWEEN])[0].tolist()
         parts = json.loads(model)
         forms, cuts = (parts[step] or {} for step in ("normalizer", "pre_tokenizer"))
-        # No added token stands in a word of letters, and the steps are known: the model gets the word in lower case.
-        self.is_lowered = forms.get("normalizers") == FORMS and cuts.get("pretokenizers") == CUTS
-        self.is_lowered &= not any(token.content.isalpha() for token in self.tokenizer.get_added_tokens_decoder().values())
+        # With known steps, and if no added token stands in a word of letters, the model can get the word at once.
+        self.is_known = forms.get("normalizers") == FORMS and cuts.get("pretokenizers") == CUTS
+        self.is_known &= not any(token.content.isalpha() for token in self.tokenizer.get_added_tokens_decoder().values())
+        if self.is_known:
+            form, cut = self.tokenizer.normalizer.normalize_str, self.tokenizer.pre_tokenizer.pre_tokenize_str
+            self.letters = {ord(ch): cut(form(ch))[0][0] for ch in LATIN}
+            tail = "".join(ch for ch in punctuation if ch != "'" and ch not in added)
+            self.plain_word = re.compile(f"([{LATIN}]+)([{re.escape(tail)}]*)")
         suffix = parts["model"].get("end_of_word_suffix")
         names = {i: name for name, i in self.tokenizer.get_vocab().items()} if suffix else {}
         self.closes = np.zeros(max(names, default=-1) + 1, bool)  # ids that end a word
@@ -90,15 +98,18 @@ class Encoder:
         Words of ASCII letters are parted behind each id that ends a word, if the
         tokenizer has such; others by the id of a mark put between any two, which no word
         without the mark's character has. Where the number of parts is not that of the
-        words, they are encoded one by one. If all that the steps before the tokenizer's
-        model do to a word of ASCII letters is to lower its case, the model gets it at once.
+        words, they are encoded one by one. If the steps before the tokenizer's model are
+        known, it gets words of Latin letters at once, and symbols behind them apart.
         """
         out: dict[bytes, bytes] = {}
-        if self.is_lowered:
-            ids_of = self.tokenizer.model.tokenize
-            for word in words:
-                if word.isalpha():
-                    out[word] = array("I", [token.id for token in ids_of(word.lower().decode())]).tobytes()
+        if self.is_known:
+            ids_of, letters = self.tokenizer.model.tokenize, self.letters
+            found = [self.plain_word.fullmatch(word.decode("utf-8", "replace")) for word in words]
+            tails = list({match[2] for match in found if match})
+            tails = dict(zip(tails, [ids.tobytes() for ids in self._arrays(tails)], strict=True))
+            for word, match in zip(words, found, strict=True):
+                if match:
+                    out[word] = array("I", [token.id for token in ids_of(match[1].translate(letters))]).tobytes() + tails[match[2]]
             words = [word for word in words if word not in out]
         plain = [word for word in words if word.isalpha()] if self.closes.any() else []
         other = [word for word in words if not word.isalpha()] if plain else words
