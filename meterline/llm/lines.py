@@ -10,19 +10,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meterline.llm.graph import components, merged, shared
+from meterline.llm.graph import components, merged
 from meterline.llm.neardup import SETS, OnePermutation, _rare_pairs, marked, may_be_linked, set_rows, unsettled
 from meterline.llm.neardup import _verified as verified_sets
 from meterline.llm.scratch import Scratch
-from meterline.llm.words import SPACED, WordReader, characters, constants, mix, slices
+from meterline.llm.words import SPACED, WordReader, characters, constants, mix, slices, text_bytes
+from meterline.session import shuffle_width
 
-FOUND = "doc_id long, line_no int, id long, bands array<long>"
+FOUND = "doc_id long, line_no int, id long, key long, part int, packed binary"
 #: Lines that a task remembers; a line met again later gives equal bucket rows, which are merged.
 SEEN_LINES = 100_000
+#: Bucket rows that a task packs at a time, and parts of the keys for each shuffle partition.
+PACKED_ROWS, PARTS = 1 << 20, 4
 #: Buckets of so many lines at most are compared line by line.
 SMALL_BUCKET = 24
+#: Bytes of text that are read at a time, few enough for their arrays to stay in cache.
+READ_BYTES = 1 << 16
 #: Pairs that are checked at a time, and bytes of their lines.
-CLOSE_PAIRS, CLOSE_BYTES = 256, 1 << 19
+CLOSE_PAIRS, CLOSE_BYTES = 64, 1 << 17
 #: Stars, each about another member, by which larger buckets are linked before the exact join.
 STARS = 4
 PICKED = "id long, line binary, n int, marks array<long>"
@@ -65,9 +70,11 @@ def char_shingles(value: np.ndarray, start: np.ndarray, end: np.ndarray, k: int)
     span = np.repeat(np.arange(len(start)), many)
     at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + start[span]
     total = np.zeros(max(len(value) - k + 1, 0), np.uint64)
+    part = np.empty_like(total)
     wide = value.astype(np.uint64)
     for j, factor in enumerate(constants(k, 17)):
-        total += wide[j : j + len(total)] * factor
+        np.multiply(wide[j : j + len(total)], factor, out=part)
+        total += part
     return mix(total[at]), span
 
 
@@ -78,19 +85,27 @@ def _signatures(found: np.ndarray, span: np.ndarray, n: int, hasher: OnePermutat
     np.minimum.at(out, span * bins + place.astype(np.int64), found)
     out = out.reshape(n, bins)
     row, empty = np.nonzero(out == EMPTY)
-    if len(row):
-        choice = hasher.order[empty]
-        filled = out[row[:, None], choice] != EMPTY
-        out[row, empty] = out[row, choice[np.arange(len(row)), filled.argmax(axis=1)]]
-    return out
+    filled = out.copy()
+    for choice in hasher.order.T:  # each bin's next choice; most find a filled one among the first
+        if not len(row):
+            break
+        value = out[row, choice[empty]]
+        some = value != EMPTY
+        filled[row[some], empty[some]] = value[some]
+        row, empty = row[~some], empty[~some]
+    return filled
+
 
+def _read(k: int, bands: int, rows: int, least: int, parts: int):
+    """Rows of ``FOUND`` of three kinds: places of lines, bucket rows, and packed bucket rows (see ``_packed``)."""
 
-def _read(k: int, bands: int, rows: int, least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader, hasher = WordReader(SPACED, fold=False), OnePermutation(bands, rows)
         seen: set[int] = set()  # a line's bands leave a task once, or once for so many lines
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        waiting = 0
         for batch in batches:
-            for first, _, data, offsets in slices(batch.column(1)):
+            for first, _, data, offsets in slices(batch.column(1), READ_BYTES):
                 lines = read_lines(data, offsets, reader, least)
                 if not len(lines.id):
                     continue
@@ -106,48 +121,103 @@ def _read(k: int, bands: int, rows: int, least: int):
                 own = np.flatnonzero(fresh)
                 found, span = char_shingles(lines.value, lines.start[own], lines.end[own], k)
                 keys = hasher.keys(_signatures(found, span, len(own), hasher)).reshape(-1)
-                ends = np.r_[0, np.cumsum(fresh * bands)].astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).take(pa.array(first + lines.row)),
-                        pa.array(lines.number.astype(np.int32)),
-                        pa.array(lines.id),
-                        pa.ListArray.from_arrays(pa.array(ends), pa.array(keys), mask=pa.array(~fresh)),
-                    ],
-                    ["doc_id", "line_no", "id", "bands"],
+                held.append((keys, np.repeat(lines.id[own], bands)))
+                waiting += len(keys)
+                yield _found(
+                    len(lines.id),
+                    doc_id=batch.column(0).take(pa.array(first + lines.row)),
+                    line_no=pa.array(lines.number.astype(np.int32)),
+                    id=pa.array(lines.id),
                 )
+                if waiting >= PACKED_ROWS:
+                    yield from _packed(held, parts)
+                    held, waiting = [], 0
+        if waiting:
+            yield from _packed(held, parts)
 
     return run
 
 
+def _found(n: int, **columns: pa.Array) -> pa.RecordBatch:
+    """Rows of ``FOUND`` with nulls in all other columns."""
+    kinds = {"doc_id": pa.int64(), "line_no": pa.int32(), "id": pa.int64(), "key": pa.int64(), "part": pa.int32(), "packed": pa.binary()}
+    return pa.RecordBatch.from_arrays([columns.get(name, pa.nulls(n, kind)) for name, kind in kinds.items()], list(kinds))
+
+
+def _packed(held: list[tuple[np.ndarray, np.ndarray]], parts: int) -> Iterator[pa.RecordBatch]:
+    """Bucket rows of a task: one of each key packed by parts of the keys, the others as they are.
+
+    A key with several lines is known to be shared, so its further lines need not meet
+    other tasks' rows; its first one goes there with a mark. So no part grows with a bucket.
+    """
+    keys, names = (np.concatenate(column) for column in zip(*held, strict=True))
+    order = np.argsort(keys.view(np.uint64))
+    keys, names = keys[order], names[order]
+    heads = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    other = names != np.repeat(names[heads], np.diff(np.r_[heads, len(keys)]))
+    marks = np.logical_or.reduceat(other, heads)
+    if other.any():
+        yield _found(int(other.sum()), key=pa.array(keys[other]), id=pa.array(names[other]))
+    keys, names = keys[heads], names[heads]
+    part = ((keys.view(np.uint64) >> np.uint64(40)) * np.uint64(parts)) >> np.uint64(24)
+    cut = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+    rows = [keys[i:j].tobytes() + names[i:j].tobytes() + marks[i:j].tobytes() for i, j in zip(cut, np.r_[cut[1:], len(keys)], strict=True)]
+    yield _found(len(rows), part=pa.array(part[cut].astype(np.int32)), packed=pa.array(rows, pa.binary()))
+
+
+def _shared_keys(table: pa.Table) -> pa.Table:
+    """(key, id) of the packed rows of one part whose key is marked or has several ids."""
+    rows = table.column("packed").to_pylist()
+    sizes = [len(row) // 17 for row in rows]
+    keys = np.concatenate([np.frombuffer(row, np.int64, n) for row, n in zip(rows, sizes, strict=True)])
+    names = np.concatenate([np.frombuffer(row, np.int64, n, 8 * n) for row, n in zip(rows, sizes, strict=True)])
+    marks = np.concatenate([np.frombuffer(row, bool, n, 16 * n) for row, n in zip(rows, sizes, strict=True)])
+    order = np.argsort(keys)
+    keys, names, marks = keys[order], names[order], marks[order]
+    heads = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    many = np.diff(np.r_[heads, len(keys)])
+    several = np.logical_or.reduceat(marks | (names != np.repeat(names[heads], many)), heads)
+    keep = np.repeat(several, many)
+    return pa.table({"key": pa.array(keys[keep]), "id": pa.array(names[keep])})
+
+
+def _shared(found: DataFrame, scratch: Scratch) -> DataFrame:
+    """Distinct bucket rows (key, id) of the keys that several lines have."""
+    dealt = found.where("part is not null").select("part", "packed").groupBy("part").applyInArrow(_shared_keys, "key long, id long")
+    return scratch.table(dealt.unionByName(found.where("key is not null").select("key", "id")).distinct())
+
+
 def _pick(k: int, least: int):
-    """The wanted lines of each document: (id, line, n, marks), the last two of its runs of ``k`` characters."""
+    """The wanted lines (line_no, id) of each document: (id, line, n, marks), the last two of its runs of ``k`` characters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = WordReader(SPACED, fold=False)
         for batch in batches:
-            wanted = batch.column(2).to_pylist()
-            for first, end, data, offsets in slices(batch.column(1)):
+            wanted = batch.column(1)
+            counts = np.r_[0, np.cumsum(wanted.value_lengths().to_numpy(zero_copy_only=False))]
+            number, name = (wanted.flatten().field(j).to_numpy(zero_copy_only=False) for j in (0, 1))
+            for first, end, data, offsets in slices(batch.column(0)):
+                some = slice(counts[first], counts[end])
+                row = np.repeat(np.arange(end - first), np.diff(counts[first : end + 1]))
+                data, offsets, names = _cut_lines(data, offsets, row, number[some], name[some])
                 lines = read_lines(data, offsets, reader, least)
-                own = set().union(*wanted[first:end])
+                # rows of equal doc_id may have another line there
+                own = np.flatnonzero(lines.id == names[lines.row])
                 place = np.r_[lines.place, len(data)]
-                at = []
-                for i, name in enumerate(lines.id.tolist()):
-                    if name in own:
-                        own.discard(name)
-                        at.append(i)
-                for some in (at[i : i + 4096] for i in range(0, len(at), 4096)):
-                    starts, ends = lines.start[some], lines.end[some]
+                for at in (own[i : i + 4096] for i in range(0, len(own), 4096)):
+                    starts, ends = lines.start[at], lines.end[at]
                     found, span = char_shingles(lines.value, starts, ends, k)
-                    cut = np.searchsorted(span, np.arange(len(some) + 1))
-                    sets = [np.unique(found[low:high]) for low, high in zip(cut[:-1], cut[1:], strict=True)]
-                    size = np.array([len(x) for x in sets])
-                    marks = marked(np.concatenate(sets), np.r_[0, np.cumsum(size)])
-                    bounds = np.arange(len(some) + 1, dtype=np.int32) * marks.shape[1]
+                    cut = np.searchsorted(span, np.arange(len(at) + 1))
+                    for low, high in zip(cut[:-1], cut[1:], strict=True):
+                        found[low:high].sort()
+                    once = np.r_[True, (found[1:] != found[:-1]) | (span[1:] != span[:-1])]
+                    size = np.bincount(span[once], minlength=len(at))
+                    marks = marked(found[once], np.r_[0, np.cumsum(size)])
+                    bounds = np.arange(len(at) + 1, dtype=np.int32) * marks.shape[1]
                     texts = [data[low:high].tobytes() for low, high in zip(place[starts], place[ends], strict=True)]
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array(lines.id[some], pa.int64()),
+                            pa.array(lines.id[at], pa.int64()),
                             pa.array(texts, pa.binary()),
                             pa.array(size.astype(np.int32)),
                             pa.ListArray.from_arrays(pa.array(bounds), pa.array(marks.reshape(-1))),
@@ -158,6 +228,21 @@ def _pick(k: int, least: int):
     return run
 
 
+def _cut_lines(
+    data: np.ndarray, offsets: np.ndarray, row: np.ndarray, number: np.ndarray, name: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The lines of these numbers in these rows as texts of their own (bytes, offsets), and their names."""
+    breaks = np.flatnonzero(data == 10)
+    before = np.searchsorted(breaks, offsets)
+    there = number <= (before[1:] - before[:-1])[row]
+    row, number, name = row[there], number[there], name[there]
+    at = before[row] + number  # the break that ends the line, if any
+    start = np.where(number > 0, np.r_[breaks, 0][at - 1] + 1, offsets[row])
+    end = np.where(at < before[row + 1], np.r_[breaks, 0][at], offsets[row + 1])
+    ends = np.r_[0, np.cumsum(end - start)]
+    return data[np.arange(ends[-1]) + np.repeat(start - ends[:-1], end - start)], ends, name
+
+
 def _sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -178,17 +263,17 @@ def _close(k: int, percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            x, y = batch.column(2), batch.column(3)
             keep = np.zeros(len(batch), bool)
-            size = np.cumsum([len(one) + len(other) for one, other in zip(x, y, strict=True)])
+            size = np.cumsum(np.diff(text_bytes(x)[1]) + np.diff(text_bytes(y)[1]))
             first = 0
             while first < len(batch):
                 most = (size[first - 1] if first else 0) + CLOSE_BYTES
                 end = min(max(int(np.searchsorted(size, most, "right")), first + 1), first + CLOSE_PAIRS)
-                ours, theirs = _sets_of(x[first:end], k), _sets_of(y[first:end], k)
-                both = np.sort(np.concatenate([ours, theirs]))
-                shared_by = both[1:][both[1:] == both[:-1]]
-                total, m = (np.bincount((keys >> np.uint64(56)).astype(np.int64), minlength=end - first) for keys in (both, shared_by))
+                keys = _sided(x.slice(first, end - first), y.slice(first, end - first), k)
+                pair = (keys >> np.uint64(56)).astype(np.int64)
+                shared_by = pair[1:][keys[1:] ^ keys[:-1] == 1]
+                total, m = (np.bincount(found, minlength=end - first) for found in (pair, shared_by))
                 keep[first:end] = 100 * m >= percent * (total - m)
                 first = end
             yield batch.select([0, 1]).filter(pa.array(keep))
@@ -196,12 +281,13 @@ def _close(k: int, percent: int):
     return run
 
 
-def _sets_of(lines: list[bytes], k: int) -> np.ndarray:
-    """The distinct shingles of some lines, ascending: the line's place in 8 bits, then 56 bits of the hash."""
-    data = np.frombuffer(b"".join(lines), np.uint8)
-    value, bounds, _ = characters(data, np.r_[0, np.cumsum([len(line) for line in lines])])
+def _sided(x: pa.Array, y: pa.Array, k: int) -> np.ndarray:
+    """The distinct shingles of pairs of lines, ascending: the pair's place in 8 bits, 55 bits of the hash, the side in one."""
+    data, offsets = text_bytes(pa.concat_arrays([x, y]))
+    value, bounds, _ = characters(data[offsets[0] : offsets[-1]], offsets - offsets[0])
     found, span = char_shingles(value, bounds[:-1], bounds[1:], k)
-    keys = np.sort((found >> np.uint64(8)) | (span.astype(np.uint64) << np.uint64(56)))
+    keys = (found >> np.uint64(9) << np.uint64(1)) | (span % len(x) << 56 | span // len(x)).astype(np.uint64)
+    keys.sort()
     return keys[np.r_[True, keys[1:] != keys[:-1]]]
 
 
@@ -254,10 +340,10 @@ def repeated_lines(
     ignored. Lines are told apart by 64-bit hashes.
     """
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = scratch.table(docs.mapInArrow(_read(k, bands, rows, least), FOUND))
-    flat = found.where("bands is not null").select(F.explode("bands").alias("key"), "id")
-    buckets = shared(flat, scratch)
-    places = scratch.table(found.select("doc_id", "line_no", "id"))
+    parts = PARTS * shuffle_width(docs.sparkSession)
+    found = scratch.table(docs.mapInArrow(_read(k, bands, rows, least, parts), FOUND))
+    buckets = _shared(found, scratch)
+    places = scratch.table(found.where("doc_id is not null").select("doc_id", "line_no", "id"))
     scratch.drop(found)
     sizes = buckets.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("m"))
     members = scratch.table(buckets.join(sizes, "key"))
@@ -267,9 +353,9 @@ def repeated_lines(
     stars = members.where((F.col("m") > SMALL_BUCKET) & (F.col("id") != F.col("a"))).select("a", F.col("id").alias("b"))
 
     wanted = members.select("id").distinct()
-    first = places.select("id", "doc_id").join(wanted, "id").groupBy("id").agg(F.min("doc_id").alias("doc_id"))
-    per_doc = first.groupBy("doc_id").agg(F.collect_list("id").alias("ids"))
-    picked = docs.join(per_doc, "doc_id").select("doc_id", "text", "ids").mapInArrow(_pick(k, least), PICKED)
+    first = places.join(wanted, "id").groupBy("id").agg(F.min("doc_id").alias("doc_id"), F.min_by("line_no", "doc_id").alias("line_no"))
+    per_doc = first.groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "id")).alias("wanted"))
+    picked = docs.join(per_doc, "doc_id").select("text", "wanted").mapInArrow(_pick(k, least), PICKED)
     texts = scratch.table(picked.dropDuplicates(["id"]))
     links = scratch.table(_linked(every.select("a", "b").unionByName(stars).distinct(), texts, k, percent))
     labels = components(links, scratch)

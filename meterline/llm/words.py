@@ -150,6 +150,8 @@ def runs(hashes: np.ndarray, rows: np.ndarray, k: int, seed: int = 1) -> tuple[n
 
 def characters(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A number for each UTF-8 character, the rows' offsets in characters, and where each starts."""
+    if not len(data) or data.max() < 0x80:
+        return data.astype(np.uint32), offsets, np.arange(len(data))
     lead = np.flatnonzero((data & 0xC0) != 0x80)
     size = np.diff(np.r_[lead, len(data)])
     value = data[lead].astype(np.uint32)
