@@ -21,7 +21,7 @@ FOUND = "doc_id long, line_no int, id long, key long, part int, packed binary"
 #: Lines that a task remembers; a line met again later gives equal bucket rows, which are merged.
 SEEN_LINES = 100_000
 #: Bucket rows that a task packs at a time, and parts of the keys for each shuffle partition.
-PACKED_ROWS, PARTS = 1 << 20, 4
+PACKED_ROWS, PARTS = 1 << 19, 4
 #: Buckets of so many lines at most are compared line by line.
 SMALL_BUCKET = 24
 #: Bytes of text that are read at a time, few enough for their arrays to stay in cache.
@@ -32,6 +32,8 @@ CLOSE_PAIRS, CLOSE_BYTES = 64, 1 << 17
 STARS = 4
 PICKED = "id long, line binary, n int, marks array<long>"
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: What characters of one byte count for in a line's hash.
+LOW_SPREAD = mix(np.arange(1, 257, dtype=np.uint64))
 
 
 class Lines(NamedTuple):
@@ -59,7 +61,10 @@ def read_lines(data: np.ndarray, offsets: np.ndarray, reader: WordReader, least:
     start, end = solid[low[keep]], solid[high[keep] - 1] + 1
     long = end - start >= least
     keep, start, end = keep[long], start[long], end[long]
-    sums = reader.sums(mix(value.astype(np.uint64) + np.uint64(1)))
+    spread = LOW_SPREAD[value & np.uint32(0xFF)]
+    high = np.flatnonzero(value > 0xFF)
+    spread[high] = mix(value[high].astype(np.uint64) + np.uint64(1))
+    sums = reader.sums(spread)
     names = (reader.span_hash(sums, start, end)).astype(np.int64)
     return Lines(row[keep], number[keep], names, start, end, value, place)
 
@@ -380,10 +385,12 @@ def repeated_lines(
     scratch.drop(texts)
 
     lines = places.join(labels.withColumnRenamed("node", "id"), "id", "left")
-    lines = lines.select("doc_id", "line_no", F.coalesce("component", "id").alias("c"))
-    stays = lines.groupBy("c").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.max(F.struct("doc_id", "line_no")).alias("last"))
-    stays = stays.where("first <> last").select("c", "first")
-    gone = lines.join(stays, "c").where("struct(doc_id, line_no) <> first")
+    lines = scratch.table(lines.select("doc_id", "line_no", F.coalesce("component", "id").alias("c")))
+    several = lines.groupBy("c").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
+    repeats = scratch.table(lines.join(several, "c"))
+    scratch.drop(places, lines)
+    stays = repeats.where("doc_id = least").groupBy("c").agg(F.min("line_no").alias("stays"))
+    gone = repeats.join(stays, "c").where("doc_id <> least or line_no <> stays")
     return gone.groupBy("doc_id").agg(F.sort_array(F.collect_set("line_no")).alias("removed"))
 
 

@@ -155,7 +155,8 @@ def characters(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     lead = np.flatnonzero((data & 0xC0) != 0x80)
     size = np.diff(np.r_[lead, len(data)])
     value = data[lead].astype(np.uint32)
+    more = np.flatnonzero(size > 1)
     for j in range(1, 4):
-        more = np.flatnonzero(size > j)
+        more = more[size[more] > j]
         value[more] |= data[lead[more] + j].astype(np.uint32) << np.uint32(8 * j)
     return value, np.searchsorted(lead, offsets), lead
